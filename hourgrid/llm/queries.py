@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hourgrid.llm.chat import OP4_SQL, op4_chat_format
+from hourgrid.llm.licenses import op7_license_scan
+from hourgrid.llm.quality_rules import op6_quality_rules
 from hourgrid.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_chat_format": op4_chat_format, "op10_warc": op10_warc}
+    return {"op4_chat_format": op4_chat_format, "op6_quality_rules": op6_quality_rules, "op7_license_scan": op7_license_scan, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
