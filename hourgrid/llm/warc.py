@@ -213,7 +213,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that ``index`` names, a frame read for each run of records in it."""
-    placed = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset")
+    # The index is small beside the frames it names, so the number of tasks is set, not left to the index's size.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset")
     return placed.mapInArrow(partial(_read, folder=folder, payloads=payloads), RECORD_SCHEMA)
 
 
