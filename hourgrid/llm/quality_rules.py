@@ -25,7 +25,7 @@ STEPS = 3
 #: A pool of fewer rows is joined to its language's pool, then to the pool of all; one still smaller rejects nothing.
 MIN_ROWS = 50
 #: Standard deviations that a feature has at least, in its own unit: a statistic that hardly varies rejects no small change.
-FLOOR = (0.35, 0.25, 0.35, 0.08, 0.08)
+FLOOR = (0.35, 0.25, 0.35, 0.12, 0.14)
 TAIL = 1e-6
 
 
