@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from hourgrid.llm.chat import OP4_SQL, op4_chat_format
 from hourgrid.llm.decontaminate import OP2_SQL, op2_decontaminate
 from hourgrid.llm.licenses import op7_license_scan
+from hourgrid.llm.packing import op9_packing
 from hourgrid.llm.quality_rules import op6_quality_rules
 from hourgrid.llm.simhash import op3_simhash
 from hourgrid.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash, "op4_chat_format": op4_chat_format, "op6_quality_rules": op6_quality_rules, "op7_license_scan": op7_license_scan, "op10_warc": op10_warc}
+    return {"op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash, "op4_chat_format": op4_chat_format, "op6_quality_rules": op6_quality_rules, "op7_license_scan": op7_license_scan, "op9_packing": op9_packing, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
