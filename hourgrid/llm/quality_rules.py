@@ -9,6 +9,7 @@ their sums do not depend on the order of addition and a run gives the same verdi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ MIN_ROWS = 50
 #: Standard deviations that a feature has at least, in its own unit: a statistic that hardly varies rejects no small change.
 FLOOR = (0.35, 0.25, 0.35, 0.12, 0.14)
 TAIL = 1e-6
+#: Up to so many pools, of 22 numbers each, their estimates are broadcast: 20 MB at most.
+BROADCAST_POOLS = 100_000
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -146,12 +149,13 @@ def _cholesky(moments: DataFrame, d: int, factor: float, floor: tuple[float, ...
     return out
 
 
-def robust_scatter(points: DataFrame, features: tuple[str, ...] = FEATURES, subset: float = SUBSET, steps: int = STEPS, floor: tuple[float, ...] = FLOOR) -> DataFrame:
+def robust_scatter(points: DataFrame, small: Callable[[DataFrame], DataFrame], features: tuple[str, ...] = FEATURES, subset: float = SUBSET, steps: int = STEPS, floor: tuple[float, ...] = FLOOR) -> DataFrame:
     """Minimum-covariance-determinant estimates of every ``pool`` of ``points``: means m_i, factors l_i_j, ``rows``.
 
     Starts from medians and median absolute deviations; a step takes the ``subset`` of rows that are closest (all
     rows of the bin that completes it, bins being 1/16 of an octave of the squared distance) and estimates anew.
-    Only histograms and moments are shuffled, added up before the exchange.
+    Only histograms and moments are shuffled, added up before the exchange; ``small`` marks a table of a row per
+    pool for the joins.
     """
     d = len(features)
     x = [F.col(f).cast("double") for f in features]
@@ -163,7 +167,7 @@ def robust_scatter(points: DataFrame, features: tuple[str, ...] = FEATURES, subs
     wide = lambda t, name: t.groupBy("pool").agg(*[F.max(F.when(F.col("i") == i, F.col("bin"))).alias(f"{name}_{i}") for i in range(d)])
     middle = wide(_nth(hist(points, [F.col(f) for f in features]), ["pool", "i"], 0.5, []), "m")
     middle = landed(middle)
-    spread = wide(_nth(hist(points.join(middle, "pool"), [F.abs(F.col(f) - F.col(f"m_{i}")) for i, f in enumerate(features)]), ["pool", "i"], 0.5, []), "s")
+    spread = wide(_nth(hist(points.join(small(middle), "pool"), [F.abs(F.col(f) - F.col(f"m_{i}")) for i, f in enumerate(features)]), ["pool", "i"], 0.5, []), "s")
     start = middle.join(spread, "pool").select(
         "pool", *[F.col(f"m_{i}").cast("double").alias(f"m_{i}") for i in range(d)],
         *[(F.sqrt((F.col(f"s_{i}") * 1.4826) * (F.col(f"s_{i}") * 1.4826) + (floor[i] * UNIT) ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)],
@@ -173,13 +177,13 @@ def robust_scatter(points: DataFrame, features: tuple[str, ...] = FEATURES, subs
 
     def cut(estimate: DataFrame) -> DataFrame:
         """The estimate and the bin of distance that completes the subset."""
-        far = points.join(estimate, "pool").select("pool", *columns, octave(_distance(x)).alias("bin"))
+        far = points.join(small(estimate), "pool").select("pool", *columns, octave(_distance(x)).alias("bin"))
         counts = far.groupBy("pool", "bin").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in columns])
         return landed(_nth(counts, ["pool"], subset, columns).withColumnRenamed("bin", "limit"))
 
     now = cut(start)
     for _ in range(steps):
-        close = points.join(now, "pool").where(octave(_distance(x)) <= F.col("limit"))
+        close = points.join(small(now), "pool").where(octave(_distance(x)) <= F.col("limit"))
         moments = close.groupBy("pool").agg(F.count("*").alias("n"), *[F.sum(f).cast("double").alias(f"s_{i}") for i, f in enumerate(features)], *[F.sum(F.col(features[i]) * F.col(features[j])).cast("double").alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)])
         now = cut(_cholesky(moments, d, consistency(subset, d), floor))
     return now.drop("limit")
@@ -196,14 +200,17 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     added = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "pool", "rows", "k0", "k1", "_p", "_h", *FEATURES}
     stats = transformed(document_stats(docs.drop(*added), text_col))
     stats = landed(stats)
-    pools = _pools(stats, (lang_col, source_col), min_rows)
+    pools = landed(_pools(stats, (lang_col, source_col), min_rows))
+    # A row per pool goes to every task while there are few pools; beyond that the joins are shuffled.
+    few = pools.count() <= BROADCAST_POOLS
+    small = F.broadcast if few else lambda table: table
     same = F.col(lang_col).eqNullSafe(F.col("k0")) & F.col(source_col).eqNullSafe(F.col("k1"))
-    placed = landed(stats.join(pools, same).drop("k0", "k1"))
-    estimate = robust_scatter(placed.select("pool", *FEATURES))
+    placed = landed(stats.join(small(pools), same).drop("k0", "k1"))
+    estimate = robust_scatter(placed.select("pool", *FEATURES), small)
     d2 = _distance([F.col(f).cast("double") for f in FEATURES])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fits = (F.col("rows") < min_rows) | (d2 <= chi_square_quantile(1 - tail, len(FEATURES)))
-    out = placed.join(estimate, "pool").select(*[f"`{c}`" for c in placed.columns if c not in FEATURES and c != "pool"], failed.alias("base_failed"), F.sqrt(d2).alias("distance"), (~failed & fits).alias("kept"))
+    out = placed.join(small(estimate), "pool").select(*[f"`{c}`" for c in placed.columns if c not in FEATURES and c != "pool"], failed.alias("base_failed"), F.sqrt(d2).alias("distance"), (~failed & fits).alias("kept"))
     return out
 
 
