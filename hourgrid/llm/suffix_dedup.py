@@ -41,7 +41,7 @@ _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).diges
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(n, base, dtype=np.uint64)
@@ -50,12 +50,34 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes; (prefix[e] - prefix[s]) * down[s] is that of data[s:e]."""
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_TABLE[data] * power_tables(len(data) + 1)[0][: len(data)], out=prefix[1:])
+    return prefix
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
+def leftmost_minimum(hashes: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Places of the smallest of hashes[a : a + width] for every a of ``at``, the leftmost of equal ones.
+
+    Suffix minima of blocks of ``width`` against prefix minima of the next block.
+    """
+    low = np.uint64((1 << _POS_BITS) - 1)
+    packed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    padded = np.full((-(-(len(packed) + width) // width)) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[: len(packed)] = packed
+    grid = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[at], ahead[at + width - 1]) & low).astype(np.int64)
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
     """Anchors of the texts data[bounds[i]:bounds[i + 1]]: (text number, position in data, first and last start of the
     strings that chose it, hash of the key, hash of the stretch from the first start to the last string's end)."""
@@ -64,33 +86,23 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, key: int
     counts = np.maximum(ends - starts - length + 1, 0)
     if not counts.any():
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    up, down = _power_tables(n + 1)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * up[:n], out=prefix[1:])
-    hashes = _mixed((prefix[key:] - prefix[:-key]) * down[: n - key + 1])
-    packed = (hashes & ~np.uint64((1 << _POS_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64)
-    w = length - key + 1
-    # Minimum of each w entries: suffix minima of blocks of w against prefix minima of the next block.
-    blocks = -(-(len(packed) + w) // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(packed)] = packed
-    grid = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    down = power_tables(n + 1)[1]
+    prefix = prefix_hashes(data)
+    hashes = mixed((prefix[key:] - prefix[:-key]) * down[: n - key + 1])
     text = np.repeat(np.arange(len(starts)), counts)
     at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    chosen = (np.minimum(behind[at], ahead[at + w - 1]) & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64)
+    chosen = leftmost_minimum(hashes, length - key + 1, at)
     turn = np.flatnonzero(np.diff(chosen, prepend=-1))
     x, first, last, text = chosen[turn], at[turn], at[np.append(turn[1:], len(at)) - 1], text[turn]
     stretch = (prefix[last + length] - prefix[first]) * down[first]
-    stretch = _mixed(stretch ^ ((x - first) * 1_000_003 + (last - first)).astype(np.uint64) * np.uint64(_BASE))
+    stretch = mixed(stretch ^ ((x - first) * 1_000_003 + (last - first)).astype(np.uint64) * np.uint64(_BASE))
     return text, x, first, last, hashes[x].astype(np.int64), stretch.astype(np.int64)
 
 
 _ANCHOR_SCHEMA = "did long, th long, pos long, la int, lb int, key long, sh long"
 
 
-def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of an Arrow binary array without nulls."""
     _, offsets, values = column.buffers()
     wide = pa.types.is_large_binary(column.type)
@@ -100,7 +112,7 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, key: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, bounds = _raw(batch.column("raw"))
+        data, bounds = raw_bytes(batch.column("raw"))
         did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
         n = len(did)
         i = 0
