@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import partial
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -219,12 +220,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     touched = found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), (hit >= max_share * F.col("n_words")).alias("_drop"), long.alias("_cut"))
     joined = docs.join(touched, docs[id_col] == F.col("_id"), "left").where("not coalesce(_drop, false)")
 
-    @F.udf("string")
-    def cut(text, spans):
-        return cut_words(text, [(s["start"], s["end"]) for s in spans])
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or not len(s) else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    done = F.when(F.size("_cut") > 0, cut(F.col(text_col), F.col("_cut"))).otherwise(F.col(text_col))
-    return joined.select(*[done.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[cut(docs[c].cast("string"), F.col("_cut")).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

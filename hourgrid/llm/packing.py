@@ -203,14 +203,20 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, end_id:
     end = np.array([end_id], dtype="<u4")
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([r | {"ids": r["ids"].astype(np.int32) if with_ids else None} for r in rows], schema=schema)
+        columns = [pa.array([r[c] for r in rows], pa.int64()) for c in schema.names[:-1]]
+        if with_ids and rows:
+            flat = np.concatenate([r["ids"] for r in rows]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(np.cumsum([0, *[r["length"] for r in rows]]).astype(np.int32), pa.array(flat)))
+        else:
+            columns.append(pa.nulls(len(rows), schema.types[-1]))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for batch in batches:
         rows: list[dict] = []
         for name, text in zip(batch.column("id"), batch.column("text"), strict=True):
             ids, ends = encoder.encode(text.as_py() or "")
             rows += packer.add(name.as_py(), np.concatenate([ids, end]), ends)
-            if len(rows) >= 4096:
+            if len(rows) >= 1024:
                 yield batch_of(rows)
                 rows = []
         yield batch_of(rows)

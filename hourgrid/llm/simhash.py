@@ -132,6 +132,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: the one with the smallest id, any one of rows that repeat it."""
+    classes = near_duplicates(docs, id_col, **options)
+    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and class."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
