@@ -1,19 +1,777 @@
-"""Every query of the library by name, with SQL that gives the same rows."""
+"""Every query of the library by name, over views of the given tables; ``oracle.py`` has SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hourgrid.functions.slots import HOUR_US, cyclical, iso_weekday, local_date, local_hour, period_of_day, slot_of_local, slot_start
+from hourgrid.operators import baselines as B
+from hourgrid.operators import canonical as C
+from hourgrid.operators import decide as D
+from hourgrid.operators import features as X
+from hourgrid.operators import forecast as P
+from hourgrid.operators import health as H
+from hourgrid.operators import metrics as M
+from hourgrid.operators import models as L
+from hourgrid.operators import sampling as S
+from hourgrid.operators import state as Z
+from hourgrid.plans import oracle
+from hourgrid.sources import ingest, tables
+from hourgrid.sources import views as V
+from hourgrid.streaming import streams
+
+A = V.AS_OF_HOUR
+#: The backtest's slots: the last two days, at four local hours.
+TEST_FROM, TEST_HOURS = A - 48, (8, 12, 17, 20)
+RUN_START = 1706659200_000_000
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Doubles to six places (minutes to nine) without a negative zero, whole numbers as long, dates as text."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DoubleType | T.FloatType):
+            c = F.round(c.cast("double"), 9 if f.name.endswith("_minutes") else 6) + 0.0
+        elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.ByteType):
+            c = c.cast("long")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidy(f(spark, sf_dir))
+
+    _queries[f.__name__] = run
+    return f
+
+
+def _state(spark, d):
+    return Z.dense_state(V.sessions(spark, d), A)
+
+
+def _normal(spark, d):
+    return ingest.normalize_sessions(V.raw_feed(spark, d))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The ten busiest meter-hours of the dense hourly state."""
+    top = _state(spark, sf_dir).orderBy(F.round("occupied", 6).desc(), F.desc("paid_overlap_minutes"), "post_id", "hour").limit(10)
+    return tidy(top.select("post_id", slot_start(F.col("hour")).alias("slot_start"), "transaction_count", "paid_overlap_minutes", "occupied", "available"))
+
+
+# --- sources, ingestion ---------------------------------------------------------------------------------------------
+
+
+@query
+def sessions_clean(spark, d):
+    return ingest.good(_normal(spark, d))
+
+
+@query
+def sessions_quarantine(spark, d):
+    return ingest.quarantined(_normal(spark, d)).select("transmission_id", "post_id", "error")
+
+
+@query
+def meters_clean(spark, d):
+    m = V.meters(spark, d)
+    raw = m.select(F.col("post_id").cast("string").alias("post_id"), F.format_string("%.6f", "lat").alias("latitude"), F.format_string("%.6f", "lon").alias("longitude"),
+                   F.when(F.col("active"), "m").otherwise("U").alias("active_meter_flag"), F.when(F.col("post_id") % 3 == 0, "").otherwise(F.concat(F.lit("Street "), F.col("street_id").cast("string"))).alias("street_name"),
+                   F.when(F.col("post_id") % 2 == 0, F.col("blockface_id").cast("string")).alias("street_num"))
+    return ingest.normalize_meters(raw).where("active")
+
+
+@query
+def policies_clean(spark, d):
+    p = V.policies(spark, d)
+    clock = lambda c: F.concat(F.floor(F.col(c) / 3600).cast("string"), F.lit(":00"))
+    raw = p.select(F.col("post_id").cast("string").alias("postid"), F.col("parking_space_id").cast("string").alias("parkingspaceid"), F.col("day").alias("dayofweek"), clock("start_sec").alias("starttime"), clock("end_sec").alias("endtime"),
+                   F.col("rate").cast("string").alias("hourlyrate"), F.concat(F.col("start_date").cast("string"), F.lit("T00:00:00Z")).alias("startdate"), F.col("end_date").cast("string").alias("enddate"), F.col("schedule").alias("scheduletype"))
+    return ingest.normalize_policies(raw).groupBy("post_id", "day", "start_sec", "end_sec", "schedule").agg(F.count("*").alias("n"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), F.min("rate").alias("rate"))
+
+
+@query
+def incremental_window(spark, d):
+    recent = ingest.bounded_window(V.sessions(spark, d), RUN_START, window_days=7)
+    return recent.groupBy("payment_type").agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("start_us").alias("last_us"))
+
+
+@query
+def retagged_sessions(spark, d):
+    return ingest.retag(V.sessions(spark, d)).select("transmission_id", "start_us", "end_us")
+
+
+@query
+def keyed_append(spark, d):
+    """The line feed into a target that has its even orders: the first row of each key that is new."""
+    feed = tables.read_table(spark, d, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    order = [F.col("l_partkey"), F.col("l_suppkey")]
+    target = ingest.keyed_append(feed.limit(0), feed.where("l_orderkey % 2 = 0"), ["l_orderkey", "l_linenumber"], order)
+    return ingest.keyed_append(target, feed, ["l_orderkey", "l_linenumber"], order, {"source": "lines"})
+
+
+@query
+def snapshot_upsert(spark, d):
+    """Meters upserted by a later load in which every third has moved to the next blockface; policies deduplicated null-safe."""
+    m = V.meters(spark, d).select("post_id", "blockface_id", F.lit(1).alias("load"))
+    later = m.where("post_id % 3 = 0").select("post_id", (F.col("blockface_id") + 1).alias("blockface_id"), F.lit(2).alias("load"))
+    return ingest.upsert(m, later, ["post_id"], [F.col("load")])
+
+
+@query
+def policy_dedupe(spark, d):
+    p = V.policies(spark, d).select("post_id", "parking_space_id", "day", "start_sec", "schedule")
+    return p.unionByName(p).dropDuplicates().groupBy("schedule").agg(F.count("*").alias("n"), F.count("parking_space_id").alias("with_space"))
+
+
+@query
+def ingestion_runs(spark, d):
+    """The run log's row of one load: processed, stored, skipped, newest time; counts come from the data as it is written."""
+    n = _normal(spark, d)
+    day = F.date_trunc("day", F.timestamp_micros("start_us"))
+    return n.groupBy(F.coalesce(F.to_date(day).cast("string"), F.lit("unknown")).alias("run_id")).agg(F.count("*").alias("processed"), F.count_if(F.col("error").isNull()).alias("stored"), F.count_if(F.col("error").isNotNull()).alias("skipped"), F.max("start_us").alias("newest_us"))
+
+
+@query
+def sink_roundtrip(spark, d):
+    """Sessions through the JSON lines, CSV and daily Parquet sinks and back: rows and sums by sink."""
+    s = Z.completed(V.sessions(spark, d)).select("transmission_id", "post_id", "start_us", "gross", local_date(F.floor(F.col("start_us") / HOUR_US)).alias("local_date"))
+    base = tables.shared_folder(spark, "sinks")
+    tables.write_jsonl(s, f"{base}/json")
+    tables.write_csv(s.groupBy("local_date").agg(F.count("*").alias("n"), F.sum("post_id").alias("posts")), f"{base}/csv")
+    tables.write_days(s, f"{base}/days")
+    tables.write_days(s.where("local_date >= '2024-01-15'"), f"{base}/days")  # those days are replaced, not doubled
+    totals = lambda df, name: df.agg(F.lit(name).alias("sink"), F.count("*").alias("n"), F.sum("post_id").alias("posts"))
+    back = totals(spark.read.schema(s.schema).json(f"{base}/json"), "json").unionByName(totals(spark.read.schema(s.drop("local_date").schema.add("local_date", "date")).parquet(f"{base}/days"), "days"))
+    csv = spark.read.schema("local_date date, n long, posts long").option("header", True).csv(f"{base}/csv")
+    return back.unionByName(csv.agg(F.lit("csv").alias("sink"), F.sum("n").alias("n"), F.sum("posts").alias("posts")))
+
+
+# --- activity and state ---------------------------------------------------------------------------------------------
+
+
+@query
+def meter_activity(spark, d):
+    return Z.meter_activity(V.sessions(spark, d), RUN_START - 28 * 24 * HOUR_US, RUN_START)
+
+
+@query
+def activity_summary(spark, d):
+    return Z.activity_summary(Z.meter_activity(V.sessions(spark, d), RUN_START - 28 * 24 * HOUR_US, RUN_START))
+
+
+@query
+def session_slots(spark, d):
+    return Z.session_slots(V.sessions(spark, d)).select("transmission_id", "post_id", "hour", "local_date", "local_hour", "overlap_us")
+
+
+@query
+def hourly_state(spark, d):
+    return Z.slot_state(Z.session_slots(V.sessions(spark, d)))
+
+
+@query
+def hourly_state_dense(spark, d):
+    return _state(spark, d)
+
+
+@query
+def hourly_state_span(spark, d):
+    s = Z.dense_state(V.sessions(spark, d), A, bound="span")
+    return s.groupBy("post_id").agg(F.count("*").alias("rows"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.sum("transaction_count").alias("transactions"))
+
+
+@query
+def state_quality(spark, d):
+    return Z.state_quality(_state(spark, d))
+
+
+@query
+def duration_profile(spark, d):
+    return Z.duration_profile(V.sessions(spark, d))
+
+
+@query
+def occupancy_estimate(spark, d):
+    return Z.occupancy_estimate(V.sessions(spark, d))
+
+
+@query
+def next_slot_targets(spark, d):
+    s = _state(spark, d)
+    return Z.next_slot_targets(Z.session_slots(V.sessions(spark, d)), s.where(f"hour < {A} - 1"))
+
+
+@query
+def availability_baseline(spark, d):
+    return Z.availability_baseline(Z.session_slots(V.sessions(spark, d)), 12, (A - 28 * 24, A))
+
+
+@query
+def cadence(spark, d):
+    return Z.cadence(Z.slot_state(Z.session_slots(V.sessions(spark, d))))
+
+
+@query
+def cadence_gaps(spark, d):
+    return Z.cadence_gaps(Z.slot_state(Z.session_slots(V.sessions(spark, d))))
+
+
+@query
+def state_audit(spark, d):
+    return Z.state_audit(_state(spark, d))
+
+
+@query
+def observation_frontier(spark, d):
+    return Z.frontier(V.sessions(spark, d), 24, RUN_START)
+
+
+@query
+def visible_history(spark, d):
+    seen = Z.visible_at(V.sessions(spark, d).where("end_us is not null"), RUN_START - 10 * 24 * HOUR_US, 7 * 24 * HOUR_US)
+    return seen.groupBy("post_id").agg(F.count("*").alias("n"), F.sum(F.col("end_us") - F.col("start_us")).alias("used_us"))
+
+
+@query
+def busiest_hours(spark, d):
+    return flagship(spark, d)
+
+
+@query
+def local_calendar(spark, d):
+    """The state's hours by local calendar fields, and the slots that local dates and hours lead back to."""
+    h = _state(spark, d).select("hour", "local_date", "local_hour").distinct()
+    angles = cyclical(F.col("local_hour"), 24, "hour")
+    return h.select("hour", "local_date", "local_hour", iso_weekday(F.col("hour")).alias("weekday"), (iso_weekday(F.col("hour")) >= 6).alias("weekend"), period_of_day(F.col("local_hour")).alias("period"), slot_of_local(F.col("local_date"), F.col("local_hour")).alias("slot"), *angles)
+
+
+# --- features ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def row_lag_features(spark, d):
+    return X.row_lags(Z.slot_state(Z.session_slots(V.sessions(spark, d))).withColumn("available", 1.0 - F.col("occupied")))
+
+
+@query
+def lag_features(spark, d):
+    return X.time_lags(_state(spark, d)).select("post_id", "hour", *[f"lag{n}" for n in X.LAGS], "tx1", "tx24")
+
+
+@query
+def roll_features(spark, d):
+    return X.time_rolls(_state(spark, d))
+
+
+@query
+def temporal_vector(spark, d):
+    return X.temporal_vector(_state(spark, d), V.meters(spark, d))
+
+
+@query
+def snapshot_features(spark, d):
+    return X.snapshot_features(_state(spark, d), X.knn_edges(V.meters(spark, d)))
+
+
+@query
+def state_changes(spark, d):
+    return X.changes(_state(spark, d)).where("magnitude > 0.0000005").drop("local_date", "local_hour")
+
+
+@query
+def knn_edges(spark, d):
+    return X.knn_edges(V.meters(spark, d))
+
+
+@query
+def neighbor_stats(spark, d):
+    return X.neighbor_stats(_state(spark, d), X.knn_edges(V.meters(spark, d), 24, 250.0))
+
+
+@query
+def spatial_vector(spark, d):
+    m = V.meters(spark, d)
+    return X.spatial_vector(_state(spark, d).where(f"hour >= {A} - 240"), m, X.knn_edges(m, 24, 250.0))
+
+
+# --- places, policies, requests ---------------------------------------------------------------------------------------
+
+
+@query
+def nearby_meters(spark, d):
+    return D.nearest(V.requests(spark, d), V.meters(spark, d), 10, 1000.0)
+
+
+def _probes(spark, d):
+    m = V.meters(spark, d)
+    return m.select(F.col("post_id").alias("probe_id"), "post_id", (F.col("post_id") * 10 + F.col("post_id") % 3).alias("parking_space_id"), F.element_at(F.array(*map(F.lit, V.DAYS)), (F.col("post_id") % 7 + 1).cast("int")).alias("day"),
+                    F.lit("2000-06-15").cast("date").alias("at_date"), (3600 * (F.col("post_id") % 24)).alias("at_sec"))
+
+
+@query
+def active_policy(spark, d):
+    return D.active_policy(_probes(spark, d), V.policies(spark, d))
+
+
+@query
+def nearby_with_policy(spark, d):
+    near = D.nearest(V.requests(spark, d), V.meters(spark, d).where("active"), 5, 1000.0)
+    return near.join(D.active_policy(_probes(spark, d), V.policies(spark, d)), near.post_id == F.col("probe_id"), "left").select("request_id", "post_id", "distance_m", "rank", "policy_id", "schedule", "rate", "limit_minutes")
+
+
+def _forecast(spark, d, horizon=1):
+    return P.issue(_state(spark, d), (horizon,))
+
+
+@query
+def find_parking(spark, d):
+    r = V.requests(spark, d).withColumn("target_hour", slot_of_local(F.col("local_date"), F.col("local_hour")))
+    return D.find_places(r, _forecast(spark, d), V.meters(spark, d).where("active"))
+
+
+@query
+def request_validation(spark, d):
+    r = V.requests(spark, d).withColumns({"lat": F.when(F.col("request_id") % 4 == 0, 95.0).otherwise(F.col("lat")), "local_hour": F.when(F.col("request_id") % 6 == 0, 24).otherwise(F.col("local_hour")), "radius_m": F.when(F.col("request_id") % 5 == 0, 0).otherwise(F.col("radius_m"))})
+    return r.select("request_id", F.array_join(D.request_errors(), ",").alias("errors"))
+
+
+def _candidates(spark, d):
+    near = D.nearest(V.requests(spark, d), V.meters(spark, d), 100, 1000.0).drop("rank")
+    f = _forecast(spark, d).where(f"target_hour = {A} - 12").select("post_id", "predicted")
+    return near.join(f, "post_id")
+
+
+@query
+def rank_candidates(spark, d):
+    return D.rank_candidates(_candidates(spark, d)).select("request_id", "post_id", "predicted", "distance_m", "score", "rank", "confidence")
+
+
+@query
+def radius_probability(spark, d):
+    return D.any_free(_candidates(spark, d))
+
+
+# --- baselines and backtest -----------------------------------------------------------------------------------------
+
+
+def _grid(spark, d):
+    return B.observation_grid(V.sessions(spark, d), TEST_FROM, A - 4, TEST_HOURS)
+
+
+def _placed(spark, d):
+    return C.as_of(C.scd2(V.placement_events(spark, d)), _grid(spark, d).select("post_id", "hour"), ["blockface_id", "lat", "lon"])
+
+
+@query
+def baseline_v0(spark, d):
+    return B.deterministic_v0(V.sessions(spark, d), _grid(spark, d)).select("post_id", "hour", "score", "evidence_days", "evidence_sessions")
+
+
+@query
+def baseline_blockface(spark, d):
+    return B.blockface_hourly(V.sessions(spark, d), _grid(spark, d), _placed(spark, d))
+
+
+@query
+def baseline_hour_conditioned(spark, d):
+    return B.hour_conditioned_v1(V.sessions(spark, d), _grid(spark, d))
+
+
+def _observations(spark, d, model="deterministic_v0"):
+    from hourgrid.operators.backtest import run_backtest
+
+    return run_backtest(V.sessions(spark, d), C.scd2(V.placement_events(spark, d)), V.meters(spark, d), TEST_FROM, A - 4, TEST_HOURS, model)
+
+
+@query
+def backtest_observations(spark, d):
+    return _observations(spark, d).drop("meter_type")
+
+
+@query
+def backtest_breakdowns(spark, d):
+    o = _observations(spark, d).withColumn("evidence_bucket", M.evidence_bucket(F.col("evidence_days")))
+    return M.breakdowns(o, ["local_hour", "weekday", "meter_type", "evidence_bucket", "blockface_id"], M.observation_metrics(), 10)
+
+
+@query
+def score_calibration(spark, d):
+    return M.calibration(_observations(spark, d))
+
+
+@query
+def backtest_counters(spark, d):
+    o = _observations(spark, d).agg(F.count("*").alias("predicted"))
+    return _grid(spark, d).agg(F.count("*").alias("generated")).crossJoin(F.broadcast(o)).select("generated", "predicted", (F.col("generated") - F.col("predicted")).alias("skipped_no_history"))
+
+
+# --- canonical model --------------------------------------------------------------------------------------------------
+
+
+@query
+def placements_scd2(spark, d):
+    return C.scd2(V.placement_events(spark, d))
+
+
+@query
+def placement_asof(spark, d):
+    return _placed(spark, d)
+
+
+@query
+def placement_overlaps(spark, d):
+    """Versions of the maintained history none of which overlap, and of one in which every fifth stays open."""
+    v = C.scd2(V.placement_events(spark, d))
+    broken = v.withColumn("valid_until", F.when(F.col("valid_from") % 5 != 0, F.col("valid_until")))
+    return C.overlapping(broken).select("post_id", "valid_from")
+
+
+@query
+def canonical_entities(spark, d):
+    return C.entities(V.meters(spark, d))
+
+
+@query
+def space_meter_links(spark, d):
+    return C.space_links(V.policies(spark, d))
+
+
+def _known(spark, d):
+    return V.meters(spark, d).where("post_id % 13 <> 0")
+
+
+@query
+def unresolved_posts(spark, d):
+    return C.unresolved(V.sessions(spark, d), _known(spark, d))
+
+
+@query
+def post_coverage(spark, d):
+    return C.coverage(V.sessions(spark, d), _known(spark, d))
+
+
+# --- forecasts and their evaluation -------------------------------------------------------------------------------------
+
+
+def _matured(spark, d):
+    s = _state(spark, d)
+    return P.with_persistence(P.mature(P.issue(s), s, A).where("actual is not null"), s)
+
+
+@query
+def forecast_upsert(spark, d):
+    """Two loads of the same keys: the later one's value stands."""
+    f = P.issue(_state(spark, d), (1,)).where(f"target_hour >= {A} - 24").select("post_id", "target_hour", "model_version", "predicted", F.lit(1).alias("generated"))
+    later = f.where("post_id % 2 = 0").select("post_id", "target_hour", "model_version", (F.col("predicted") / 2).alias("predicted"), F.lit(2).alias("generated"))
+    return ingest.upsert(f, later, ["post_id", "target_hour", "model_version"], [F.col("generated")])
+
+
+@query
+def forecast_mature(spark, d):
+    s = _state(spark, d)
+    return P.mature(P.issue(s, (1, 24)), s, A - 6).where(f"target_hour >= {A} - 30").groupBy("hours_ahead").agg(F.count("*").alias("issued"), F.count("actual").alias("matured"), F.avg("actual").alias("mean_actual"))
+
+
+@query
+def forecast_inventory(spark, d):
+    return P.inventory(P.issue(_state(spark, d), (1, 24)).where(f"target_hour >= {A}"))
+
+
+@query
+def forecast_overrides(spark, d):
+    return P.overrides_wide(P.issue(_state(spark, d), (1,)), A, P.MODEL)
+
+
+@query
+def discover_meters(spark, d):
+    s = _state(spark, d)
+    f = P.issue(s, P.HORIZONS)
+    ask = [P.discover_meters(s, f, t, P.MODEL).groupBy().agg(F.lit(t).alias("target_hour"), F.count("*").alias("meters"), F.sum("post_id").alias("ids")) for t in (A - 5, A + 2, A + 4)]
+    return ask[0].unionByName(ask[1]).unionByName(ask[2])
+
+
+@query
+def recursive_forecast(spark, d):
+    return P.recursive_mean(P.history(_state(spark, d), A), 24)
+
+
+@query
+def horizon_metrics(spark, d):
+    return M.horizon_metrics(_matured(spark, d))
+
+
+@query
+def horizon_groups(spark, d):
+    return M.horizon_groups(_matured(spark, d))
+
+
+@query
+def persistence_eval(spark, d):
+    """Persistence against what was known when the forecast was made, by horizon; coverage is matured over issued."""
+    s = _state(spark, d)
+    f = P.mature(P.issue(s), s, A)
+    g = f.groupBy("hours_ahead").agg(F.count("*").alias("issued"), F.count("actual").alias("matured"), F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"), F.avg(F.abs(F.col("persistence_asof") - F.col("actual"))).alias("persistence_asof_mae"))
+    return g.withColumn("coverage", F.col("matured") / F.col("issued"))
+
+
+@query
+def climatology_eval(spark, d):
+    s = _state(spark, d)
+    t = P.climatology(s.where(f"hour < {A} - 120"), s.where(f"hour >= {A} - 120"))
+    return t.groupBy("local_hour").agg(*M.error_metrics(F.col("climatology"), F.col("available")))
+
+
+def _with_calendar(f):
+    h = F.col("target_hour")
+    return f.select("*", local_hour(h).alias("local_hour")).select("*", period_of_day(F.col("local_hour")).alias("period"), F.when(iso_weekday(h) >= 6, "weekend").otherwise("weekday").alias("day_type"))
+
+
+@query
+def period_breakdown(spark, d):
+    f = _with_calendar(_matured(spark, d)).join(V.meters(spark, d).select("post_id", "meter_type"), "post_id", "left")
+    return M.breakdowns(f, ["period", "day_type", "meter_type", "hours_ahead"], M.error_metrics(F.col("predicted"), F.col("actual")))
+
+
+@query
+def forecast_calibration(spark, d):
+    return M.calibration(_matured(spark, d), 10, 1, "predicted", "actual")
+
+
+@query
+def calibration_by_horizon(spark, d):
+    return M.calibration_errors(_matured(spark, d), by=("hours_ahead",))
+
+
+def _pairs(spark, d):
+    """Targets beside the hour before and the roll3 prediction."""
+    f = X.temporal_vector(_state(spark, d), V.meters(spark, d))
+    return f.select("post_id", "hour", "target", "lag1", local_hour(F.col("hour")).alias("local_hour"), F.col("roll3").alias("predicted"), "roll24", "lag24")
+
+
+@query
+def regime_eval(spark, d):
+    return M.regime_metrics(_pairs(spark, d))
+
+
+@query
+def transition_metrics(spark, d):
+    return M.transition_metrics(_pairs(spark, d))
+
+
+@query
+def target_diagnostics(spark, d):
+    return M.target_diagnostics(X.changes(_state(spark, d)))
+
+
+@query
+def tournament(spark, d):
+    p = _pairs(spark, d).select("target", "lag1", "local_hour", F.col("lag1").alias("persistence"), F.col("predicted").alias("roll3"), "roll24")
+    return M.tournament(p, ["persistence", "roll3", "roll24"])
+
+
+def _busy(spark, d):
+    """Whether a slot is used at all, scored by the mean of the three hours before."""
+    return _pairs(spark, d).select(F.round(1.0 - F.col("predicted"), 3).alias("score"), (F.col("target") < 1.0).cast("int").alias("label"))
+
+
+@query
+def binary_metrics(spark, d):
+    return M.binary_metrics(_busy(spark, d), threshold=0.3005)
+
+
+@query
+def roc_auc(spark, d):
+    return M.roc_auc(_busy(spark, d))
+
+
+@query
+def average_precision(spark, d):
+    return M.average_precision(_busy(spark, d))
+
+
+@query
+def prior_correction(spark, d):
+    b = _busy(spark, d)
+    return b.groupBy("score").agg(F.count("*").alias("n")).withColumn("corrected", M.prior_corrected(F.col("score"), 0.2, 0.01))
+
+
+@query
+def radius_eval(spark, d):
+    s = _state(spark, d)
+    f = P.mature(P.issue(s, (1,)), s, A).where(f"actual is not null and target_hour >= {A} - 24")
+    return P.radius_success(f, V.meters(spark, d), (50, 100, 250, 500, 1000), 20, 11)
+
+
+@query
+def model_health(spark, d):
+    s = _state(spark, d)
+    f = P.issue(s, (1, 24)).withColumn("model_version", F.concat(F.lit("roll3-h"), F.col("hours_ahead").cast("string")))
+    return P.model_health(P.mature(f, s, A))
+
+
+# --- samples and splits -----------------------------------------------------------------------------------------------
+
+
+@query
+def hash_sample(spark, d):
+    return S.bucket_sample(_state(spark, d), 50, 7, per_day=40).select("post_id", "hour", "local_date")
+
+
+@query
+def daily_head_sample(spark, d):
+    return S.daily_head(_state(spark, d), 20).select("post_id", "hour", "local_date", "available")
+
+
+@query
+def hash_ordered_sample(spark, d):
+    return S.bucket_sample(_state(spark, d), 1000, 3, total=500).select("post_id", "hour")
+
+
+@query
+def event_enriched_sample(spark, d):
+    s = _state(spark, d)
+    return S.event_enriched(X.changes(s), S.bucket_sample(s, 20, 7), 0.1, 25)
+
+
+@query
+def temporal_split_counts(spark, d):
+    s = S.temporal_split(_state(spark, d), A - 240, A - 120)
+    return s.groupBy("part").agg(F.count("*").alias("n"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
+
+
+# --- health -------------------------------------------------------------------------------------------------------------
+
+
+def _runs(spark, d):
+    """A run log made of the events: each is a run of its type, every seventh failed."""
+    e = tables.read_table(spark, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("source"), us.alias("started"), (us + 60_000_000).alias("finished"), F.when(F.col("event_id") % 7 == 0, "failed").otherwise("succeeded").alias("status"))
+
+
+@query
+def source_health(spark, d):
+    names = tables.read_table(spark, d, "events").select(F.col("event_type").alias("source")).distinct()
+    registry = names.unionByName(spark.range(1).select(F.lit("garage").alias("source"))).withColumn("sla_hours", F.when(F.col("source") < "m", 1).otherwise(48))
+    return H.source_health(_runs(spark, d), registry, RUN_START)
+
+
+@query
+def freshness_gate(spark, d):
+    return H.freshness_gate(_state(spark, d), A + 2, 3)
+
+
+@query
+def persistence_counts(spark, d):
+    f = P.issue(_state(spark, d), (1,)).where(f"target_hour >= {A} - 12")
+    expected = f.groupBy("target_hour").agg(F.count("*").alias("expected"))
+    return H.verify_counts(f.where("post_id % 17 <> 0 or target_hour % 2 = 0"), expected)
+
+
+# --- learned models (no SQL form) -----------------------------------------------------------------------------------------
+
+
+def _training(spark, d):
+    f = X.temporal_vector(_state(spark, d), V.meters(spark, d))
+    return S.temporal_split(f, A - 168, A - 72)
+
+
+@query
+def isotonic_calibration(spark, d):
+    m = _matured(spark, d).select("post_id", "target_hour", "hours_ahead", "predicted", (F.col("actual") >= 0.5).cast("double").alias("event"))
+    known = m.where(f"target_hour < {A} - 72")
+    out = L.calibrate(L.isotonic(known), m.where(f"target_hour >= {A} - 72"))
+    return out.groupBy("hours_ahead").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("predicted") - F.col("event"), 2)).alias("brier_before"), F.avg(F.pow(F.col("calibrated") - F.col("event"), 2)).alias("brier_after"))
+
+
+@query
+def gbt_forecast(spark, d):
+    rows = _training(spark, d)
+    model = L.boosted(rows, L.TEMPORAL)
+    scored = L.predict(model, rows.where("part = 'test'"), L.TEMPORAL)
+    both = scored.select("target", "lag1", local_hour(F.col("hour")).alias("local_hour"), F.col("lag1").alias("persistence"), F.col("predicted").alias("boosted"))
+    return M.tournament(both, ["persistence", "boosted"])
+
+
+@query
+def state_change_model(spark, d):
+    return M.transition_metrics(L.change_model(_training(spark, d), L.TEMPORAL, rounds=10))
+
+
+@query
+def event_model(spark, d):
+    out = L.event_model(_training(spark, d), L.TEMPORAL)
+    return M.roc_auc(out.select(F.round("p_event", 6).alias("score"), F.col("event").alias("label")))
+
+
+@query
+def soft_logistic(spark, d):
+    return L.soft_logistic(_training(spark, d), L.TEMPORAL).agg(*M.error_metrics(F.col("predicted"), F.col("target")))
+
+
+# --- streams ------------------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, d):
+    raw = streams.session_stream(spark, f"{d}/events.parquet*", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    e = raw.where("event_type <> 'signup'").withColumn("session_start", F.col("ts").cast("timestamp"))
+    start = F.unix_micros("session_start")
+    return e.select(F.col("event_id").cast("string").alias("transmission_id"), F.col("user_id").alias("post_id"), "session_start", start.alias("start_us"), F.when(F.col("event_id") % 97 != 0, start + F.floor(F.col("value") * 60e6).cast("long")).alias("end_us"))
+
+
+@query
+def stream_dedupe(spark, d):
+    twice = _event_stream(spark, d)
+    doubled = twice.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).drop("copy")
+    out = streams.run_to_table(streams.first_writes(doubled), "dedupe")
+    return out.select("transmission_id", "post_id", "start_us", "end_us")
+
+
+@query
+def stream_hourly_state(spark, d):
+    counts = streams.hourly_counts(_event_stream(spark, d))
+    return streams.latest_per_key(streams.run_to_table(counts, "hourly", "update"), ["post_id", "hour"])
+
+
+@query
+def stream_zero_filled(spark, d):
+    counts = streams.latest_per_key(streams.run_to_table(streams.hourly_counts(_event_stream(spark, d)), "hourly", "update"), ["post_id", "hour"])
+    filled = streams.zero_filled(counts, _state(spark, d).select("post_id", "hour"))
+    return filled.groupBy("post_id").agg(F.count("*").alias("hours"), F.count_if(F.col("transaction_count") == 0).alias("silent"), F.sum("overlap_us").alias("overlap_us"))
+
+
+@query
+def stream_quarantine(spark, d):
+    base = tables.shared_folder(spark, "feed")
+    V.raw_feed(spark, d).write.parquet(base)
+    feed = streams.session_stream(spark, base, tables.RAW_SESSION)
+    return streams.run_to_table(streams.quarantine(feed), "quarantine").select("transmission_id", "post_id", "error")
+
+
+@query
+def stream_upsert(spark, d):
+    """The newest session of each meter, kept by micro-batches into a keyed table."""
+    newest = _event_stream(spark, d).groupBy("post_id").agg(F.max(F.struct("start_us", "transmission_id")).alias("s"))
+    out = streams.latest_per_key(streams.run_to_table(newest, "newest", "update"), ["post_id"])
+    return out.select("post_id", "s.start_us", "s.transmission_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in _queries}
