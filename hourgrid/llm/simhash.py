@@ -84,6 +84,12 @@ def _below(value: Column, bits: int, radius: int) -> Column:
     return F.concat(*every)
 
 
+def _ball(value: Column, bits: int, radius: int) -> Column:
+    """All segment values at ``radius`` or fewer differing bits."""
+    masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
+
+
 def links(prints: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints of column ``fp`` at ``radius`` or fewer differing bits.
 
@@ -93,17 +99,17 @@ def links(prints: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     """
     distinct = prints.select("fp").distinct()
     tables, probes = [], []
+
+    def keys(k: int, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
+
     for k, (first, bits, ball) in enumerate(_segments(radius, segments)):
         if ball < 0:
             continue
         value = F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1)
         tables.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
-        # Cleared bits alone reach a neighbour from above only; a ball of two bits or more needs both directions mixed.
-        if ball <= 1:
-            probes.append(F.transform(_below(value, bits, ball), lambda v, k=k: F.struct(F.lit(k).alias("k"), v.alias("v"))))
-        else:
-            masks = [sum(1 << b for b in c) for r in range(ball + 1) for c in combinations(range(bits), r)]
-            probes.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, k=k, value=value: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(m).alias("v"))))
+        # One cleared bit reaches every neighbour at one bit from one of the two ends; a wider ball needs set bits too.
+        probes.append(keys(k, _below(value, bits, ball) if ball <= 1 else _ball(value, bits, ball)))
     table = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*tables)).alias("s")).select("b", "s.k", "s.v")
     probe = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("s")).select("a", "s.k", "s.v")
     close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
