@@ -218,13 +218,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     long = F.filter("spans", lambda s: s["end"] - s["start"] >= max_span)
     touched = found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), (hit >= max_share * F.col("n_words")).alias("_drop"), long.alias("_cut"))
-    joined = docs.join(touched, docs[id_col] == F.col("_id"), "left").where("not coalesce(_drop, false)")
+    # Names of our own keep the columns of docs apart from those of the join.
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    of = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    joined = rows.join(touched, of[id_col] == F.col("_id"), "left").where("not coalesce(_drop, false)")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or not len(s) else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return joined.select(*[cut(docs[c].cast("string"), F.col("_cut")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[(cut(k.cast("string"), F.col("_cut")) if c == text_col else k).alias(c) for c, k in of.items()])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
