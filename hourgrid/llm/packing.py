@@ -58,7 +58,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size, self.known = size, {}
+        self.size, self.known, self.older = size, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -67,7 +67,15 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: set[str]) -> None:
-        """Adds the ids of ``words``, as bytes, and those of their parts."""
+        """Adds the ids of ``words``, as bytes, and those of their parts.
+
+        Entries live in two generations: a word of the older one moves up when it is met, and when the younger is full it
+        becomes the older, so that frequent words stay.
+        """
+        for w in words:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+        words = {w for w in words if w not in self.known}
         cut = {w: (w[: m.start()], m[0]) if (m := TAIL.search(w)) else (w,) for w in words}
         parts = [p for p in {p for ps in cut.values() for p in ps} if p not in self.known]
         # Runs of letters are single words to the tokenizer: many are encoded as one text and parted after the
@@ -92,13 +100,12 @@ class WordEncoder:
         if not text.isascii() and ("Σ" in text or "İ" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))) or ODD_SPACE.search(text):
             return self.plain(text), np.zeros(0, dtype=np.int64)
         chunks = low.split()
-        fresh = {w for w in set(chunks) if w not in self.known}
-        if fresh:
-            if len(self.known) + 2 * len(fresh) > self.size:
-                self.known.clear()
-                fresh = set(chunks)
-            self._learn(fresh)
-        parts = list(map(self.known.__getitem__, chunks))
+        if len(self.known) > self.size // 2:
+            self.older, self.known = self.known, {}
+        parts = list(map(self.known.get, chunks))
+        if None in parts:
+            self._learn({w for w, p in zip(chunks, parts, strict=True) if p is None})
+            parts = list(map(self.known.__getitem__, chunks))
         upto = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)).cumsum() // 4
         return np.frombuffer(b"".join(parts), dtype="<u4"), upto[[k for k, w in enumerate(chunks) if w[-1] in ".!?"]]
 
@@ -107,7 +114,7 @@ def plan_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, limit: int = LIMI
     """Cuts (token positions, increasing) of a stream, its end among them.
 
     Candidates are document ends (no cost), sentence ends and every ``grid``-th token. A sequence pays its padding to
-    ``limit``; one whose length is a power of two pays none.
+    ``limit``; one of half or a quarter of it pays none.
     """
     total = int(doc_ends[-1])
     cost = dict.fromkeys(range(grid, total, grid), word_cut)
@@ -116,7 +123,7 @@ def plan_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, limit: int = LIMI
     cost.pop(0, None)
     best, back = {0: 0}, {}
     queue = deque([(0, 0)])  # (position, best + position): values rise from front to back
-    sizes = [1 << k for k in range(limit.bit_length()) if 1 << k < limit]
+    sizes = (limit // 2, limit // 4)  # shorter powers of two only at the end of a shard, see tail_cuts
     for j in sorted(cost):
         while queue[0][0] < j - limit:
             queue.popleft()

@@ -31,6 +31,8 @@ LENGTH = 400
 KEY = 120
 #: Bytes that are hashed at once; small, so that the arrays stay in the processor's cache.
 SLICE = 1 << 17
+#: A key with more different stretches than this is not put into one suffix array: its strings are counted one by one.
+GROUP_LIMIT = 50_000
 #: A longer text is hashed in parts of this size, which overlap.
 PART = 1 << 22
 _POS_BITS = 24
@@ -220,6 +222,26 @@ def _scan_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     yield pa.RecordBatch.from_pylist(out, schema=_MARK)
 
 
+_STRING = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("l", pa.int32()), ("content", pa.binary())])
+
+
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every string of ``length`` bytes of the stretches, by the bytes it has before the anchor and a 128-bit hash."""
+    for batch in batches:
+        for key, sh, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "sh", "left", "right")), strict=True):
+            text = left + right
+            n = len(text) - length + 1
+            yield pa.RecordBatch.from_pydict({"key": [key] * n, "sh": [sh] * n, "l": [len(left) - k for k in range(n)], "content": [hashlib.blake2b(text[k : k + length], digest_size=16).digest() for k in range(n)]}, schema=_STRING)
+
+
+def count_strings(contexts: DataFrame, length: int) -> DataFrame:
+    """The marks of very large groups without a group in one task: strings are counted, with sums before the exchange."""
+    each = landed(contexts.mapInArrow(partial(_strings, length=length), "key long, sh long, l int, content binary"))
+    again = each.groupBy("key", "l", "content").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = each.join(again, ["key", "l", "content"]).select("key", "sh", F.struct("l", (F.lit(length) - F.col("l")).cast("int").alias("r")).alias("m"))
+    return met.groupBy("key", "sh").agg(F.collect_set("m").alias("marks"))
+
+
 _CUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -261,12 +283,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = landed(classes.join(kinds, "key").select("key", "sh", "n", "kinds", "rep.*"))
     whole = several.where("n > 1").select("key", "sh", F.array(F.struct(F.col("la").alias("l"), (F.col("lb") + length).alias("r"))).alias("marks"))
 
-    contested = several.where("kinds > 1").groupBy("did", "th").agg(F.collect_list(F.struct("key", "sh", "pos", "la", "lb")).alias("places"))
-    contexts = rows.join(contested, ["did", "th"]).select("raw", "places").mapInArrow(partial(_contexts, length=length), "key long, sh long, left binary, right binary")
+    def contexts_of(places: DataFrame) -> DataFrame:
+        by_doc = places.groupBy("did", "th").agg(F.collect_list(F.struct("key", "sh", "pos", "la", "lb")).alias("places"))
+        return rows.join(by_doc, ["did", "th"]).select("raw", "places").mapInArrow(partial(_contexts, length=length), "key long, sh long, left binary, right binary")
+
+    contexts = contexts_of(several.where(f"kinds between 2 and {GROUP_LIMIT}"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_contexts = contexts.dropDuplicates(["key", "sh"]).repartition(tasks, "key").sortWithinPartitions("key", "sh")
     partly = sorted_contexts.mapInArrow(partial(_scan_groups, length=length), "key long, sh long, marks array<struct<l:int,r:int>>")
-    marks = landed(whole.unionByName(partly))
+    every = whole.unionByName(partly)
+    large = several.where(f"kinds > {GROUP_LIMIT}")
+    if not large.isEmpty():
+        every = every.unionByName(count_strings(contexts_of(large), length))
+    marks = landed(every)
 
     placed = found.join(marks, ["key", "sh"]).select("did", "th", "pos", F.explode("marks").alias("m")).select("did", "th", F.struct((F.col("pos") - F.col("m.l")).alias("a"), (F.col("pos") + F.col("m.r")).alias("b")).alias("s"))
     spans = placed.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))

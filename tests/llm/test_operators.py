@@ -362,8 +362,9 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "limit"), [(1, 50_000), (2, 50_000), (3, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, seed, limit):
+    monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", limit)
     rng = random.Random(seed)
     base = "".join(rng.choice("abc de") for _ in range(400))
     rows = []
