@@ -51,6 +51,7 @@ def tidy(df: DataFrame) -> DataFrame:
 def query(f: Callable[[SparkSession, str], DataFrame]):
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times have no zone and are read in the session's
         return tidy(f(spark, sf_dir))
 
     _queries[f.__name__] = run
@@ -67,6 +68,7 @@ def _normal(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten busiest meter-hours of the dense hourly state."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     top = _state(spark, sf_dir).orderBy(F.round("occupied", 6).desc(), F.desc("paid_overlap_minutes"), "post_id", "hour").limit(10)
     return tidy(top.select("post_id", slot_start(F.col("hour")).alias("slot_start"), "transaction_count", "paid_overlap_minutes", "occupied", "available"))
 
