@@ -12,9 +12,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from hourgrid.llm.common import read_table
 LIMIT = 4096
 END_ID = 2
 #: What a cut costs besides padding, in tokens.
-SENTENCE_CUT, WORD_CUT = 8, 64
+SENTENCE_CUT, WORD_CUT = 4, 16
 #: Tokens between the cuts that are allowed inside sentences.
 GRID = 128
 #: Sequences that one dynamic program covers; a task holds that many and one document.
@@ -35,10 +36,19 @@ HORIZON = 64
 CACHE_WORDS = 600_000
 #: Python's white space that the tokenizer's pattern takes for symbols.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+_PRINTABLE = frozenset([*range(33, 127), *range(161, 173), *range(174, 256)])
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 #: ASCII punctuation without apostrophes at the end of a word, after a letter or digit.
 TAIL = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[!-&(-/:-@\\[-`{-~]+$")
 
 
+@lru_cache(1 << 16)
+def glyph(char: str) -> str:
+    """How a byte-level vocabulary spells a character: printable bytes of Latin-1 as themselves, the others, in order, from 256 on."""
+    return "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in char.encode())
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -60,39 +70,33 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.size, self.known, self.older = size, {}, {}
         vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_sentence[[i for token, i in vocabulary.items() if token.endswith((".</w>", "!</w>", "?</w>"))]] = True
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds the ids of ``words``, as bytes, and those of their parts.
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word that is not known, as bytes; it and its parts are known then.
 
         Entries live in two generations: a word of the older one moves up when it is met, and when the younger is full it
         becomes the older, so that frequent words stay.
         """
-        for w in words:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-        words = {w for w in words if w not in self.known}
-        cut = {w: (w[: m.start()], m[0]) if (m := TAIL.search(w)) else (w,) for w in words}
-        parts = [p for p in {p for ps in cut.values() for p in ps} if p not in self.known]
-        # Runs of letters are single words to the tokenizer: many are encoded as one text and parted after the
-        # tokens that end a word. The rest go one by one.
-        runs = [p for p in parts if p.isalpha()]
-        for start in range(0, len(runs), 1024):
-            run = runs[start : start + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(run):
-                self.known.update(zip(run, map(np.ndarray.tobytes, np.split(ids, ends[:-1])), strict=True))
-        rest = [p for p in parts if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, ps in cut.items():
-            if len(ps) > 1:
-                self.known[w] = b"".join(map(self.known.__getitem__, ps))
+        if (ids := self.known.get(word)) is not None:
+            return ids
+        ids = self.older.get(word)
+        if ids is None:
+            cut = TAIL.search(word)
+            if cut:
+                ids = self._learn(word[: cut.start()]) + self._learn(cut[0])
+            elif word.isalpha() or PUNCTUATION.fullmatch(word):
+                # A run of letters, or of ASCII punctuation without apostrophes, is one word to the tokenizer: its model
+                # takes it without normalising and splitting again.
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else "".join(map(glyph, word)))]).tobytes()
+            else:
+                ids = self.plain(word).tobytes()
+        self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts of ids after which a sentence ends)."""
@@ -104,10 +108,12 @@ class WordEncoder:
             self.older, self.known = self.known, {}
         parts = list(map(self.known.get, chunks))
         if None in parts:
-            self._learn({w for w, p in zip(chunks, parts, strict=True) if p is None})
-            parts = list(map(self.known.__getitem__, chunks))
-        upto = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)).cumsum() // 4
-        return np.frombuffer(b"".join(parts), dtype="<u4"), upto[[k for k, w in enumerate(chunks) if w[-1] in ".!?"]]
+            k = -1
+            for _ in range(parts.count(None)):
+                k = parts.index(None, k + 1)
+                parts[k] = self._learn(chunks[k])
+        ids = np.frombuffer(b"".join(parts), dtype="<u4")
+        return ids, np.flatnonzero(self.ends_sentence[ids]) + 1
 
 
 def plan_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, limit: int = LIMIT, sentence_cut: int = SENTENCE_CUT, word_cut: int = WORD_CUT, grid: int = GRID) -> list[int]:
