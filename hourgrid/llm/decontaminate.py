@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import landed, read_table
+from hourgrid.llm.common import bounded_batches, landed, read_table
 
 #: Bytes of UTF-8 that form words once A-Z is folded: 0-9, a-z and all of non-ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -175,6 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     item's windows. An item longer than a block has a block of its own. Rows that repeat stay. Other columns are
     ignored; empty tables give no rows, or rows without spans.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "row long, id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import read_table
+from hourgrid.llm.common import bounded_batches, read_table
 
 LIMIT = 4096
 END_ID = 2
@@ -33,7 +33,7 @@ GRID = 128
 #: Sequences that one dynamic program covers; a task holds that many and one document.
 HORIZON = 64
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Python's white space that the tokenizer's pattern takes for symbols.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]+")
@@ -246,6 +246,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     if limit & (limit - 1):
         raise ValueError("limit must be a power of two")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     return rows.mapInArrow(partial(_pack, tokenizer=tokenizer or tokenizer_path(), limit=limit, end_id=end_id, with_ids=with_ids), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import read_table
+from hourgrid.llm.common import bounded_batches, read_table
 
 PASSAGE_WORDS = 64
 SHAPES = 32
@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_column(spark: SparkSession, model: AttentionMil, text: Column) -> Column:
     """The score of a text column, 0 to 1; a null or empty text has one too."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
