@@ -288,6 +288,28 @@ def test_frequent_seeds_go_in_groups(spark, monkeypatch):
     assert plain == flagged() == set(range(1, 300))
 
 
+@pytest.mark.parametrize(("size", "gap"), [(60, 50), (60, 20), (100, 150), (300, 300), (300, 100)])
+def test_words_between_two_passages_stay(spark, size, gap):
+    rng = random.Random(size + gap)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    head, foot = text(size), text(size)
+    df = docs_of(spark, [(1, " ".join(head + text(gap) + foot)), (2, " ".join(head + (between := text(gap)) + foot))])
+    got = {r.doc_id: r for r in passage_dedup.cut_passages(df, passage_dedup.find_passages(df)).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 2 * size and got[2].n_spans == 2 and got[2].text.split() == between
+
+
+def test_repeats_that_are_one_only_as_a_whole():
+    text = lambda c, n: [f"{c}{k}" for k in range(n)]
+    for parts, want in [((40, 20, 40), [(0, 100)]), ((60, 20, 30), [(0, 110)]), ((300, 60, 12), [(0, 300)]), ((60, 5, 60), [(0, 125)]), ((40, 30, 40), []), ((45, 9, 45, 40, 20), [(0, 99)])]:
+        a, b, anchors = [], [], []
+        for k, n in enumerate(parts):
+            if k % 2 == 0:
+                anchors += [(len(a) + x, len(b) + x) for x in range(0, n - 4, 6)]
+            a += text(f"s{k}x" if k % 2 == 0 else f"a{k}x", n)
+            b += text(f"s{k}x" if k % 2 == 0 else f"b{k}x", n)
+        assert [r[:2] for r in passage_dedup.repeats(a, b, anchors)] == want
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 
