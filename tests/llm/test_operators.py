@@ -288,6 +288,19 @@ def test_frequent_seeds_go_in_groups(spark, monkeypatch):
     assert plain == flagged() == set(range(1, 300))
 
 
+def test_links_do_not_depend_on_frequency(spark, monkeypatch):
+    """Passages that stand in few of the documents with a frequent line have the same partners when the line is dealt out."""
+    rng = random.Random(13)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    line = text(45)  # less than a passage
+    kinds = [text(30) for _ in range(12)]
+    df = docs_of(spark, [(i, " ".join(text(20) + (line + rng.choice(kinds) if i > 60 else line) + text(10) + (line if i % 7 == 0 else []))) for i in range(400)])
+    partners = lambda: sorted((r.did, r.start, r.end, r.pdid, r.pstart) for r in passage_dedup.find_passages(df).collect())
+    plain = partners()
+    monkeypatch.setattr(passage_dedup, "HOT_ROWS", 64)
+    assert len(plain) > 200 and plain == partners()
+
+
 @pytest.mark.parametrize(("size", "gap"), [(60, 50), (60, 20), (100, 150), (300, 300), (300, 100)])
 def test_words_between_two_passages_stay(spark, size, gap):
     rng = random.Random(size + gap)
