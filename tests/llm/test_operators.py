@@ -288,6 +288,31 @@ def test_frequent_seeds_go_in_groups(spark, monkeypatch):
     assert plain == flagged() == set(range(1, 300))
 
 
+@pytest.mark.parametrize(("low", "high"), [(8, 16), (15, 25), (30, 45)])
+def test_passages_composed_of_stock_lines(spark, low, high):
+    """Every word of an exact window of 50 words that an earlier document has goes, though its lines stand in others too."""
+    rng = random.Random(low)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    lines, known, docs = [text(rng.randrange(low, high)) for _ in range(40)], [], []
+    for i in range(300):
+        ws = text(15)
+        for _ in range(3):
+            known.append(rng.choice(known) if known and rng.random() < 0.5 else [rng.choice(lines) for _ in range(rng.randrange(2, 6))])
+            ws += sum(known[-1], []) + text(10)
+        docs.append((i, ws))
+    removed = {i: set() for i, _ in docs}
+    for r in passage_dedup.find_passages(docs_of(spark, [(i, " ".join(ws)) for i, ws in docs])).collect():
+        removed[r.did] |= set(range(r.start, r.end))
+    seen, shared = set(), 0
+    for i, ws in docs:
+        grams = [tuple(ws[k : k + 50]) for k in range(len(ws) - 49)]
+        covered = {p for k, g in enumerate(grams) if g in seen for p in range(k, k + 50)}
+        seen.update(grams)
+        shared += len(covered)
+        assert covered <= removed[i]
+    assert shared > 3000
+
+
 def test_links_do_not_depend_on_frequency(spark, monkeypatch):
     """Passages that stand in few of the documents with a frequent line have the same partners when the line is dealt out."""
     rng = random.Random(13)
