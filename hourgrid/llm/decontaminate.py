@@ -214,15 +214,16 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.05, max_span: int = WINDOW, window: int = WINDOW) -> DataFrame:
     """``docs`` without documents of which ``max_share`` or more is under item windows, and with spans of ``max_span``
-    words or more cut out of the others. Rows and columns stay as they are otherwise; needs one row per id."""
-    found = find_contamination(docs, benchmark, id_col, text_col, window=window)
+    words or more cut out of the others. Rows and columns stay as they are otherwise; a row is known by its id and text."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    found = find_contamination(docs.select(key.alias("_id"), text_col), benchmark, "_id", text_col, window=window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     long = F.filter("spans", lambda s: s["end"] - s["start"] >= max_span)
-    touched = found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), (hit >= max_share * F.col("n_words")).alias("_drop"), long.alias("_cut"))
+    touched = found.where(F.size("spans") > 0).select("_id", (hit >= max_share * F.col("n_words")).alias("_drop"), long.alias("_cut")).dropDuplicates(["_id"])
     # Names of our own keep the columns of docs apart from those of the join.
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     of = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
-    joined = rows.join(touched, of[id_col] == F.col("_id"), "left").where("not coalesce(_drop, false)")
+    joined = rows.join(touched, F.xxhash64(of[id_col], of[text_col].cast("string")) == F.col("_id"), "left").where("not coalesce(_drop, false)")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -56,7 +56,8 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [simhash(t.as_py(), shingle, seed) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p - (1 << 64) if p >> 63 else p for p in prints], pa.int64())], names=["id", "fp"])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([p - (1 << 64) if p >> 63 else p for p in prints], pa.int64())], names=[*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -138,11 +139,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates: the one with the smallest id, any one of rows that repeat it."""
-    classes = near_duplicates(docs, id_col, **options)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3, segments: int = 2) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: the one with the smallest id, of those that share it the one
+    with the smallest hash of its text, any one of rows that repeat both. A null id is the last choice, and rows with
+    null ids are told apart by their texts."""
+    text = F.col(text_col).cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("th"), text.alias("text"))
+    prints = landed(rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "id long, th long, fp long"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    first = prints.groupBy("fp").agg(F.min(order).alias("k"))
+    placed = first.join(components(landed(links(prints, radius, segments))), F.col("fp") == F.col("node"), "left")
+    keep = placed.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("_keep"), F.col("k.th").alias("_th"))
+    own = docs.withColumn("_row", key)
+    return own.join(keep, own[id_col].cast("long").eqNullSafe(keep["_keep"]) & (own["_row"] == keep["_th"]), "left_semi").dropDuplicates([id_col, "_row"]).drop("_row")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,14 @@ def test_decontaminate_drops_and_cuts(spark):
     assert set(got) == {2, 3, 4} and got[3] == clean and "gamma" not in got[2] and got[2].startswith("w0 ") and got[2].endswith("w399") and got[4] is None
 
 
+def test_decontaminate_without_ids_and_with_repeated_ones(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    clean = " ".join(f"w{i}" for i in range(400))
+    rows = [(None, item), (None, clean), (None, clean + " " + item), (7, item), (7, clean), (7, clean), (7, item + " " + clean), (7, item + " " + clean)]
+    got = decontaminate.decontaminate(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.strip()) for r in got) == [(0, clean)] * 2 + [(7, clean)] * 4
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -199,6 +207,13 @@ def test_simhash_edges(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6, 7] and kept.columns == docs_of(spark, []).columns
 
 
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)) for _ in range(5))
+    kept = simhash.keep_one(docs_of(spark, [(None, a), (None, b), (None, b), (None, c), (3, c), (4, d), (4, e), (4, e)]))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, a), (0, b), (3, c), (4, d), (4, e)])
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
