@@ -49,8 +49,11 @@ def landed(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = path or new_folder(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # What led here is not read again: its shuffle files go with the driver's next collection of garbage, so ask for one.
+    spark._jvm.System.gc()
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

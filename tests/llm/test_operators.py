@@ -247,17 +247,26 @@ def test_chat_escapes_are_reversible(spark):
 def test_chains_reach_the_best_score():
     rng = random.Random(4)
     for _ in range(60):
-        ms = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(12)}, key=lambda m: (m[0], -m[1]))
+        ms = sorted({(rng.randrange(60), rng.randrange(60)): rng.choice((5, 5, 5, 39)) for _ in range(14)}.items(), key=lambda m: (m[0][0], -m[0][1]))
         best = {}
-        for a, b in ms:
-            best[a, b] = 5.0
-            for x, y in ms:
-                if x < a and y < b:
-                    # the tree picks the predecessor by score and gap; an overlap then shortens the seed's own words
-                    best[a, b] = max(best[a, b], best[x, y] - 0.1 * (a - x + b - y) + min(5, a - x, b - y))
-        found = passage_dedup.chains(ms)
-        assert sorted(m for c in found for m in c) == sorted(ms)
-        assert all(x[0] < y[0] and x[1] < y[1] for c in found for x, y in itertools.pairwise(c))
+        for (a, b), n in ms:
+            best[a, b] = max([n, *(n + s - 0.1 * (a - x + b - y) for (x, y), s in best.items() if x < a and y < b)])
+        found = passage_dedup.chains([(a, b, n) for (a, b), n in ms] + [(a, b, 1) for (a, b), _ in ms])
+        assert sorted((a, b, n) for _, c in found for a, b, n in c) == sorted((a, b, n) for (a, b), n in ms)
+        assert all(x[0] < y[0] and x[1] < y[1] for _, c in found for x, y in itertools.pairwise(c))
+        assert found[0][0] == pytest.approx(max(best.values())) and all(s == pytest.approx(best[c[-1][:2]]) for s, c in found)
+
+
+def test_common_words_of_gaps():
+    rng = random.Random(14)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        assert passage_dedup._common(a, b) == table[-1][-1]
+    assert passage_dedup._common(list(range(30_000)), list(range(15_000, 45_000))) == 15_000
 
 
 def test_planted_passages_are_found(spark):
@@ -292,15 +301,27 @@ def test_exact_runs_of_documents_are_removed(spark, documents):
         assert cut[i].n_words == len(ws) and cut[i].n_removed >= 0.95 * len(covered)
 
 
-def test_frequent_seeds_go_in_groups(spark, monkeypatch):
-    """Links by salted groups find the same classes."""
-    rng = random.Random(12)
-    shared = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(80))
-    df = docs_of(spark, [(i, " ".join("".join(rng.choice("ghijkl") for _ in range(5)) for _ in range(20)) + " " + shared) for i in range(300)])
-    flagged = lambda: {r.did for r in passage_dedup.find_passages(df).collect()}
-    plain = flagged()
-    monkeypatch.setattr(passage_dedup, "HOT_ROWS", 64)
-    assert plain == flagged() == set(range(1, 300))
+def test_a_passage_of_fragments_is_found(spark):
+    """A passage that two documents share is found though all of its parts stand in documents before and between them."""
+    rng = random.Random(21)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    for copies in (1, 20):
+        passage = text(60)
+        rows = [(1000, text(40) + passage + text(30)), (2000, text(25) + passage + text(40))]
+        for i in range(copies):
+            rows += [(10 * i + k, text(20) + passage[at : at + 24] + text(20)) for k, at in enumerate((0, 18, 36))] + [(1100 + 3 * i + k, text(20) + passage[at : at + 24] + text(20)) for k, at in enumerate((0, 18, 36))]
+        df = docs_of(spark, [(i, " ".join(ws)) for i, ws in rows])
+        got = {(r.did, r.pdid) for r in passage_dedup.find_passages(df).collect()}
+        assert got == {(2000, 1000)}
+
+
+def test_copies_follow_their_first_document(spark):
+    rng = random.Random(22)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    long, short = text(60), text(30)
+    df = docs_of(spark, [(1, long), (2, long), (2, long), (3, short), (4, short), (None, text(70)), (5, long + " " + text(20))])
+    got = sorted((r.doc_id or 0, r.n_removed, r.matched_docs) for r in passage_dedup.cut_passages(df, passage_dedup.find_passages(df)).collect())
+    assert got == [(0, 0, []), (1, 0, []), (2, 60, [1]), (2, 60, [1]), (3, 0, []), (4, 0, []), (5, 60, [1])]
 
 
 @pytest.mark.parametrize(("low", "high"), [(8, 16), (15, 25), (30, 45)])
@@ -328,17 +349,35 @@ def test_passages_composed_of_stock_lines(spark, low, high):
     assert shared > 3000
 
 
-def test_links_do_not_depend_on_frequency(spark, monkeypatch):
-    """Passages that stand in few of the documents with a frequent line have the same partners when the line is dealt out."""
+@pytest.mark.parametrize("rare", [2, 8, 1000])
+def test_exact_passages_do_not_depend_on_frequency(spark, monkeypatch, rare):
+    """What an earlier document has goes, however many places of a seed are linked with each other."""
     rng = random.Random(13)
     text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
     line = text(45)  # less than a passage
     kinds = [text(30) for _ in range(12)]
-    df = docs_of(spark, [(i, " ".join(text(20) + (line + rng.choice(kinds) if i > 60 else line) + text(10) + (line if i % 7 == 0 else []))) for i in range(400)])
-    partners = lambda: sorted((r.did, r.start, r.end, r.pdid, r.pstart) for r in passage_dedup.find_passages(df).collect())
-    plain = partners()
-    monkeypatch.setattr(passage_dedup, "HOT_ROWS", 64)
-    assert len(plain) > 200 and plain == partners()
+    rows = [(i, text(20) + (line + rng.choice(kinds) if i > 60 else line) + text(10) + (line if i % 7 == 0 else [])) for i in range(200)]
+    df = docs_of(spark, [(i, " ".join(ws)) for i, ws in rows])
+    monkeypatch.setattr(passage_dedup, "RARE", rare)
+    removed = {i: set() for i, _ in rows}
+    for r in passage_dedup.find_passages(df).collect():
+        removed[r.did] |= set(range(r.start, r.end))
+    seen = set()
+    for i, ws in rows:
+        grams = [tuple(ws[k : k + 50]) for k in range(len(ws) - 49)]
+        assert {p for k, g in enumerate(grams) if g in seen for p in range(k, k + 50)} <= removed[i]
+        seen.update(grams)
+
+
+def test_long_passages_reach_beyond_their_slices(spark, monkeypatch):
+    rng = random.Random(23)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage = text(200)
+    df = docs_of(spark, [(1, " ".join(text(100) + passage + text(100))), (2, " ".join(text(300) + passage + text(10)))])
+    wide = [tuple(r) for r in passage_dedup.find_passages(df).collect()]
+    monkeypatch.setattr(passage_dedup, "BEFORE", 8)
+    monkeypatch.setattr(passage_dedup, "AFTER", 60)
+    assert [tuple(r) for r in passage_dedup.find_passages(df).collect()] == wide and wide[0][2:4] == (300, 500)
 
 
 @pytest.mark.parametrize(("size", "gap"), [(60, 50), (60, 20), (100, 150), (300, 300), (300, 100)])
