@@ -65,10 +65,22 @@ def slot_of_local(date: Column, hour: Column, tz: str = TZ) -> Column:
     return hour_of(F.unix_micros(F.to_utc_timestamp(local, tz)))
 
 
+def slots_of_local(date: Column, hour: Column, tz: str = TZ) -> Column:
+    """All slots of a local date and hour as an array: two where the hour repeats, none where it is skipped."""
+    about = slot_of_local(date, hour, tz)
+    return F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: about + o), lambda h: (local_date(h, tz) == date) & (local_hour(h, tz) == hour))
+
+
 def overlap_us(start: Column, end: Column, hour: Column) -> Column:
     return F.greatest(F.lit(0), F.least(end, (hour + 1) * HOUR_US) - F.greatest(start, hour * HOUR_US))
 
 
+def cyclical_with_minutes(us: Column, tz: str = TZ) -> list[Column]:
+    """The hour's angle with its minutes, and the weekday's."""
+    local = F.from_utc_timestamp(F.timestamp_micros(us), tz)
+    return [*cyclical(F.hour(local) + F.minute(local) / 60.0, 24, "hour"), *cyclical(F.weekday(local), 7, "weekday")]
+
+
 def cyclical(value: Column, period: int, name: str) -> list[Column]:
     angle = value * (2 * 3.141592653589793) / period
     return [F.sin(angle).alias(f"{name}_sin"), F.cos(angle).alias(f"{name}_cos")]

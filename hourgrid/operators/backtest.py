@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.functions.geo import DEGREE_M, haversine_m
 from hourgrid.functions.slots import HOUR_US, iso_weekday, local_date, local_hour
 from hourgrid.operators.baselines import MODELS, WINDOW_HOURS, observation_grid
 from hourgrid.operators.canonical import as_of
-from hourgrid.operators.state import session_slots
+from hourgrid.operators.state import frontier, session_slots
 
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -21,6 +22,19 @@ def scoped(sessions: DataFrame, ids: DataFrame | None = None, max_meters: int |
     return out
 
 
+def near_point(meters: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
+    """Ids of the meters within ``radius_m`` of a point; the box around it is pushed down to the scan."""
+    step = radius_m / DEGREE_M
+    boxed = meters.where(F.col("lat").between(lat - step, lat + step))
+    return boxed.where(haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= radius_m).select("post_id")
+
+
+def known_until(sessions: DataFrame, requested_hour: int, horizon_hours: int = 24) -> int:
+    """The hour up to which outcomes are known: the requested one, or the observation frontier if that is earlier."""
+    row = frontier(sessions, horizon_hours, requested_hour * HOUR_US).first()
+    return requested_hour if row["until_us"] is None else row["until_us"] // HOUR_US
+
+
 def run_backtest(sessions: DataFrame, placements: DataFrame, meters: DataFrame, first_hour: int, until_hour: int, hours: tuple[int, ...] | None = None, model: str = "deterministic_v0", window_hours: int = WINDOW_HOURS) -> DataFrame:
     """One row per meter and slot that the baseline can score.
 

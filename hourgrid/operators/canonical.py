@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.slots import HOUR_US
+from hourgrid.sources.ingest import keyed_append
 
 
 def scd2(history: DataFrame, key: str = "post_id") -> DataFrame:
@@ -43,6 +44,35 @@ def entities(meters: DataFrame) -> DataFrame:
     return faces.unionByName(streets)
 
 
+def placements(meters: DataFrame, known: DataFrame, blockfaces: DataFrame, valid_from: Column) -> DataFrame:
+    """An open placement per known meter, its blockface resolved among the canonical ones, null where it is none of them."""
+    m = meters.join(known.select("post_id"), "post_id", "left_semi").join(blockfaces.select(F.col("source_blockface_id").alias("blockface_id"), F.lit(True).alias("_known")), "blockface_id", "left")
+    first = Window.partitionBy("post_id").orderBy("valid_from", "lat", "lon")
+    rows = m.select("post_id", F.when(F.col("_known"), F.col("blockface_id")).alias("blockface_id"), "active", "lat", "lon", valid_from.alias("valid_from"))
+    return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
+def projections(meters: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The canonical tables as sources, in the order of their references: name -> (rows, key)."""
+    streets = meters.where("street_id is not null").select(F.col("street_id").alias("source_street_id")).distinct()
+    faces = meters.where("blockface_id is not null").join(streets.select(F.col("source_street_id").alias("street_id"), F.lit(True).alias("_known")), "street_id", "left")
+    faces = faces.groupBy(F.col("blockface_id").alias("source_blockface_id")).agg(F.max(F.when(F.col("_known"), F.col("street_id"))).alias("street_id"))
+    known = meters.where("post_id is not null").select("post_id").distinct()
+    return {"streets": (streets, ["source_street_id"]), "blockfaces": (faces, ["source_blockface_id"]), "meters": (known, ["post_id"]), "meter_placements": (placements(meters, known, faces, F.lit(0).cast("long")), ["post_id", "valid_from"])}
+
+
+def project_canonical(meters: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
+    """A row per projection, in order: rows it gave and rows that ``stored`` lacked by key."""
+    out = None
+    for name, (rows, key) in projections(meters).items():
+        target = stored.get(name, rows.limit(0))
+        fresh = keyed_append(target, rows, key, [F.col(k) for k in key])
+        counts = rows.agg(F.count("*").alias("processed")).crossJoin(F.broadcast(fresh.agg(F.count("*").alias("stored"))))
+        row = counts.select(F.lit(name).alias("projection"), "processed", "stored", (F.col("processed") - F.col("stored")).alias("skipped"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def space_links(policies: DataFrame) -> DataFrame:
     """Validity of each (space, meter) pair: earliest start (none means since ever), latest end among those that have one."""
     p = policies.where("parking_space_id is not null")

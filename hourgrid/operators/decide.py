@@ -63,12 +63,14 @@ def any_free(candidates: DataFrame, by: str = "request_id", correlation: float =
     return r.groupBy(by).agg(F.count("*").alias("candidates"), (1.0 - F.exp(weighted)).alias("correlated"), (1.0 - F.exp(F.sum(miss))).alias("independent"))
 
 
-def request_errors() -> Column:
-    """Faults of a request, in order; empty for a good one."""
+def request_errors(with_top: bool = False) -> Column:
+    """Faults of a request, in order; empty for a good one. ``with_top`` also asks for a positive ``top``."""
     rules = [
         ("latitude", ~F.coalesce(F.col("lat").between(-90, 90), F.lit(False))), ("longitude", ~F.coalesce(F.col("lon").between(-180, 180), F.lit(False))),
         ("hour", ~F.coalesce(F.col("local_hour").between(0, 23), F.lit(False))), ("radius", ~F.coalesce(F.col("radius_m") > 0, F.lit(False))), ("date", F.col("local_date").isNull()),
     ]
+    if with_top:
+        rules.append(("top", ~F.coalesce(F.col("top") > 0, F.lit(False))))
     return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]), lambda e: e.isNotNull())
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.geo import near
-from hourgrid.functions.slots import cyclical, iso_weekday
+from hourgrid.functions.slots import cyclical, iso_weekday, local_date, local_hour
 
 LAGS = (1, 2, 3, 6, 24, 168)
 
@@ -53,13 +53,13 @@ def temporal_vector(state: DataFrame, meters: DataFrame) -> DataFrame:
 
 
 def snapshot_features(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """Last and fourth last value and the mean of the 24 hours before, values only where seen; the neighbours' last mean."""
+    """Last and fourth last value and the mean of the 24 hours before, values only where seen; the mean, least and greatest last value of the neighbours."""
     frame = by_time().rangeBetween(-24, -1)
     seen = F.collect_list("available").over(frame)
     own = state.select("post_id", "hour", seen.alias("seen"), F.avg("available").over(frame).alias("mean24"), F.max("available").over(by_time().rangeBetween(-1, -1)).alias("last"))
-    beside = edges.join(own.select(F.col("post_id").alias("target"), "hour", "last"), "target").groupBy(F.col("source").alias("post_id"), "hour").agg(F.avg("last").alias("neighbor_mean"))
+    beside = edges.join(own.select(F.col("post_id").alias("target"), "hour", "last"), "target").groupBy(F.col("source").alias("post_id"), "hour").agg(F.avg("last").alias("neighbor_mean"), F.min("last").alias("neighbor_min"), F.max("last").alias("neighbor_max"))
     out = own.join(beside, ["post_id", "hour"], "left")
-    return out.select("post_id", "hour", F.try_element_at("seen", F.lit(-1)).alias("lag1"), F.try_element_at("seen", F.lit(-4)).alias("lag4"), "mean24", "neighbor_mean")
+    return out.select("post_id", "hour", F.try_element_at("seen", F.lit(-1)).alias("lag1"), F.try_element_at("seen", F.lit(-4)).alias("lag4"), "mean24", "neighbor_mean", "neighbor_min", "neighbor_max")
 
 
 def changes(state: DataFrame) -> DataFrame:
@@ -78,14 +78,36 @@ def knn_edges(points: DataFrame, k: int = 8, radius_m: float = 250.0) -> DataFra
 
 
 def neighbor_stats(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per meter and slot the statistics of its neighbours' state one to three hours before. One join: the lags are windows."""
-    lagged = state.select("post_id", "hour", *[at_lag("available", n).alias(f"a{n}") for n in (1, 2, 3)], F.coalesce(at_lag("transaction_count", 1), F.lit(0)).alias("ntx1")).where("a1 is not null")
-    n = edges.join(lagged.withColumnRenamed("post_id", "target"), "target")
+    """Per meter and slot the statistics of its neighbours' state one to three hours before.
+
+    The lags are windows. A meter's day travels as one row of arrays, so that an edge is joined once a day and not once an
+    hour, and the groups are a meter's day; the at most k neighbours of an hour are folded inside their row.
+    """
+    values = ("a1", "a2", "a3", "tx")
+    lagged = state.select("post_id", "hour", *[at_lag("available", n).alias(f"a{n}") for n in (1, 2, 3)], F.coalesce(at_lag("transaction_count", 1), F.lit(0)).cast("double").alias("tx")).where("a1 is not null")
+    hour_of_day = F.pmod("hour", F.lit(24))
+    days = lagged.groupBy(F.col("post_id").alias("target"), ((F.col("hour") - hour_of_day) / 24).cast("long").alias("day")).agg(F.collect_list(F.struct(hour_of_day.cast("int").alias("k"), *values)).alias("hours"))
     weight = 1.0 / F.greatest("distance_m", F.lit(5.0))
-    return n.groupBy(F.col("source").alias("post_id"), "hour").agg(
-        F.count("a1").alias("neighbor_count"), F.avg("a1").alias("neighbor_mean"), F.percentile("a1", 0.5).alias("neighbor_median"), F.min("a1").alias("neighbor_min"), F.max("a1").alias("neighbor_max"),
-        F.stddev_pop("a1").alias("neighbor_std"), F.avg((F.col("a1") < 0.5).cast("double")).alias("neighbor_occupied"), F.avg("ntx1").alias("neighbor_tx"), F.avg(F.col("a1") - F.col("a2")).alias("neighbor_delta1"),
-        F.avg(F.col("a1") - F.col("a3")).alias("neighbor_delta3"), (F.sum(F.col("a1") * weight) / F.sum(weight)).alias("neighbor_weighted"),
+    met = edges.select("source", "target", weight.alias("w")).join(days, "target").groupBy("source", "day").agg(F.collect_list(F.struct("w", "hours")).alias("beside"))
+    flat = F.flatten(F.transform("beside", lambda b: F.transform(b["hours"], lambda h: F.struct(h["k"].alias("k"), b["w"].alias("w"), *[h[v].alias(v) for v in values]))))
+    each = met.select("source", "day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"), flat.alias("every"))
+    rows = each.select(F.col("source").alias("post_id"), (F.col("day") * 24 + F.col("k")).alias("hour"), F.filter("every", lambda e: e["k"] == F.col("k")).alias("n")).where("size(n) > 0")
+
+    def total(value) -> Column:
+        return F.aggregate("n", F.lit(0.0), lambda s, e: s + value(e))
+
+    def mean_of(value) -> Column:
+        held = F.filter(F.transform("n", value), lambda x: x.isNotNull())
+        return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda s, x: s + x) / F.size(held))
+
+    size = F.size("n")
+    rows = rows.select("*", F.array_sort(F.transform("n", lambda e: e["a1"])).alias("v"), (total(lambda e: e["a1"]) / size).alias("mean"))
+    middle = (F.element_at("v", F.floor((size + 1) / 2).cast("int")) + F.element_at("v", F.floor((size + 2) / 2).cast("int"))) / 2
+    return rows.select(
+        "post_id", "hour", size.cast("long").alias("neighbor_count"), F.col("mean").alias("neighbor_mean"), middle.alias("neighbor_median"), F.element_at("v", 1).alias("neighbor_min"), F.element_at("v", -1).alias("neighbor_max"),
+        F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / size).alias("neighbor_std"), (total(lambda e: (e["a1"] < 0.5).cast("double")) / size).alias("neighbor_occupied"),
+        (total(lambda e: e["tx"]) / size).alias("neighbor_tx"), mean_of(lambda e: e["a1"] - e["a2"]).alias("neighbor_delta1"), mean_of(lambda e: e["a1"] - e["a3"]).alias("neighbor_delta3"),
+        (total(lambda e: e["a1"] * e["w"]) / total(lambda e: e["w"])).alias("neighbor_weighted"),
     )
 
 
@@ -107,6 +129,42 @@ def spatial_vector(state: DataFrame, meters: DataFrame, edges: DataFrame) -> Dat
     return j.withColumns(filled)
 
 
+def future_rows(state: DataFrame, target_hour: int, lookback: int = 168) -> DataFrame:
+    """What a feature of ``target_hour`` may look back on, and a row of that hour without values for each meter that was
+    observed the hour before."""
+    known = state.where((F.col("hour") >= target_hour - lookback) & (F.col("hour") < target_hour))
+    ahead = known.where(F.col("hour") == target_hour - 1).select("post_id", F.lit(target_hour).cast("long").alias("hour"))
+    local = [local_date(F.col("hour")).alias("local_date"), local_hour(F.col("hour")).cast("int").alias("local_hour")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("transaction_count", "long"), ("available", "double"))]
+    return known.select("post_id", "hour", "local_date", "local_hour", "transaction_count", "available").unionByName(ahead.select("post_id", "hour", *local, *none))
+
+
+def temporal_inference(state: DataFrame, meters: DataFrame, target_hour: int) -> DataFrame:
+    """The temporal vector of a slot not yet observed; no rows if the hour before was not observed."""
+    return temporal_vector(future_rows(state, target_hour), meters).where(F.col("hour") == target_hour).drop("target")
+
+
+def spatial_inference(state: DataFrame, meters: DataFrame, edges: DataFrame, target_hour: int) -> DataFrame:
+    """The spatial vector of a slot not yet observed, from what was known when it began."""
+    return spatial_vector(future_rows(state, target_hour), meters, edges).where(F.col("hour") == target_hour).drop("target")
+
+
+def training_table(features: DataFrame, targets: DataFrame) -> DataFrame:
+    """Features joined with the targets of the same meter and time; rows without a target go."""
+    return features.join(targets.select("post_id", "hour", "target_hour", "target"), ["post_id", "hour"])
+
+
+def row_vector(state: DataFrame, meters: DataFrame) -> DataFrame:
+    """The 12-feature vector of row lags: values, counts, rolling means, clock and kind; rows with a day of history."""
+    f = row_lags(state).where("lag24 is not null").join(meters.select("post_id", "meter_type"), "post_id", "left")
+    h = F.col("hour")
+    return f.select("post_id", "hour", "lag1", "lag2", "lag24", "tx1", "tx24", "roll3", "roll24", *cyclical(local_hour(h), 24, "hour"), *cyclical(iso_weekday(h) - 1, 7, "weekday"), F.when(F.col("meter_type") == "MS", 1.0).otherwise(0.0).alias("is_ms"))
+
+
+#: The small vector: nine of the twelve.
+SMALL = ("lag1", "lag24", "tx1", "tx24", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "is_ms")
+
+
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null, NaN and infinite features as 0, at the door of a learner."""
     return df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c).cast("double")) for c in columns})

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourgrid.functions.geo import near
+from hourgrid.functions.slots import cyclical, iso_weekday, local_hour, period_of_day
 from hourgrid.operators.features import by_time
 from hourgrid.sources.tables import landed
 
@@ -86,6 +88,27 @@ def recursive(start: DataFrame, predict: Callable[[DataFrame], DataFrame], steps
     return out
 
 
+def lag_features(now: DataFrame, meters: DataFrame) -> DataFrame:
+    """The temporal vector of a step of ``recursive``, from its values; counts of hours to come are not known and count as none."""
+    lags = {f"lag{n}": F.coalesce(lag_of(n), lag_of(1)) for n in (1, 2, 3, 6, 24)} | {"lag168": F.coalesce(lag_of(168), lag_of(24), lag_of(1)), "tx1": F.lit(0.0), "tx24": F.lit(0.0)}
+    f = now.join(meters.select("post_id", "meter_type"), "post_id", "left").withColumns(lags)
+    mean = lambda ns: sum((F.col(f"lag{n}") for n in ns[1:]), F.col(f"lag{ns[0]}")) / float(len(ns))
+    h = F.col("hour")
+    return f.select("post_id", "hour", "values", *lags, mean((1, 2, 3)).alias("roll3"), mean((1, 2, 3, 6, 24)).alias("roll24"), *cyclical(local_hour(h), 24, "hour"), *cyclical(iso_weekday(h) - 1, 7, "weekday"), F.when(F.col("meter_type") == "MS", 1.0).otherwise(0.0).alias("is_ms"))
+
+
+def predict_slot(features: DataFrame, requests: DataFrame, meters: DataFrame, predict: Callable[[DataFrame], DataFrame], top: int = 5, max_radius_m: float = 1000.0) -> DataFrame:
+    """Per request the ``top`` meters of its radius by ``predicted`` for the slot that ``features`` are of, then by distance.
+
+    ``features`` come from ``temporal_inference`` or ``spatial_inference``, which have no rows for a slot whose hour before was
+    not observed; ``predict`` adds ``predicted``.
+    """
+    made = predict(features).select("post_id", F.col("hour").alias("target_hour"), "predicted")
+    pairs = near(requests.select("request_id", "lat", "lon", "radius_m"), meters.select("post_id", "lat", "lon"), max_radius_m, "radius_m").join(made, "post_id")
+    order = Window.partitionBy("request_id").orderBy(F.round("predicted", 6).desc(), F.round("distance_m", 6), "post_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("request_id", "target_hour", "post_id", "predicted", "distance_m", "rank")
+
+
 def recursive_mean(start: DataFrame, steps: int = 24, width: int = 3) -> DataFrame:
     """The recursion for the mean of the last ``width`` values, folded inside each row: no step by step plan."""
     last = F.slice("values", -width, width)
@@ -106,13 +129,12 @@ def inventory(forecasts: DataFrame) -> DataFrame:
     return forecasts.groupBy("target_hour").agg(F.count("*").alias("n"), F.countDistinct("post_id").alias("meters"))
 
 
-def radius_success(forecasts: DataFrame, meters: DataFrame, radii: tuple[int, ...], per_slot: int, seed: int) -> DataFrame:
-    """Per radius: around hash-chosen meters of each slot, the independent chance of a free place against whether one was.
+def radius_success(forecasts: DataFrame, meters: DataFrame, radii: tuple[int, ...], per_slot: int, seed: int, by_period: bool = False) -> DataFrame:
+    """Per radius (and period of the day): around hash-chosen meters of each slot, the independent chance of a free place
+    against whether one was.
 
     ``forecasts`` are matured, of one model. The largest radius is joined once, smaller ones filter its pairs.
     """
-    from hourgrid.functions.geo import near
-
     rows = forecasts.where("actual is not null").withColumnRenamed("target_hour", "hour").select("post_id", "hour", "predicted", "actual")
     key = F.md5(F.concat_ws("|", F.col("post_id").cast("string"), F.col("hour").cast("string"), F.lit(str(seed))))
     chosen = rows.withColumn("rn", F.row_number().over(Window.partitionBy("hour").orderBy(key, "post_id"))).where(F.col("rn") <= per_slot).select(F.col("post_id").alias("center"), "hour")
@@ -121,6 +143,7 @@ def radius_success(forecasts: DataFrame, meters: DataFrame, radii: tuple[int, ..
     j = chosen.join(pairs, "center").join(rows, ["post_id", "hour"])
     within = j.select("*", F.explode(F.array(*map(F.lit, radii))).alias("radius_m")).where(F.round("distance_m", 6) <= F.col("radius_m"))
     each = within.groupBy("radius_m", "center", "hour").agg(F.count("*").alias("k"), (1.0 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1.0 - F.col("predicted")))))).alias("p"), (F.max("actual") > 0.5).cast("double").alias("y"))
-    return each.groupBy("radius_m").agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("y").alias("success_rate"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg("k").alias("mean_meters"))
-
-
+    keys = ["radius_m"]
+    if by_period:
+        each, keys = each.withColumn("period", period_of_day(local_hour(F.col("hour")))), ["period", "radius_m"]
+    return each.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("y").alias("success_rate"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg("k").alias("mean_meters"))

@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.operators.forecast import issue, mature
+from hourgrid.operators.state import dense_state
+from hourgrid.sources.ingest import keyed_append
+from hourgrid.sources.tables import landed
+
 
 def source_health(runs: DataFrame, registry: DataFrame, now_us: int) -> DataFrame:
     """Per registered source (``source, sla_hours``): the last run's status and the age of the last success against its limit."""
@@ -30,6 +35,29 @@ def verify_counts(forecasts: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(have, "target_hour", "left").select("target_hour", "expected", F.coalesce("stored", F.lit(0)).alias("stored"), (F.coalesce("stored", F.lit(0)) == F.col("expected")).alias("complete"))
 
 
+def closed_loop(sessions: DataFrame, target: DataFrame, as_of_hour: int, max_age_hours: int = 3, horizons: tuple[int, ...] = (1, 2, 3)) -> dict[str, Callable[[dict], object]]:
+    """The steps of one hour's run on tables: append, state, freshness, forecast, verify, mature. What a step makes is landed and
+    kept in the run's context for the next ones; each returns its rows' number."""
+    context: dict[str, DataFrame] = {}
+
+    def kept(name: str, frame: DataFrame) -> int:
+        context[name] = landed(frame, name)
+        return context[name].count()
+
+    def forecast(_: dict) -> int:
+        made = issue(context["state"].where(F.col("hour") >= as_of_hour - 25), horizons)
+        return kept("forecasts", made.where((F.col("as_of_hour") == as_of_hour) | (F.col("as_of_hour") == as_of_hour - 12)))
+
+    return {
+        "ingest": lambda _: kept("sessions", target.unionByName(keyed_append(target, sessions, ["transmission_id"], [F.col("start_us")]))),
+        "state": lambda _: kept("state", dense_state(context["sessions"], as_of_hour)),
+        "freshness": lambda _: freshness_gate(context["state"], as_of_hour, max_age_hours).first()["fresh"],
+        "forecast": forecast,
+        "verify": lambda _: verify_counts(context["forecasts"], context["forecasts"].groupBy("target_hour").agg(F.count("*").alias("expected"))).where("complete").count(),
+        "mature": lambda _: kept("matured", mature(context["forecasts"], context["state"], as_of_hour).where("actual is not null")),
+    }
+
+
 def hourly_job(steps: dict[str, Callable[[dict], object]], log: Callable[[dict], None]) -> dict:
     """Runs the named steps in order on one context and logs the outcome; a failed step ends the run, and is logged and raised."""
     done: dict = {"status": "running", "steps": []}

@@ -56,28 +56,42 @@ def calibration_errors(rows: DataFrame, buckets: int = 10, by: tuple[str, ...] =
     return g.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("q") / F.sum("n")).alias("brier"), (F.sum(gap) / F.sum("n")).alias("ece"), F.max(gap / F.col("n")).alias("mce"))
 
 
-def horizon_metrics(rows: DataFrame, by: tuple[str, ...] = ("hours_ahead",)) -> DataFrame:
-    """Errors of ``predicted`` and of ``persistence``, the gain and its share (0 where persistence has no error)."""
-    g = rows.groupBy(*by).agg(*error_metrics(F.col("predicted"), F.col("actual")), F.avg(F.abs(F.col("persistence") - F.col("actual"))).alias("persistence_mae"))
+def _against_persistence(frame: DataFrame) -> DataFrame:
+    """Adds the gain in error over persistence and its share (0 where persistence has no error)."""
     gain = F.col("persistence_mae") - F.col("mae")
-    return g.select("*", gain.alias("gain"), F.when(F.col("persistence_mae") > 0, 100 * gain / F.col("persistence_mae")).otherwise(0.0).alias("gain_percent"))
+    return frame.select("*", gain.alias("gain"), F.when(F.col("persistence_mae") > 0, 100 * gain / F.col("persistence_mae")).otherwise(0.0).alias("gain_percent"))
+
+
+def horizon_metrics(rows: DataFrame, by: tuple[str, ...] = ("hours_ahead",)) -> DataFrame:
+    """Errors of ``predicted`` and of ``persistence``, the gain and its share."""
+    p = F.col("persistence") - F.col("actual")
+    return _against_persistence(rows.groupBy(*by).agg(*error_metrics(F.col("predicted"), F.col("actual")), F.avg(F.abs(p)).alias("persistence_mae"), F.sqrt(F.avg(p * p)).alias("persistence_rmse")))
 
 
 def horizon_groups(rows: DataFrame) -> DataFrame:
     """T+1-6, 7-12, 13-18, 19-24 from sums per horizon, so that groups weigh by rows."""
     e = F.col("predicted") - F.col("actual")
-    level = rows.groupBy("hours_ahead").agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("q"), F.sum(F.abs(F.col("persistence") - F.col("actual"))).alias("p"))
+    level = rows.groupBy("hours_ahead").agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e).alias("e"), F.sum(e * e).alias("q"), F.sum(F.abs(F.col("persistence") - F.col("actual"))).alias("p"))
     k = F.floor((F.col("hours_ahead") - 1) / 6)
     name = F.concat(F.lit("T+"), (6 * k + 1).cast("string"), F.lit("-"), (6 * k + 6).cast("string"))
-    return level.groupBy(name.alias("horizon_group")).agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), (F.sum("p") / F.sum("n")).alias("persistence_mae"))
+    return _against_persistence(level.groupBy(name.alias("horizon_group")).agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), (F.sum("e") / F.sum("n")).alias("bias"), (F.sum("p") / F.sum("n")).alias("persistence_mae")))
 
 
-#: name -> condition on the target, the lag and the local hour.
+# Bands of availability, moves, and clock hours, by name.
 REGIMES = {
-    "all": "true", "full": "target < 0.25", "tight": "target >= 0.25 and target < 0.5", "easing": "target >= 0.5 and target < 0.75", "open": "target >= 0.75",
-    "transition_05": "abs(target - lag1) >= 0.05", "transition_10": "abs(target - lag1) >= 0.1", "transition_15": "abs(target - lag1) >= 0.15", "transition_25": "abs(target - lag1) >= 0.25",
-    "daytime": "local_hour between 7 and 19", "peak": "local_hour between 16 and 21",
-}
+    "overall": "true",
+    "0_30": "target < 0.30D",
+    "30_50": "target >= 0.30D and target < 0.50D",
+    "50_70": "target >= 0.50D and target < 0.70D",
+    "70_90": "target >= 0.70D and target < 0.90D",
+    "90_100": "target >= 0.90D",
+    "transition": "abs(target - lag1) >= 0.15D",
+    "transition_05": "abs(target - lag1) >= 0.05D",
+    "transition_10": "abs(target - lag1) >= 0.10D",
+    "transition_25": "abs(target - lag1) >= 0.25D",
+    "daytime": "local_hour >= 7 and local_hour < 19",
+    "peak_evening": "local_hour >= 16 and local_hour < 21",
+}
 
 
 def regime_metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -87,16 +101,32 @@ def regime_metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def transition_metrics(rows: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Over rows that moved: size, error, share of right directions, mean move."""
+    """Over rows that moved: size, error, share of right directions (up or not), mean move."""
     d, p = F.col("target") - F.col("lag1"), F.col("predicted") - F.col("lag1")
     moved = F.abs(d) >= threshold - 1e-12
-    return rows.where(moved).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("target"))).alias("mae"), F.avg((F.signum(d) == F.signum(p)).cast("double")).alias("direction_accuracy"), F.avg(F.abs(d)).alias("mean_move"))
+    return rows.where(moved).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("target"))).alias("mae"), F.avg(((d > 0) == (p > 0)).cast("double")).alias("direction_accuracy"), F.avg(F.abs(d)).alias("mean_move"))
+
+
+def exact_quantiles(rows: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row with the interpolated quantiles ``q50`` .. of ``value``, from counts per distinct value in order: no task holds all values."""
+    r = _running(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("s")).agg(F.lit(0).cast("long").alias("pos"), F.count("*").alias("n")), False)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("s")))
+
+    out = []
+    for q in shares:
+        place = q * (F.col("n_all") - 1)
+        low = at(F.floor(place + 1e-9))
+        out.append((low + F.max(place - F.floor(place + 1e-9)) * (at(F.ceil(place - 1e-9)) - low)).alias(f"q{int(q * 100)}"))
+    return r.agg(*out)
 
 
 def target_diagnostics(changes: DataFrame) -> DataFrame:
     m = F.col("magnitude")
     share = lambda t: F.avg((m >= t).cast("double"))
-    return changes.agg(F.count("*").alias("n"), *[F.percentile(m, q).alias(f"q{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)], *[share(t).alias(f"over_{int(t * 100):02d}") for t in (0.05, 0.1, 0.25)], F.avg((m == 0).cast("double")).alias("unchanged"))
+    shares = changes.agg(F.count("*").alias("n"), *[share(t).alias(f"over_{int(t * 100):02d}") for t in (0.05, 0.1, 0.25)], F.avg((m == 0).cast("double")).alias("unchanged"))
+    return shares.crossJoin(F.broadcast(exact_quantiles(changes, "magnitude", (0.5, 0.9, 0.95, 0.99))))
 
 
 def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -156,11 +186,18 @@ def tournament(rows: DataFrame, models: list[str]) -> DataFrame:
     return regime_metrics(rows.select("target", "lag1", "local_hour", each.alias("e")).select("target", "lag1", "local_hour", "e.model", "e.predicted"), ("model",))
 
 
-def promotion(candidate: dict, base: dict) -> dict[str, bool]:
-    """Whether a candidate's metrics (mae, transitions n, mae, direction) beat the base's, rule by rule."""
-    rules = {"overall": candidate["mae"] < base["mae"], "enough_transitions": candidate["n_transitions"] >= 100, "transitions": candidate["transition_mae"] < base["transition_mae"], "direction": candidate["direction"] > 0.5}
-    return rules | {"promoted": all(rules.values())}
+def promotion(rows: DataFrame, base: str, candidate: str, threshold: float = 0.15) -> DataFrame:
+    """One row: whether ``candidate`` beats ``base`` on the same rows, rule by rule, and ``promoted`` if all hold."""
+    error = lambda c, where: F.avg(F.when(where, F.abs(F.col(c) - F.col("target"))))
+    d = F.col("target") - F.col("lag1")
+    moved, every = F.abs(d) >= threshold - 1e-12, F.lit(True)
+    right = F.avg(F.when(moved, ((d > 0) == (F.col(candidate) - F.col("lag1") > 0)).cast("double")))
+    m = rows.agg(error(base, every).alias("base_mae"), error(candidate, every).alias("mae"), F.count_if(moved).alias("n_transitions"), error(base, moved).alias("base_transition_mae"), error(candidate, moved).alias("transition_mae"), right.alias("direction_accuracy"))
+    rules = {"overall": F.col("mae") < F.col("base_mae"), "enough_transitions": F.col("n_transitions") >= 100, "transitions": F.col("transition_mae") < F.col("base_transition_mae"), "direction": F.col("direction_accuracy") > 0.5}
+    held = {k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}
+    return m.select("*", *[v.alias(k) for k, v in held.items()], reduce(lambda a, b: a & b, held.values()).alias("promoted"))
 
 
-def importances_table(spark: SparkSession, values, names: list[str]) -> DataFrame:
+def importances_table(spark: SparkSession, values, names: tuple[str, ...]) -> DataFrame:
+    """A row per feature of a fitted model."""
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double")

@@ -65,16 +65,20 @@ def dense_state(sessions: DataFrame, as_of_hour: int, bound: str = "first", tz:
     """Every hour of every meter from its first local day on, hours without sessions as zeros.
 
     No slot that ends after ``as_of_hour`` is made. ``bound='span'`` also stops a meter at its last observed day. The
-    grid is a sequence per meter, not a cross join, and one exchange by meter serves both the spans and the join.
+    sessions are read once: their slots are aggregated, and every used hour of a meter makes the empty ones that follow
+    it, up to the next used one; there is no grid to join.
     """
-    slots = session_slots(sessions, tz)
-    spans = observation_spans(slots)
-    last = F.lit(as_of_hour - 1) if bound == "first" else F.least(F.lit(as_of_hour - 1), first_hour_of(F.date_add("last_date", 1), tz) - 1)
-    grid = spans.select("post_id", first_hour_of(F.col("first_date"), tz).alias("first"), last.alias("last")).where("first <= last").select("post_id", F.explode(F.sequence("first", "last")).alias("hour"))
-    out = grid.join(slot_state(slots, p90=p90), ["post_id", "hour"], "left")
-    occupied = F.coalesce("occupied", F.lit(0.0))
-    return out.select("post_id", "hour", local_date(F.col("hour"), tz).alias("local_date"), local_hour(F.col("hour"), tz).alias("local_hour"), F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"),
-                      F.coalesce("paid_overlap_minutes", F.lit(0.0)).alias("paid_overlap_minutes"), occupied.alias("occupied"), (1.0 - occupied).alias("available"))
+    used = slot_state(session_slots(sessions, tz), p90=p90).withColumnRenamed("hour", "used")
+    order = Window.partitionBy("post_id").orderBy("used")
+    day = local_date(F.col("used"), tz)
+    end = F.lit(as_of_hour - 1) if bound == "first" else first_hour_of(F.date_add(day, 1), tz) - 1
+    first = F.when(F.lag("used").over(order).isNull(), first_hour_of(day, tz)).otherwise(F.col("used"))
+    last = F.least(F.lit(as_of_hour - 1), F.coalesce(F.lead("used").over(order) - 1, end))
+    runs = used.select("*", first.alias("first"), last.alias("last")).where("first <= last")
+    out = runs.select("post_id", "used", "transaction_count", "paid_overlap_minutes", "occupied", F.explode(F.sequence("first", "last")).alias("hour"))
+    own = lambda c, zero: F.when(F.col("hour") == F.col("used"), F.col(c)).otherwise(F.lit(zero))
+    return out.select("post_id", "hour", local_date(F.col("hour"), tz).alias("local_date"), local_hour(F.col("hour"), tz).alias("local_hour"), own("transaction_count", 0).alias("transaction_count"),
+                      own("paid_overlap_minutes", 0.0).alias("paid_overlap_minutes"), own("occupied", 0.0).alias("occupied"), (1.0 - own("occupied", 0.0)).alias("available"))
 
 
 def meter_activity(sessions: DataFrame, start_us: int, end_us: int, tz: str = TZ) -> DataFrame:
@@ -92,6 +96,15 @@ def activity_summary(activity: DataFrame) -> DataFrame:
     return activity.agg(F.count("*").alias("meters"), F.sum("session_count").alias("sessions"), F.sum("total_minutes").alias("total_minutes"), F.avg("sessions_per_day").alias("mean_sessions_per_day"), F.max("last_end_us").alias("last_end_us"))
 
 
+def snapshots(sessions: DataFrame, grid: DataFrame, lookback_hours: int = 1) -> DataFrame:
+    """For every (post_id, hour) of ``grid`` the state of the ``lookback_hours`` before it, as seen at its start: ends cut off
+    there, slots that begin earlier only. Nothing seen is a free place."""
+    seen = slot_state(session_slots(sessions)).select("post_id", "hour", "transaction_count", "occupied")
+    each = seen.select("post_id", F.explode(F.sequence(F.col("hour") + 1, F.col("hour") + lookback_hours)).alias("hour"), "transaction_count", "occupied")
+    at = each.groupBy("post_id", "hour").agg(F.sum("transaction_count").alias("transaction_count"), (1.0 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1.0 - F.col("occupied")))))).alias("occupied"))
+    return grid.select("post_id", "hour").join(at, ["post_id", "hour"], "left").select("post_id", "hour", F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"), (1.0 - F.coalesce("occupied", F.lit(0.0))).alias("available"))
+
+
 def duration_profile(sessions: DataFrame, by: tuple[str, ...] = ("post_id",)) -> DataFrame:
     """Median and nearest-rank 90th percentile of session minutes, rank ``rint(0.9 (n - 1))`` from 0."""
     minutes = (F.col("end_us") - F.col("start_us")) / 60e6

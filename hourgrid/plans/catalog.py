@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourgrid.functions.slots import HOUR_US, cyclical, iso_weekday, local_date, local_hour, period_of_day, slot_of_local, slot_start
+from hourgrid.functions.slots import HOUR_US, cyclical, cyclical_with_minutes, hour_of, iso_weekday, local_date, local_hour, period_of_day, slot_of_local, slot_start, slots_of_local
+from hourgrid.functions.geo import near
+from hourgrid.operators import backtest as K
 from hourgrid.operators import baselines as B
 from hourgrid.operators import canonical as C
 from hourgrid.operators import decide as D
@@ -26,8 +28,8 @@ from hourgrid.sources import views as V
 from hourgrid.streaming import streams
 
 A = V.AS_OF_HOUR
-#: The backtest's slots: the last two days, at four local hours.
-TEST_FROM, TEST_HOURS = A - 48, (8, 12, 17, 20)
+#: The backtest's slots: seven days at every hour.
+TEST_FROM, TEST_HOURS = A - 7 * 24, None
 RUN_START = 1706659200_000_000
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +163,71 @@ def sink_roundtrip(spark, d):
     return back.unionByName(csv.agg(F.lit("csv").alias("sink"), F.sum("n").alias("n"), F.sum("posts").alias("posts")))
 
 
+@query
+def snapshot_manifest(spark, d):
+    """Sessions as JSON lines, the manifest that was counted while they were written, and what a scan gives back."""
+    s = V.sessions(spark, d).select("transmission_id", "post_id", "start_us", "end_us")
+    path = tables.shared_folder(spark, "snapshot")
+    manifest = tables.write_jsonl(s, path)
+    return tables.read_jsonl(spark, path, s.schema).agg(F.lit(manifest["rows"]).alias("rows"), F.count("*").alias("read_back"), F.count("end_us").alias("ended"), F.sum("post_id").alias("posts"))
+
+
+@query
+def report_roundtrip(spark, d):
+    """The horizon report through the JSON sink with sorted keys."""
+    report, path = M.horizon_metrics(_matured(spark, d)), tables.shared_folder(spark, "report")
+    tables.write_report(report, path)
+    return tables.read_jsonl(spark, path, report.schema)
+
+
+DECLARED = """{"sessions": {"reader": "feed", "keys": ["transmission_id"], "freshness_hours": 30, "options": {"window_days": 7}},
+ "meters": {"reader": "inventory", "keys": ["post_id"], "freshness_hours": 168},
+ "policies": {"reader": "policies", "keys": ["policy_id"], "freshness_hours": 168}}"""
+
+
+def _feed_reader(spark, d, options):
+    n = _normal(spark, d)
+    fine = ingest.good(n)
+    return ingest.bounded_window(fine, RUN_START, options["window_days"]) if options else fine, ingest.quarantined(n)
+
+
+def _inventory_reader(spark, d, options):
+    m = V.meters(spark, d)
+    return m.where("lat is not null"), m.where("lat is null")
+
+
+def _policy_reader(spark, d, options):
+    p = V.policies(spark, d)
+    return p.where("end_sec > start_sec"), p.where("end_sec <= start_sec")
+
+
+@query
+def source_registry(spark, d):
+    """Every declared source read by its reader: good and bad rows, distinct keys, the age it may have."""
+    out = None
+    for name, source in ingest.load_sources(DECLARED, {"feed": _feed_reader, "inventory": _inventory_reader, "policies": _policy_reader}).items():
+        good, bad = source["reader"](spark, d, source["options"])
+        row = good.agg(F.lit(name).alias("source"), F.lit(source["sla_hours"]).alias("sla_hours"), F.count("*").alias("good"), F.countDistinct(*source["keys"]).alias("keys")).crossJoin(F.broadcast(bad.agg(F.count("*").alias("bad"))))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def canonical_projection(spark, d):
+    """The canonical tables projected from the inventory into targets that have the even ids."""
+    m = V.meters(spark, d)
+    stored = {name: rows.where(f"{key[0]} % 2 = 0") for name, (rows, key) in C.projections(m).items() if name != "meter_placements"}
+    return C.project_canonical(m, stored)
+
+
+@query
+def canonical_placements(spark, d):
+    """Placements of the known meters with their blockface resolved, where every third blockface is not canonical."""
+    m = V.meters(spark, d)
+    faces = C.projections(m)["blockfaces"][0].where("source_blockface_id % 3 <> 0")
+    return C.placements(m, _known(spark, d), faces, F.lit(RUN_START))
+
+
 # --- activity and state ---------------------------------------------------------------------------------------------
 
 
@@ -257,7 +324,23 @@ def local_calendar(spark, d):
     """The state's hours by local calendar fields, and the slots that local dates and hours lead back to."""
     h = _state(spark, d).select("hour", "local_date", "local_hour").distinct()
     angles = cyclical(F.col("local_hour"), 24, "hour")
-    return h.select("hour", "local_date", "local_hour", iso_weekday(F.col("hour")).alias("weekday"), (iso_weekday(F.col("hour")) >= 6).alias("weekend"), period_of_day(F.col("local_hour")).alias("period"), slot_of_local(F.col("local_date"), F.col("local_hour")).alias("slot"), *angles)
+    return h.select("hour", "local_date", "local_hour", iso_weekday(F.col("hour")).alias("weekday"), (iso_weekday(F.col("hour")) >= 6).alias("weekend"), period_of_day(F.col("local_hour")).alias("period"), F.explode(slots_of_local(F.col("local_date"), F.col("local_hour"))).alias("slot"), *angles)
+
+
+@query
+def latest_slot(spark, d):
+    return Z.latest_observed(_state(spark, d), A - 6)
+
+
+@query
+def point_snapshots(spark, d):
+    return Z.snapshots(V.sessions(spark, d), _state(spark, d))
+
+
+@query
+def start_cycles(spark, d):
+    """Clock angles, minutes included, of the sessions' starts."""
+    return V.sessions(spark, d).select("transmission_id", *cyclical_with_minutes(F.col("start_us")))
 
 
 # --- features ---------------------------------------------------------------------------------------------------------
@@ -306,7 +389,37 @@ def neighbor_stats(spark, d):
 @query
 def spatial_vector(spark, d):
     m = V.meters(spark, d)
-    return X.spatial_vector(_state(spark, d).where(f"hour >= {A} - 240"), m, X.knn_edges(m, 24, 250.0))
+    return X.spatial_vector(_state(spark, d), m, X.knn_edges(m, 24, 250.0))
+
+
+@query
+def row_vectors(spark, d):
+    return X.row_vector(Z.slot_state(Z.session_slots(V.sessions(spark, d))).withColumn("available", 1.0 - F.col("occupied")), V.meters(spark, d))
+
+
+@query
+def training_table(spark, d):
+    s = _state(spark, d)
+    features = X.snapshot_features(s, X.knn_edges(V.meters(spark, d)))
+    return X.training_table(features, Z.next_slot_targets(Z.session_slots(V.sessions(spark, d)), s.where(f"hour < {A} - 1")))
+
+
+@query
+def temporal_inference(spark, d):
+    return X.temporal_inference(_state(spark, d), V.meters(spark, d), A)
+
+
+@query
+def spatial_inference(spark, d):
+    m = V.meters(spark, d)
+    return X.spatial_inference(_state(spark, d), m, X.knn_edges(m, 24, 250.0), A)
+
+
+@query
+def predict_slot(spark, d):
+    """The next slot's best meters of each request, by the mean of the last three hours."""
+    m = V.meters(spark, d)
+    return P.predict_slot(X.temporal_inference(_state(spark, d), m, A), V.requests(spark, d), m, lambda f: f.withColumn("predicted", F.col("roll3")))
 
 
 # --- places, policies, requests ---------------------------------------------------------------------------------------
@@ -346,14 +459,15 @@ def find_parking(spark, d):
 
 @query
 def request_validation(spark, d):
-    r = V.requests(spark, d).withColumns({"lat": F.when(F.col("request_id") % 4 == 0, 95.0).otherwise(F.col("lat")), "local_hour": F.when(F.col("request_id") % 6 == 0, 24).otherwise(F.col("local_hour")), "radius_m": F.when(F.col("request_id") % 5 == 0, 0).otherwise(F.col("radius_m"))})
-    return r.select("request_id", F.array_join(D.request_errors(), ",").alias("errors"))
+    r = V.requests(spark, d).withColumn("top", F.col("request_id") % 9).withColumns({"lat": F.when(F.col("request_id") % 4 == 0, 95.0).otherwise(F.col("lat")), "local_hour": F.when(F.col("request_id") % 6 == 0, 24).otherwise(F.col("local_hour")), "radius_m": F.when(F.col("request_id") % 5 == 0, 0).otherwise(F.col("radius_m"))})
+    return r.select("request_id", F.array_join(D.request_errors(with_top=True), ",").alias("errors"))
 
 
 def _candidates(spark, d):
-    near = D.nearest(V.requests(spark, d), V.meters(spark, d), 100, 1000.0).drop("rank")
-    f = _forecast(spark, d).where(f"target_hour = {A} - 12").select("post_id", "predicted")
-    return near.join(f, "post_id")
+    """Every meter of a request's radius with the forecast of the request's own slot."""
+    r = V.requests(spark, d).withColumn("target_hour", slot_of_local(F.col("local_date"), F.col("local_hour")))
+    pairs = near(r.select("request_id", "lat", "lon", "radius_m", "target_hour"), V.meters(spark, d).select("post_id", "lat", "lon"), 1000.0, "radius_m")
+    return pairs.join(_forecast(spark, d).select("post_id", "target_hour", "predicted"), ["post_id", "target_hour"])
 
 
 @query
@@ -393,9 +507,7 @@ def baseline_hour_conditioned(spark, d):
 
 
 def _observations(spark, d, model="deterministic_v0"):
-    from hourgrid.operators.backtest import run_backtest
-
-    return run_backtest(V.sessions(spark, d), C.scd2(V.placement_events(spark, d)), V.meters(spark, d), TEST_FROM, A - 4, TEST_HOURS, model)
+    return K.run_backtest(V.sessions(spark, d), C.scd2(V.placement_events(spark, d)), V.meters(spark, d), TEST_FROM, A - 4, TEST_HOURS, model)
 
 
 @query
@@ -420,6 +532,33 @@ def backtest_counters(spark, d):
     return _grid(spark, d).agg(F.count("*").alias("generated")).crossJoin(F.broadcast(o)).select("generated", "predicted", (F.col("generated") - F.col("predicted")).alias("skipped_no_history"))
 
 
+@query
+def backtest_models(spark, d):
+    """Every baseline through the same backtest."""
+    out = None
+    for name in B.MODELS:
+        row = _observations(spark, d, name).groupBy("method").agg(*M.observation_metrics())
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def backtest_scoped(spark, d):
+    """The backtest of the first twenty meters near a point."""
+    m = V.meters(spark, d)
+    s = K.scoped(V.sessions(spark, d), K.near_point(m, 37.76, -122.44, 600.0), 20)
+    o = K.run_backtest(s, C.scd2(V.placement_events(spark, d)), m, TEST_FROM, A - 4, TEST_HOURS)
+    return o.select("post_id", "hour", "score", "free_fraction", "error", "blockface_id")
+
+
+@query
+def backtest_frontier(spark, d):
+    """The backtest up to where outcomes are known."""
+    s = V.sessions(spark, d)
+    o = K.run_backtest(s, C.scd2(V.placement_events(spark, d)), V.meters(spark, d), TEST_FROM, K.known_until(s, A), TEST_HOURS)
+    return o.agg(F.max("hour").alias("last_hour"), *M.observation_metrics())
+
+
 # --- canonical model --------------------------------------------------------------------------------------------------
 
 
@@ -469,14 +608,15 @@ def post_coverage(spark, d):
 
 
 def _matured(spark, d):
-    s = _state(spark, d)
+    """Matured forecasts beside persistence; the state is landed once for issue, maturation and persistence."""
+    s = tables.landed(_state(spark, d), "state")
     return P.with_persistence(P.mature(P.issue(s), s, A).where("actual is not null"), s)
 
 
 @query
 def forecast_upsert(spark, d):
     """Two loads of the same keys: the later one's value stands."""
-    f = P.issue(_state(spark, d), (1,)).where(f"target_hour >= {A} - 24").select("post_id", "target_hour", "model_version", "predicted", F.lit(1).alias("generated"))
+    f = P.issue(_state(spark, d), (1,)).select("post_id", "target_hour", "model_version", "predicted", F.lit(1).alias("generated"))
     later = f.where("post_id % 2 = 0").select("post_id", "target_hour", "model_version", (F.col("predicted") / 2).alias("predicted"), F.lit(2).alias("generated"))
     return ingest.upsert(f, later, ["post_id", "target_hour", "model_version"], [F.col("generated")])
 
@@ -484,7 +624,7 @@ def forecast_upsert(spark, d):
 @query
 def forecast_mature(spark, d):
     s = _state(spark, d)
-    return P.mature(P.issue(s, (1, 24)), s, A - 6).where(f"target_hour >= {A} - 30").groupBy("hours_ahead").agg(F.count("*").alias("issued"), F.count("actual").alias("matured"), F.avg("actual").alias("mean_actual"))
+    return P.mature(P.issue(s, (1, 24)), s, A - 6).groupBy("hours_ahead").agg(F.count("*").alias("issued"), F.count("actual").alias("matured"), F.avg("actual").alias("mean_actual"))
 
 
 @query
@@ -532,8 +672,8 @@ def persistence_eval(spark, d):
 @query
 def climatology_eval(spark, d):
     s = _state(spark, d)
-    t = P.climatology(s.where(f"hour < {A} - 120"), s.where(f"hour >= {A} - 120"))
-    return t.groupBy("local_hour").agg(*M.error_metrics(F.col("climatology"), F.col("available")))
+    t = P.climatology(s.where(f"hour < {A} - 120"), X.time_lags(s, (1,)).where(f"hour >= {A} - 120 and lag1 is not null"))
+    return M.horizon_metrics(t.select("local_hour", F.col("climatology").alias("predicted"), F.col("available").alias("actual"), F.col("lag1").alias("persistence")), ("local_hour",))
 
 
 def _with_calendar(f):
@@ -544,7 +684,8 @@ def _with_calendar(f):
 @query
 def period_breakdown(spark, d):
     f = _with_calendar(_matured(spark, d)).join(V.meters(spark, d).select("post_id", "meter_type"), "post_id", "left")
-    return M.breakdowns(f, ["period", "day_type", "meter_type", "hours_ahead"], M.error_metrics(F.col("predicted"), F.col("actual")))
+    f = f.withColumn("period_horizon", F.concat("period", F.lit(" T+"), F.col("hours_ahead").cast("string")))
+    return M.breakdowns(f, ["period", "day_type", "meter_type", "hours_ahead", "period_horizon"], M.error_metrics(F.col("predicted"), F.col("actual")))
 
 
 @query
@@ -580,8 +721,19 @@ def target_diagnostics(spark, d):
 
 @query
 def tournament(spark, d):
-    p = _pairs(spark, d).select("target", "lag1", "local_hour", F.col("lag1").alias("persistence"), F.col("predicted").alias("roll3"), "roll24")
-    return M.tournament(p, ["persistence", "roll3", "roll24"])
+    return M.tournament(_contestants(spark, d), ["persistence", "climatology", "roll3", "neighbors"])
+
+
+def _contestants(spark, d):
+    """The last five days with what persistence, the climatology of the days before, the own and the neighbours' last hours say."""
+    s, m = tables.landed(_state(spark, d), "state"), V.meters(spark, d)
+    rows = X.spatial_vector(s, m, X.knn_edges(m, 24, 250.0)).where(f"hour >= {A} - 120").withColumn("local_hour", local_hour(F.col("hour")))
+    return P.climatology(s.where(f"hour < {A} - 120"), rows).select("target", "lag1", "local_hour", F.col("lag1").alias("persistence"), "climatology", "roll3", F.col("neighbor_mean").alias("neighbors"))
+
+
+@query
+def promotion_gate(spark, d):
+    return M.promotion(_contestants(spark, d), "climatology", "roll3")
 
 
 def _busy(spark, d):
@@ -613,10 +765,17 @@ def prior_correction(spark, d):
 @query
 def radius_eval(spark, d):
     s = _state(spark, d)
-    f = P.mature(P.issue(s, (1,)), s, A).where(f"actual is not null and target_hour >= {A} - 24")
+    f = P.mature(P.issue(s, (1,)), s, A).where("actual is not null")
     return P.radius_success(f, V.meters(spark, d), (50, 100, 250, 500, 1000), 20, 11)
 
 
+@query
+def radius_by_period(spark, d):
+    s = _state(spark, d)
+    f = P.mature(P.issue(s, (1,)), s, A).where("actual is not null")
+    return P.radius_success(f, V.meters(spark, d), (50, 100, 250, 500, 1000), 20, 11, by_period=True)
+
+
 @query
 def model_health(spark, d):
     s = _state(spark, d)
@@ -648,6 +807,12 @@ def event_enriched_sample(spark, d):
     return S.event_enriched(X.changes(s), S.bucket_sample(s, 20, 7), 0.1, 25)
 
 
+@query
+def range_sample(spark, d):
+    """A day's first forty by hash over the last ten days, three hundred in all."""
+    return S.bucket_sample(_state(spark, d).where(f"hour >= {A} - 240"), 50, 7, per_day=40, total=300).select("post_id", "hour", "local_date")
+
+
 @query
 def temporal_split_counts(spark, d):
     s = S.temporal_split(_state(spark, d), A - 240, A - 120)
@@ -678,11 +843,20 @@ def freshness_gate(spark, d):
 
 @query
 def persistence_counts(spark, d):
-    f = P.issue(_state(spark, d), (1,)).where(f"target_hour >= {A} - 12")
+    f = P.issue(_state(spark, d), (1,))
     expected = f.groupBy("target_hour").agg(F.count("*").alias("expected"))
     return H.verify_counts(f.where("post_id % 17 <> 0 or target_hour % 2 = 0"), expected)
 
 
+@query
+def hourly_pipeline(spark, d):
+    """One hour's run on the tables, into a target that has the even sessions: its logged row, and the rows of each step."""
+    s, log = V.sessions(spark, d), []
+    done = H.hourly_job(H.closed_loop(s, s.where("transmission_id % 2 = 0"), A), log.append)
+    steps = [(k, int(done[k])) for k in done["steps"]]
+    return spark.createDataFrame(steps, "step string, rows long").withColumn("status", F.lit(log[0]["status"]))
+
+
 # --- learned models (no SQL form) -----------------------------------------------------------------------------------------
 
 
@@ -693,7 +867,9 @@ def _training(spark, d):
 
 @query
 def isotonic_calibration(spark, d):
-    m = _matured(spark, d).select("post_id", "target_hour", "hours_ahead", "predicted", (F.col("actual") >= 0.5).cast("double").alias("event"))
+    """Calibrated on scores in thousandths."""
+    score = F.floor(F.col("predicted") * 1000 + 1e-6) / 1000.0
+    m = _matured(spark, d).select("post_id", "target_hour", "hours_ahead", score.alias("predicted"), (F.col("actual") >= 0.5).cast("double").alias("event"))
     known = m.where(f"target_hour < {A} - 72")
     out = L.calibrate(L.isotonic(known), m.where(f"target_hour >= {A} - 72"))
     return out.groupBy("hours_ahead").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("predicted") - F.col("event"), 2)).alias("brier_before"), F.avg(F.pow(F.col("calibrated") - F.col("event"), 2)).alias("brier_after"))
@@ -724,6 +900,49 @@ def soft_logistic(spark, d):
     return L.soft_logistic(_training(spark, d), L.TEMPORAL).agg(*M.error_metrics(F.col("predicted"), F.col("target")))
 
 
+def _spatial_training(spark, d):
+    m = V.meters(spark, d)
+    state = tables.landed(_state(spark, d), "state")
+    rows = X.spatial_vector(state, m, X.knn_edges(m, 24, 250.0)).withColumn("local_hour", local_hour(F.col("hour")))
+    return state, tables.landed(S.temporal_split(rows, A - 168, A - 72), "vectors")
+
+
+@query
+def learned_tournament(spark, d):
+    """Persistence, climatology, a temporal and a spatial learner on the same test rows, by regime."""
+    state, rows = _spatial_training(spark, d)
+    test = P.climatology(state.where(f"hour < {A} - 72"), rows.where("part = 'test'"))
+    for names, column in ((L.TEMPORAL, "temporal"), (L.SPATIAL, "spatial")):
+        test = L.predict(L.boosted(rows, names, rounds=10), test, names, column)
+    return M.tournament(test.withColumn("persistence", F.col("lag1")), ["persistence", "climatology", "temporal", "spatial"])
+
+
+@query
+def feature_importances(spark, d):
+    _, rows = _spatial_training(spark, d)
+    return M.importances_table(spark, L.boosted(rows, L.SPATIAL, rounds=10).featureImportances.toArray(), L.SPATIAL)
+
+
+@query
+def spatial_forecast(spark, d):
+    """The next slot by the spatial learner, stored by key beside the roll3 forecasts."""
+    state, rows = _spatial_training(spark, d)
+    m = V.meters(spark, d)
+    ahead = L.predict(L.boosted(rows, L.SPATIAL, rounds=10), X.spatial_inference(state, m, X.knn_edges(m, 24, 250.0), A), L.SPATIAL)
+    columns = ["post_id", "target_hour", "model_version", "predicted", "generated"]
+    made = ahead.select("post_id", F.col("hour").alias("target_hour"), F.lit("spatial").alias("model_version"), "predicted", F.lit(A).alias("generated"))
+    known = P.issue(state, (1,)).where(f"target_hour = {A}").select("post_id", "target_hour", "model_version", "predicted", F.lit(A).alias("generated"))
+    return ingest.upsert(known.select(columns), made.select(columns), columns[:3], [F.col("generated")])
+
+
+@query
+def recursive_boosted(spark, d):
+    """T+1 to T+24 by a fitted learner that is fed its own forecasts."""
+    m, model = V.meters(spark, d), L.boosted(_training(spark, d), L.TEMPORAL, rounds=10)
+    step = lambda now: L.predict(model, P.lag_features(now, m), L.TEMPORAL)
+    return P.recursive(tables.landed(P.history(_state(spark, d), A), "history"), step)
+
+
 # --- streams ------------------------------------------------------------------------------------------------------------
 
 
@@ -742,6 +961,13 @@ def stream_dedupe(spark, d):
     return out.select("transmission_id", "post_id", "start_us", "end_us")
 
 
+@query
+def stream_mature(spark, d):
+    """Forecasts matured by the micro-batches of the hourly stream."""
+    forecasts = tables.landed(_forecast(spark, d).select("post_id", "target_hour", "predicted"), "forecasts")
+    return streams.run_maturing(streams.hourly_counts(_event_stream(spark, d)), forecasts)
+
+
 @query
 def stream_hourly_state(spark, d):
     counts = streams.hourly_counts(_event_stream(spark, d))

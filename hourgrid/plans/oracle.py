@@ -7,7 +7,7 @@ the zone's offset is eight hours throughout. Doubles are rounded to six places;
 from __future__ import annotations
 
 A = 474072
-TEST_FROM = A - 48
+TEST_FROM = A - 168
 RUN_START = 1706659200_000_000
 H = 3_600_000_000
 
@@ -82,8 +82,8 @@ VIEWS = {
         (SELECT unnest([1, 3, 6, 12, 24]) AS h)""",
     "matured0": "SELECT i.*, d.available AS actual FROM issued i JOIN dense d ON d.post_id = i.post_id AND d.hour = i.target_hour",
     "matured": "SELECT m.*, coalesce(d.available, (SELECT avg(actual) FROM matured0)) AS persistence, (m.target_hour - 8) % 24 AS local_hour, (m.target_hour - 8) // 24 AS local_day FROM matured0 m LEFT JOIN dense d ON d.post_id = m.post_id AND d.hour = m.target_hour - 1",
-    "candidates": f"SELECT w.request_id, w.post_id, w.distance_m, i.predicted FROM within_r w JOIN issued i ON i.post_id = w.post_id AND i.hours_ahead = 1 AND i.target_hour = {A - 12} WHERE w.rank <= 100",
-    "grid": f"""SELECT post_id, hour, (hour - 8) % 24 AS local_hour FROM (SELECT post_id, unnest(range(greatest({TEST_FROM}, min(start_us) // {H}), {A - 4})) AS hour FROM done GROUP BY post_id) WHERE (hour - 8) % 24 IN (8, 12, 17, 20)""",
+    "candidates": f"SELECT w.request_id, w.post_id, w.distance_m, i.predicted FROM within_r w JOIN issued i ON i.post_id = w.post_id AND i.hours_ahead = 1 JOIN v_requests q ON q.request_id = w.request_id AND i.target_hour = 19737 * 24 + 8 + q.local_hour",
+    "grid": f"""SELECT post_id, hour, (hour - 8) % 24 AS local_hour FROM (SELECT post_id, unnest(range(greatest({TEST_FROM}, min(start_us) // {H}), {A - 4})) AS hour FROM done GROUP BY post_id)""",
     "ev": f"""SELECT g.post_id, g.hour, g.local_hour, count(*) AS evidence_sessions, greatest(1, (least(max_by(s.end_us, (s.start_us, s.end_us)), g.hour * {H}) // {H} - 8) // 24 - (min(s.start_us) // {H} - 8) // 24 + 1) AS evidence_days
         FROM grid g JOIN done s ON s.post_id = g.post_id AND s.start_us < g.hour * {H} AND least(s.end_us, g.hour * {H}) > (g.hour - 672) * {H} GROUP BY g.post_id, g.hour, g.local_hour""",
     "own_hour": f"""SELECT g.post_id, g.hour, g.local_hour, coalesce(CAST(sum(s.overlap_us) AS BIGINT), 0) AS used_us, count(DISTINCT s.local_day) AS hour_days FROM grid g LEFT JOIN slots s ON s.post_id = g.post_id AND s.local_hour = g.local_hour AND s.hour BETWEEN g.hour - 672 AND g.hour - 1 AND s.overlap_us > 0 GROUP BY g.post_id, g.hour, g.local_hour""",
@@ -92,10 +92,18 @@ VIEWS = {
     "pool": "SELECT blockface_id, hour, sum(used_us) AS pool_us, sum(evidence_days) AS pool_days, sum(evidence_sessions) AS pool_sessions FROM placed JOIN v0 USING (post_id, hour) WHERE blockface_id IS NOT NULL GROUP BY blockface_id, hour",
     "pool_hour": f"""SELECT g.hour, g.local_hour, sum(u) AS pool_us, sum(d) AS pool_days FROM (SELECT DISTINCT hour, local_hour FROM grid) g JOIN (SELECT hour, local_hour, sum(overlap_us) AS u FROM slots GROUP BY ALL) s ON s.local_hour = g.local_hour AND s.hour BETWEEN g.hour - 672 AND g.hour - 1
         JOIN (SELECT hour, count(DISTINCT post_id) AS d FROM slots GROUP BY hour) n ON n.hour = s.hour GROUP BY g.hour, g.local_hour""",
+    "by_face": f"""SELECT * FROM (SELECT p.post_id, p.hour, coalesce(least(v.evidence_days / 14e0, 1e0) * v.score + (1 - least(v.evidence_days / 14e0, 1e0)) * b.pooled, v.score, b.pooled) AS score, coalesce(v.evidence_days, 0) AS evidence_days, CAST(coalesce(v.evidence_sessions, b.pool_sessions) AS BIGINT) AS evidence_sessions
+        FROM placed p LEFT JOIN v0 v USING (post_id, hour) LEFT JOIN (SELECT *, {clamp(f'1 - pool_us / (pool_days * {float(H)!r})')} AS pooled FROM pool) b ON b.blockface_id = p.blockface_id AND b.hour = p.hour) WHERE score IS NOT NULL""",
+    "by_hour": f"""SELECT * FROM (SELECT o.post_id, o.hour, CASE WHEN hs IS NULL THEN v.score WHEN o.hour_days = 0 THEN hs ELSE {clamp(f"hs + least(o.hour_days / 14e0, 1e0) * ({clamp(f'1 - o.used_us / (o.hour_days * {float(H)!r})')} - hs)")} END AS score,
+        CASE WHEN hs IS NULL THEN v.evidence_days ELSE o.hour_days END AS evidence_days, coalesce(v.evidence_sessions, 0) AS evidence_sessions FROM own_hour o LEFT JOIN v0 v USING (post_id, hour) LEFT JOIN (SELECT hour, CASE WHEN pool_days > 0 THEN {clamp(f'1 - pool_us / (pool_days * {float(H)!r})')} END AS hs FROM pool_hour) h ON h.hour = o.hour) WHERE score IS NOT NULL""",
     "observed": f"""SELECT v.post_id, v.hour, DATE '1970-01-01' + CAST((v.hour - 8) // 24 AS INTEGER) AS local_date, v.local_hour, strftime(DATE '1970-01-01' + CAST((v.hour - 8) // 24 AS INTEGER), '%a') AS weekday, p.blockface_id, CASE WHEN p.lat IS NULL THEN 'unresolved' ELSE 'placement_at_t' END AS location_source, m.meter_type,
         v.score, coalesce(s.used_us, 0) / 60e6 AS occupied_minutes, CASE WHEN coalesce(s.used_us, 0) = 0 THEN 1 ELSE 0 END AS free, 1 - coalesce(s.used_us, 0) / {float(H)!r} AS free_fraction, v.evidence_days, v.evidence_sessions
         FROM v0 v LEFT JOIN sparse s USING (post_id, hour) LEFT JOIN placed p USING (post_id, hour) LEFT JOIN v_meters m USING (post_id)""",
     "moved": f"SELECT post_id, hour, {_DATE} AS local_date, local_hour, available, lag1, available - lag1 AS delta, abs(available - lag1) AS magnitude FROM lagged WHERE lag1 IS NOT NULL",
+    "snaps": """SELECT l.post_id, l.hour, l.lag1, l4.available AS lag4, avg(l.available) OVER (PARTITION BY l.post_id ORDER BY l.hour RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING) AS mean24, n.neighbor_mean, n.neighbor_min, n.neighbor_max FROM lagged l LEFT JOIN dense l4 ON l4.post_id = l.post_id AND l4.hour = l.hour - 4
+        LEFT JOIN (SELECT e.source AS post_id, x.hour, avg(x.lag1) AS neighbor_mean, min(x.lag1) AS neighbor_min, max(x.lag1) AS neighbor_max FROM edges8 e JOIN lagged x ON x.post_id = e.target GROUP BY e.source, x.hour) n ON n.post_id = l.post_id AND n.hour = l.hour""",
+    "climate": f"SELECT h.local_hour, coalesce(m, (SELECT avg(available) FROM dense WHERE hour < {A - 120})) AS climatology FROM (SELECT unnest(range(24)) AS local_hour) h LEFT JOIN (SELECT local_hour, avg(available) AS m FROM dense WHERE hour < {A - 120} GROUP BY local_hour) USING (local_hour)",
+    "contest": f"SELECT target, lag1, local_hour, lag1 AS persistence, climatology, roll3, coalesce(neighbor_mean, lag1) AS neighbors FROM vectors JOIN climate USING (local_hour) LEFT JOIN nstats USING (post_id, hour) WHERE hour >= {A - 120}",
     "busy": "SELECT round(1 - roll3, 3) AS score, CASE WHEN target < 1 THEN 1 ELSE 0 END AS label FROM vectors",
     "raw_ok": f"""SELECT transmission_id, k, post_id, start_us, end_us, payment_type, gross, CASE WHEN k % 101 = 0 THEN 'missing transmission_id' WHEN k % 103 = 0 THEN 'bad session_start' END AS error FROM v_sessions""",
 }
@@ -138,12 +146,15 @@ def _err(p: str, a: str) -> str:
 
 
 _OBS = f"{r('avg(score)')} AS mean_score, {r('avg(free)')} AS free_rate, {r('avg(abs(score - free_fraction))')} AS mae, {r('sqrt(avg(power(score - free_fraction, 2)))')} AS rmse, {r('avg(power(score - free, 2))')} AS brier"
+_RMSE = f"{r('sqrt(avg(power(persistence - actual, 2)))')} AS persistence_rmse, "
+_GAIN = f"{r('avg(abs(persistence - actual))')} AS persistence_mae, {_RMSE}{r('avg(abs(persistence - actual)) - avg(abs(predicted - actual))')} AS gain, {r('CASE WHEN avg(abs(persistence - actual)) > 0 THEN 100 * (avg(abs(persistence - actual)) - avg(abs(predicted - actual))) / avg(abs(persistence - actual)) ELSE 0 END')} AS gain_percent"
 _BUCKET = "CASE WHEN evidence_days <= 1 THEN '1' WHEN evidence_days <= 3 THEN '2-3' WHEN evidence_days <= 7 THEN '4-7' WHEN evidence_days <= 14 THEN '8-14' ELSE '15+' END"
 _ACTIVITY = f"""SELECT post_id, count(*) AS session_count, count(DISTINCT (start_us // {H} - 8) // 24) AS active_days, CAST(sum(minutes) AS BIGINT) AS total_minutes, avg(minutes) AS mean_minutes, quantile_cont(CAST(minutes AS DOUBLE), 0.5) AS median_minutes, max(end_us) AS last_end_us
     FROM (SELECT *, (end_us - start_us) // 60000000 AS minutes FROM v_sessions WHERE end_us IS NOT NULL AND start_us >= {RUN_START - 672 * H} AND start_us < {RUN_START}) GROUP BY post_id"""
 _REGIMES = {
-    "all": "true", "full": "target < 0.25", "tight": "target >= 0.25 AND target < 0.5", "easing": "target >= 0.5 AND target < 0.75", "open": "target >= 0.75", "transition_05": "abs(target - lag1) >= 0.05", "transition_10": "abs(target - lag1) >= 0.1",
-    "transition_15": "abs(target - lag1) >= 0.15", "transition_25": "abs(target - lag1) >= 0.25", "daytime": "local_hour BETWEEN 7 AND 19", "peak": "local_hour BETWEEN 16 AND 21",
+    "overall": "true", "0_30": "target < 0.30e0", "30_50": "target >= 0.30e0 AND target < 0.50e0", "50_70": "target >= 0.50e0 AND target < 0.70e0", "70_90": "target >= 0.70e0 AND target < 0.90e0", "90_100": "target >= 0.90e0",
+    "transition": "abs(target - lag1) >= 0.15e0", "transition_05": "abs(target - lag1) >= 0.05e0", "transition_10": "abs(target - lag1) >= 0.10e0", "transition_25": "abs(target - lag1) >= 0.25e0",
+    "daytime": "local_hour >= 7 AND local_hour < 19", "peak_evening": "local_hour >= 16 AND local_hour < 21",
 }
 
 
@@ -157,6 +168,13 @@ def _by(source: str, keys: dict[str, str], metrics: str, least: int = 1) -> str:
     return f"SELECT dimension, value, n, {', '.join(f'CASE WHEN n >= {least} THEN {x} END AS {x}' for x in names)} FROM ({' UNION ALL '.join(parts)})"
 
 
+def _radius(key: str, column: str) -> str:
+    return f"""WITH f AS (SELECT post_id, target_hour AS hour, predicted, actual FROM matured WHERE hours_ahead = 1), chosen AS (SELECT post_id AS center, hour FROM f QUALIFY row_number() OVER (PARTITION BY hour ORDER BY {_KEY.format(11)}, post_id) <= 20),
+        near AS (SELECT a.post_id AS center, b.post_id, {haversine('a', 'b')} AS m FROM v_meters a, v_meters b), each AS (SELECT radius_m, c.center, c.hour, (c.hour - 8) % 24 AS local_hour, count(*) AS k, 1 - exp(sum(ln(greatest(1e-9, 1 - f.predicted)))) AS p, CASE WHEN max(f.actual) > 0.5 THEN 1e0 ELSE 0e0 END AS y FROM chosen c JOIN near n ON n.center = c.center AND n.m <= 1000 JOIN f ON f.post_id = n.post_id AND f.hour = c.hour,
+        (SELECT CAST(unnest([50, 100, 250, 500, 1000]) AS BIGINT) AS radius_m) WHERE round(n.m, 6) <= radius_m GROUP BY ALL)
+        SELECT {key}radius_m, count(*) AS n, {r('avg(p)')} AS mean_predicted, {r('avg(y)')} AS success_rate, {r('avg(power(p - y, 2))')} AS brier, {r('avg(k)')} AS mean_meters FROM (SELECT *{', ' + column.rstrip(', ') if column else ''} FROM each) GROUP BY {key}radius_m"""
+
+
 _KEY = "md5(concat_ws('|', CAST(post_id AS VARCHAR), CAST(hour AS VARCHAR), '{}'))"
 
 
@@ -207,8 +225,33 @@ SQL = {
     "lag_features": q(f"SELECT post_id, hour, {_cols('lag1 lag2 lag3 lag6 lag24 lag168')}, tx1, tx24 FROM lagged"),
     "roll_features": q(f"SELECT post_id, hour, {r('avg(available) OVER (PARTITION BY post_id ORDER BY hour RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)')} AS roll3, {r('avg(available) OVER (PARTITION BY post_id ORDER BY hour RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING)')} AS roll24 FROM dense"),
     "temporal_vector": q(f"SELECT post_id, hour, {_cols('target lag1 lag2 lag3 lag6 lag24 lag168')}, tx1, tx24, {_cols('roll3 roll24 hour_sin hour_cos weekday_sin weekday_cos is_ms')} FROM vectors"),
-    "snapshot_features": q(f"""SELECT l.post_id, l.hour, {r('l.lag1')} AS lag1, {r('l4.available')} AS lag4, {r('avg(l.available) OVER (PARTITION BY l.post_id ORDER BY l.hour RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING)')} AS mean24, {r('n.neighbor_mean')} AS neighbor_mean FROM lagged l LEFT JOIN dense l4 ON l4.post_id = l.post_id AND l4.hour = l.hour - 4
-        LEFT JOIN (SELECT e.source AS post_id, x.hour, avg(x.lag1) AS neighbor_mean FROM edges8 e JOIN lagged x ON x.post_id = e.target GROUP BY e.source, x.hour) n ON n.post_id = l.post_id AND n.hour = l.hour"""),
+    "snapshot_features": q(f"SELECT post_id, hour, {_cols('lag1 lag4 mean24 neighbor_mean neighbor_min neighbor_max')} FROM snaps"),
+    "training_table": q(f"SELECT n.post_id, n.hour, {_cols('lag1 lag4 mean24 neighbor_mean neighbor_min neighbor_max')}, n.hour + 1 AS target_hour, {r('1 - coalesce(s.occupied, 0e0)')} AS target FROM snaps n LEFT JOIN sparse s ON s.post_id = n.post_id AND s.hour = n.hour + 1 WHERE n.hour < {A - 1}"),
+    "row_vectors": q(f"""SELECT post_id, hour, {_cols('lag1 lag2 lag24')}, tx1, tx24, {_cols('roll3 roll24')}, {r(f'sin(local_hour * (2 * {_PI}) / 24)')} AS hour_sin, {r(f'cos(local_hour * (2 * {_PI}) / 24)')} AS hour_cos, {r(f'sin((isodow({_DATE}) - 1) * (2 * {_PI}) / 7)')} AS weekday_sin, {r(f'cos((isodow({_DATE}) - 1) * (2 * {_PI}) / 7)')} AS weekday_cos, CASE WHEN meter_type = 'MS' THEN 1e0 ELSE 0e0 END AS is_ms FROM (
+        SELECT post_id, hour, (hour - 8) // 24 AS local_day, (hour - 8) % 24 AS local_hour, lag(1 - occupied, 1) OVER w AS lag1, lag(1 - occupied, 2) OVER w AS lag2, lag(1 - occupied, 24) OVER w AS lag24, lag(transaction_count, 1) OVER w AS tx1, lag(transaction_count, 24) OVER w AS tx24,
+        avg(1 - occupied) OVER (PARTITION BY post_id ORDER BY hour ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS roll3, avg(1 - occupied) OVER (PARTITION BY post_id ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS roll24 FROM sparse WINDOW w AS (PARTITION BY post_id ORDER BY hour)) LEFT JOIN v_meters USING (post_id) WHERE lag24 IS NOT NULL"""),
+    "start_cycles": q(f"""SELECT transmission_id, {r(f'sin(h * (2 * {_PI}) / 24)')} AS hour_sin, {r(f'cos(h * (2 * {_PI}) / 24)')} AS hour_cos, {r(f'sin((isodow({_DATE}) - 1) * (2 * {_PI}) / 7)')} AS weekday_sin, {r(f'cos((isodow({_DATE}) - 1) * (2 * {_PI}) / 7)')} AS weekday_cos
+        FROM (SELECT transmission_id, (start_us // {H} - 8) // 24 AS local_day, (start_us // {H} - 8) % 24 + (start_us // 60000000 % 60) / 60e0 AS h FROM v_sessions)"""),
+    "latest_slot": q(f"SELECT max(hour) AS latest_hour FROM dense WHERE hour + 1 <= {A - 6}"),
+    "point_snapshots": q(f"SELECT d.post_id, d.hour, coalesce(s.transaction_count, 0) AS transaction_count, {r('1 - coalesce(s.occupied, 0e0)')} AS available FROM dense d LEFT JOIN sparse s ON s.post_id = d.post_id AND s.hour = d.hour - 1"),
+    "snapshot_manifest": q("SELECT count(*) AS rows, count(*) AS read_back, count(end_us) AS ended, CAST(sum(post_id) AS BIGINT) AS posts FROM v_sessions"),
+    "source_registry": q(f"""SELECT 'sessions' AS source, CAST(30 AS BIGINT) AS sla_hours, count(*) FILTER (WHERE error IS NULL AND start_us >= {((A - 8) // 24 - 7) * 24 + 8} * {H}) AS good, count(DISTINCT transmission_id) FILTER (WHERE error IS NULL AND start_us >= {((A - 8) // 24 - 7) * 24 + 8} * {H}) AS keys, count(error) AS bad FROM raw_ok
+        UNION ALL SELECT 'meters', 168, count(*), count(DISTINCT post_id), 0 FROM v_meters UNION ALL SELECT 'policies', 168, count(*) FILTER (WHERE end_sec > start_sec), count(DISTINCT policy_id) FILTER (WHERE end_sec > start_sec), count(*) FILTER (WHERE end_sec <= start_sec) FROM v_policies"""),
+    "canonical_projection": q("""SELECT projection, processed, stored, processed - stored AS skipped FROM (SELECT 'streets' AS projection, count(DISTINCT street_id) AS processed, count(DISTINCT street_id) FILTER (WHERE street_id % 2 <> 0) AS stored FROM v_meters UNION ALL SELECT 'blockfaces', count(DISTINCT blockface_id), count(DISTINCT blockface_id) FILTER (WHERE blockface_id % 2 <> 0) FROM v_meters
+        UNION ALL SELECT 'meters', count(*), count(*) FILTER (WHERE post_id % 2 <> 0) FROM v_meters UNION ALL SELECT 'meter_placements', count(*), count(*) FROM v_meters)"""),
+    "canonical_placements": q(f"SELECT post_id, CASE WHEN blockface_id % 3 <> 0 THEN blockface_id END AS blockface_id, active, {_cols('lat lon')}, CAST({RUN_START} AS BIGINT) AS valid_from FROM v_meters WHERE post_id % 13 <> 0"),
+    "range_sample": q(f"SELECT post_id, hour, {_DATE} AS local_date FROM (SELECT * FROM dense WHERE hour >= {A - 240} AND {_bucket(7)} < 50 QUALIFY row_number() OVER (PARTITION BY local_day ORDER BY {_KEY.format(7)}, post_id, hour) <= 40) ORDER BY {_KEY.format(7)}, post_id, hour LIMIT 300"),
+    "stream_mature": q(f"SELECT i.post_id, i.target_hour, {r('i.predicted')} AS predicted, {r(f'greatest(0e0, 1 - s.used_us / {float(H)!r})')} AS actual FROM issued i JOIN sparse s ON s.post_id = i.post_id AND s.hour = i.target_hour WHERE i.hours_ahead = 1"),
+    "hourly_pipeline": q(f"""WITH f AS (SELECT i.post_id, i.target_hour FROM dense d, (SELECT unnest([1, 2, 3]) AS h), LATERAL (SELECT d.post_id, d.hour + h AS target_hour) i WHERE d.hour + 1 IN ({A}, {A - 12}))
+        SELECT step, CAST(rows AS BIGINT) AS rows, 'succeeded' AS status FROM (SELECT 'ingest' AS step, count(*) AS rows FROM v_sessions UNION ALL SELECT 'state', count(*) FROM dense UNION ALL SELECT 'freshness', 1 UNION ALL SELECT 'forecast', count(*) FROM f UNION ALL SELECT 'verify', count(DISTINCT target_hour) FROM f UNION ALL SELECT 'mature', count(*) FROM f JOIN dense e ON e.post_id = f.post_id AND e.hour = f.target_hour)"""),
+    "isotonic_calibration": q(f"""WITH m AS (SELECT target_hour, hours_ahead, floor(predicted * 1000 + 1e-6) / 1000e0 AS x, CASE WHEN actual >= 0.5 THEN 1e0 ELSE 0e0 END AS y FROM matured),
+        t AS (SELECT row_number() OVER (ORDER BY x) AS k, x, s, n, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn FROM (SELECT x, sum(y) AS s, count(*) AS n FROM m WHERE target_hour < {A - 72} GROUP BY x)),
+        c AS (SELECT a.k AS a, b.k AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM t a JOIN t b ON b.k >= a.k),
+        low AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM c),
+        g AS (SELECT t.x, max(v) AS fit FROM low JOIN t ON t.k = low.b GROUP BY t.x),
+        e AS (SELECT u.x, (SELECT max_by(struct_pack(x := g.x, f := g.fit), g.x) FROM g WHERE g.x <= u.x) AS lo, (SELECT min_by(struct_pack(x := g.x, f := g.fit), g.x) FROM g WHERE g.x >= u.x) AS hi FROM (SELECT DISTINCT x FROM m WHERE target_hour >= {A - 72}) u),
+        p AS (SELECT x, CASE WHEN lo IS NULL THEN hi.f WHEN hi IS NULL OR hi.x = lo.x THEN lo.f ELSE lo.f + (hi.f - lo.f) * (x - lo.x) / (hi.x - lo.x) END AS fit FROM e)
+        SELECT CAST(hours_ahead AS BIGINT) AS hours_ahead, count(*) AS n, {r('avg(power(m.x - y, 2))')} AS brier_before, {r('avg(power(fit - y, 2))')} AS brier_after FROM m JOIN p USING (x) WHERE target_hour >= {A - 72} GROUP BY hours_ahead"""),
     "state_changes": q(f"SELECT post_id, hour, {_cols('available lag1 delta')}, CAST(CASE WHEN delta > 0 THEN 1 ELSE 0 END AS BIGINT) AS up, {r('magnitude')} AS magnitude FROM moved WHERE magnitude > 0.0000005e0"),
     "knn_edges": q(f"SELECT source, target, {_cols('distance_m weight')}, rank FROM edges8"),
     "neighbor_stats": q(f"SELECT post_id, hour, neighbor_count, {_cols('neighbor_mean neighbor_median neighbor_min neighbor_max neighbor_std neighbor_occupied neighbor_tx neighbor_delta1 neighbor_delta3 neighbor_weighted')} FROM nstats"),
@@ -218,14 +261,15 @@ SQL = {
     "find_parking": q(f"""SELECT request_id, target_hour, post_id, {_cols('predicted distance_m score')}, rank, CASE WHEN predicted >= 0.85 THEN 'high' WHEN predicted >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, in_radius FROM (
         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 6) DESC, round(distance_m, 6), post_id) AS rank, count(*) OVER (PARTITION BY request_id) AS in_radius FROM (
         SELECT w.request_id, 19737 * 24 + 8 + q.local_hour AS target_hour, w.post_id, i.predicted, w.distance_m, i.predicted * 100 - w.distance_m * 0.01e0 AS score FROM within_a w JOIN v_requests q USING (request_id) JOIN issued i ON i.post_id = w.post_id AND i.hours_ahead = 1 AND i.target_hour = 19737 * 24 + 8 + q.local_hour)) WHERE rank <= 5"""),
-    "request_validation": q("""SELECT request_id, concat_ws(',', CASE WHEN request_id % 4 = 0 THEN 'latitude' END, CASE WHEN request_id % 6 = 0 THEN 'hour' END, CASE WHEN request_id % 5 = 0 THEN 'radius' END) AS errors FROM v_requests"""),
+    "request_validation": q("""SELECT request_id, concat_ws(',', CASE WHEN request_id % 4 = 0 THEN 'latitude' END, CASE WHEN request_id % 6 = 0 THEN 'hour' END, CASE WHEN request_id % 5 = 0 THEN 'radius' END, CASE WHEN request_id % 9 = 0 THEN 'top' END) AS errors FROM v_requests"""),
     "rank_candidates": q(f"SELECT request_id, post_id, {_cols('predicted distance_m')}, {r('predicted * 100 - distance_m * 0.0015e0')} AS score, row_number() OVER (PARTITION BY request_id ORDER BY round(predicted * 100 - distance_m * 0.0015e0, 6) DESC, round(distance_m, 6), post_id) AS rank, CASE WHEN predicted >= 0.85 THEN 'high' WHEN predicted >= 0.6 THEN 'medium' ELSE 'low' END AS confidence FROM candidates"),
     "radius_probability": q(f"""SELECT request_id, count(*) AS candidates, {r('1 - exp(sum(CASE WHEN rn <= 25 THEN power(0.65e0, rn - 1) * ln(greatest(1e-9, 1 - predicted)) END))')} AS correlated, {r('1 - exp(sum(ln(greatest(1e-9, 1 - predicted))))')} AS independent FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(predicted, 9) DESC, post_id) AS rn FROM candidates) GROUP BY request_id"""),
     "baseline_v0": q(f"SELECT post_id, hour, {r('score')} AS score, evidence_days, evidence_sessions FROM v0"),
-    "baseline_blockface": q(f"""SELECT post_id, hour, {r('score')} AS score, evidence_days, evidence_sessions FROM (SELECT p.post_id, p.hour, coalesce(least(v.evidence_days / 14e0, 1e0) * v.score + (1 - least(v.evidence_days / 14e0, 1e0)) * b.pooled, v.score, b.pooled) AS score, coalesce(v.evidence_days, 0) AS evidence_days, CAST(coalesce(v.evidence_sessions, b.pool_sessions) AS BIGINT) AS evidence_sessions
-        FROM placed p LEFT JOIN v0 v USING (post_id, hour) LEFT JOIN (SELECT *, {clamp(f'1 - pool_us / (pool_days * {float(H)!r})')} AS pooled FROM pool) b ON b.blockface_id = p.blockface_id AND b.hour = p.hour) WHERE score IS NOT NULL"""),
-    "baseline_hour_conditioned": q(f"""SELECT post_id, hour, {r('score')} AS score, evidence_days, evidence_sessions FROM (SELECT o.post_id, o.hour, CASE WHEN hs IS NULL THEN v.score WHEN o.hour_days = 0 THEN hs ELSE {clamp(f"hs + least(o.hour_days / 14e0, 1e0) * ({clamp(f'1 - o.used_us / (o.hour_days * {float(H)!r})')} - hs)")} END AS score,
-        CASE WHEN hs IS NULL THEN v.evidence_days ELSE o.hour_days END AS evidence_days, coalesce(v.evidence_sessions, 0) AS evidence_sessions FROM own_hour o LEFT JOIN v0 v USING (post_id, hour) LEFT JOIN (SELECT hour, CASE WHEN pool_days > 0 THEN {clamp(f'1 - pool_us / (pool_days * {float(H)!r})')} END AS hs FROM pool_hour) h ON h.hour = o.hour) WHERE score IS NOT NULL"""),
+    "baseline_blockface": q(f"SELECT post_id, hour, {r('score')} AS score, evidence_days, evidence_sessions FROM by_face"),
+    "baseline_hour_conditioned": q(f"SELECT post_id, hour, {r('score')} AS score, evidence_days, evidence_sessions FROM by_hour"),
+    "backtest_models": q(" UNION ALL ".join(f"SELECT '{m}' AS method, count(*) AS n, {_OBS} FROM (SELECT score, CASE WHEN coalesce(s.used_us, 0) = 0 THEN 1 ELSE 0 END AS free, 1 - coalesce(s.used_us, 0) / {float(H)!r} AS free_fraction FROM {v} LEFT JOIN sparse s USING (post_id, hour))" for m, v in (("deterministic_v0", "v0"), ("blockface_hourly", "by_face"), ("hour_conditioned_v1", "by_hour")))),
+    "backtest_scoped": q(f"SELECT post_id, hour, {_cols('score free_fraction')}, {r('score - free_fraction')} AS error, blockface_id FROM observed WHERE post_id IN (SELECT DISTINCT post_id FROM v_sessions WHERE post_id IN (SELECT b.post_id FROM v_meters b, (SELECT 37.76e0 AS lat, -122.44e0 AS lon) a WHERE {haversine('a', 'b')} <= 600) ORDER BY post_id LIMIT 20)"),
+    "backtest_frontier": q(f"SELECT max(hour) AS last_hour, count(*) AS n, {_OBS} FROM observed WHERE hour < (SELECT least({RUN_START}, max(end_us) - {24 * H}) // {H} FROM v_sessions)"),
     "backtest_observations": q(f"SELECT post_id, hour, local_date, local_hour, weekday, blockface_id, location_source, {_cols('score')}, {r9('occupied_minutes')} AS occupied_minutes, CAST(free AS BIGINT) AS free, {_cols('free_fraction')}, {r('score - free_fraction')} AS error, evidence_days, evidence_sessions, 'deterministic_v0' AS method FROM observed"),
     "backtest_breakdowns": q(_by(f"(SELECT *, {_BUCKET} AS evidence_bucket FROM observed)", {k: k for k in ("local_hour", "weekday", "meter_type", "evidence_bucket", "blockface_id")}, _OBS, 10)),
     "score_calibration": q(f"""SELECT bucket, coalesce(n, 0) AS n, {r('CASE WHEN n >= 30 THEN mean_score END')} AS mean_score, {r('CASE WHEN n >= 30 THEN rate END')} AS rate FROM (SELECT unnest(range(10)) AS bucket) LEFT JOIN (SELECT CAST(least(floor(score * 10 + 1e-9), 9) AS BIGINT) AS bucket, count(*) AS n, avg(score) AS mean_score, avg(free) AS rate FROM observed GROUP BY 1) USING (bucket)"""),
@@ -238,31 +282,34 @@ SQL = {
     "space_meter_links": q("SELECT parking_space_id, post_id, min(start_date) AS valid_from, max(end_date) AS valid_until, count(*) AS policies FROM v_policies WHERE parking_space_id IS NOT NULL GROUP BY parking_space_id, post_id"),
     "unresolved_posts": q("SELECT post_id, count(*) AS sessions FROM v_sessions WHERE post_id NOT IN (SELECT post_id FROM v_meters WHERE post_id % 13 <> 0) GROUP BY post_id"),
     "post_coverage": q(f"SELECT count(*) AS ids, count(*) FILTER (WHERE known) AS matched, {r('count(*) FILTER (WHERE known) / count(*)')} AS ratio, count(*) FILTER (WHERE known) / count(*) >= 0.99 AS healthy FROM (SELECT DISTINCT post_id, post_id IN (SELECT post_id FROM v_meters WHERE post_id % 13 <> 0) AS known FROM v_sessions)"),
-    "forecast_upsert": q(f"SELECT post_id, target_hour, 'roll3' AS model_version, {r('CASE WHEN post_id % 2 = 0 THEN predicted / 2 ELSE predicted END')} AS predicted, CAST(CASE WHEN post_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS generated FROM issued WHERE hours_ahead = 1 AND target_hour >= {A - 24}"),
-    "forecast_mature": q(f"SELECT i.hours_ahead AS hours_ahead, count(*) AS issued, count(d.available) AS matured, {r('avg(d.available)')} AS mean_actual FROM (SELECT * REPLACE (CAST(hours_ahead AS BIGINT) AS hours_ahead) FROM issued WHERE hours_ahead IN (1, 24) AND target_hour >= {A - 30}) i LEFT JOIN dense d ON d.post_id = i.post_id AND d.hour = i.target_hour AND d.hour + 1 <= {A - 6} GROUP BY i.hours_ahead"),
+    "forecast_upsert": q(f"SELECT post_id, target_hour, 'roll3' AS model_version, {r('CASE WHEN post_id % 2 = 0 THEN predicted / 2 ELSE predicted END')} AS predicted, CAST(CASE WHEN post_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS generated FROM issued WHERE hours_ahead = 1"),
+    "forecast_mature": q(f"SELECT i.hours_ahead AS hours_ahead, count(*) AS issued, count(d.available) AS matured, {r('avg(d.available)')} AS mean_actual FROM (SELECT * REPLACE (CAST(hours_ahead AS BIGINT) AS hours_ahead) FROM issued WHERE hours_ahead IN (1, 24)) i LEFT JOIN dense d ON d.post_id = i.post_id AND d.hour = i.target_hour AND d.hour + 1 <= {A - 6} GROUP BY i.hours_ahead"),
     "forecast_inventory": q(f"SELECT target_hour, count(*) AS n, count(DISTINCT post_id) AS meters FROM issued WHERE hours_ahead IN (1, 24) AND target_hour >= {A} GROUP BY target_hour"),
     "forecast_overrides": q("SELECT post_id, " + ", ".join(f"{r(f'max(CASE WHEN {A} - target_hour = {n} THEN predicted END)')} AS lag{n}" for n in (1, 2, 3, 6, 24, 168)) + f" FROM issued WHERE hours_ahead = 1 AND {A} - target_hour IN (1, 2, 3, 6, 24, 168) GROUP BY post_id"),
     "discover_meters": q(f"""SELECT t AS target_hour, count(post_id) AS meters, CAST(sum(post_id) AS BIGINT) AS ids FROM (SELECT CAST(unnest([{A - 5}, {A + 2}, {A + 4}]) AS BIGINT) AS t) LEFT JOIN (SELECT hour + 1 AS t, post_id FROM dense UNION SELECT target_hour + 1, post_id FROM issued WHERE target_hour >= {A}) USING (t) GROUP BY t"""),
     "recursive_forecast": q(f"""WITH p0 AS (SELECT a.post_id, a.available AS a1, b.available AS a2, c.available AS a3 FROM dense a JOIN dense b ON b.post_id = a.post_id AND b.hour = {A - 2} JOIN dense c ON c.post_id = a.post_id AND c.hour = {A - 3} WHERE a.hour = {A - 1}), {_ROLL_STEPS}
         SELECT post_id, {A - 1} + k AS target_hour, k AS hours_ahead, {r('list_extract([' + ', '.join(f'p{k}' for k in range(1, 25)) + '], k)')} AS predicted FROM p24, (SELECT unnest(range(1, 25)) AS k)"""),
-    "horizon_metrics": q(f"SELECT CAST(hours_ahead AS BIGINT) AS hours_ahead, {_err('predicted', 'actual')}, {r('avg(abs(persistence - actual))')} AS persistence_mae, {r('avg(abs(persistence - actual)) - avg(abs(predicted - actual))')} AS gain, {r('CASE WHEN avg(abs(persistence - actual)) > 0 THEN 100 * (avg(abs(persistence - actual)) - avg(abs(predicted - actual))) / avg(abs(persistence - actual)) ELSE 0 END')} AS gain_percent FROM matured GROUP BY hours_ahead"),
-    "horizon_groups": q(f"SELECT 'T+' || CAST((hours_ahead - 1) // 6 * 6 + 1 AS VARCHAR) || '-' || CAST((hours_ahead - 1) // 6 * 6 + 6 AS VARCHAR) AS horizon_group, count(*) AS n, {r('avg(abs(predicted - actual))')} AS mae, {r('sqrt(avg(power(predicted - actual, 2)))')} AS rmse, {r('avg(abs(persistence - actual))')} AS persistence_mae FROM matured GROUP BY 1"),
+    "horizon_metrics": q(f"SELECT CAST(hours_ahead AS BIGINT) AS hours_ahead, {_err('predicted', 'actual')}, {_GAIN} FROM matured GROUP BY hours_ahead"),
+    "report_roundtrip": q(f"SELECT CAST(hours_ahead AS BIGINT) AS hours_ahead, {_err('predicted', 'actual')}, {_GAIN} FROM matured GROUP BY hours_ahead"),
+    "horizon_groups": q(f"SELECT 'T+' || CAST((hours_ahead - 1) // 6 * 6 + 1 AS VARCHAR) || '-' || CAST((hours_ahead - 1) // 6 * 6 + 6 AS VARCHAR) AS horizon_group, {_err('predicted', 'actual')}, {_GAIN.replace(_RMSE, '')} FROM matured GROUP BY 1"),
     "persistence_eval": q(f"SELECT CAST(hours_ahead AS BIGINT) AS hours_ahead, count(*) AS issued, count(actual) AS matured, {r('avg(abs(predicted - actual))')} AS mae, {r('avg(abs(persistence_asof - actual))')} AS persistence_asof_mae, {r('count(actual) / count(*)')} AS coverage FROM (SELECT i.*, d.available AS actual FROM issued i LEFT JOIN dense d ON d.post_id = i.post_id AND d.hour = i.target_hour) GROUP BY hours_ahead"),
-    "climatology_eval": q(f"SELECT local_hour, {_err('climatology', 'available')} FROM (SELECT d.local_hour, d.available, coalesce(h.m, (SELECT avg(available) FROM dense WHERE hour < {A - 120})) AS climatology FROM dense d LEFT JOIN (SELECT local_hour, avg(available) AS m FROM dense WHERE hour < {A - 120} GROUP BY local_hour) h USING (local_hour) WHERE d.hour >= {A - 120}) GROUP BY local_hour"),
-    "period_breakdown": q(_by(f"(SELECT matured.*, {_PERIOD} AS period, CASE WHEN isodow({_DATE}) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, meter_type FROM matured LEFT JOIN v_meters USING (post_id))", {k: k for k in ("period", "day_type", "meter_type", "hours_ahead")}, _err("predicted", "actual").removeprefix("count(*) AS n, "))),
+    "climatology_eval": q(f"SELECT local_hour, {_err('predicted', 'actual')}, {_GAIN} FROM (SELECT local_hour, available AS actual, lag1 AS persistence, climatology AS predicted FROM lagged JOIN climate USING (local_hour) WHERE hour >= {A - 120} AND lag1 IS NOT NULL) GROUP BY local_hour"),
+    "period_breakdown": q(_by(f"(SELECT matured.*, {_PERIOD} AS period, CASE WHEN isodow({_DATE}) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, meter_type, {_PERIOD} || ' T+' || CAST(hours_ahead AS VARCHAR) AS period_horizon FROM matured LEFT JOIN v_meters USING (post_id))", {k: k for k in ("period", "day_type", "meter_type", "hours_ahead", "period_horizon")}, _err("predicted", "actual").removeprefix("count(*) AS n, "))),
     "forecast_calibration": q(f"SELECT bucket, coalesce(n, 0) AS n, {_cols('mean_score rate')} FROM (SELECT unnest(range(10)) AS bucket) LEFT JOIN (SELECT CAST(least(floor(predicted * 10 + 1e-9), 9) AS BIGINT) AS bucket, count(*) AS n, avg(predicted) AS mean_score, avg(actual) AS rate FROM matured GROUP BY 1) USING (bucket)"),
     "calibration_by_horizon": q(f"SELECT hours_ahead, CAST(sum(n) AS BIGINT) AS n, {r('sum(q) / sum(n)')} AS brier, {r('sum(abs(p - a)) / sum(n)')} AS ece, {r('max(abs(p - a) / n)')} AS mce FROM (SELECT CAST(hours_ahead AS BIGINT) AS hours_ahead, least(floor(predicted * 10 + 1e-9), 9) AS b, count(*) AS n, sum(predicted) AS p, sum(actual) AS a, sum(power(predicted - actual, 2)) AS q FROM matured GROUP BY 1, 2) GROUP BY hours_ahead"),
     "regime_eval": q(_regimes("SELECT target, lag1, local_hour, roll3 AS predicted FROM vectors")),
-    "transition_metrics": q(f"SELECT count(*) AS n, {r('avg(abs(roll3 - target))')} AS mae, {r('avg(CASE WHEN sign(target - lag1) = sign(roll3 - lag1) THEN 1e0 ELSE 0e0 END)')} AS direction_accuracy, {r('avg(abs(target - lag1))')} AS mean_move FROM vectors WHERE abs(target - lag1) >= 0.1e0 - 1e-12"),
+    "transition_metrics": q(f"SELECT count(*) AS n, {r('avg(abs(roll3 - target))')} AS mae, {r('avg(CASE WHEN (target - lag1 > 0) = (roll3 - lag1 > 0) THEN 1e0 ELSE 0e0 END)')} AS direction_accuracy, {r('avg(abs(target - lag1))')} AS mean_move FROM vectors WHERE abs(target - lag1) >= 0.1e0 - 1e-12"),
     "target_diagnostics": q(f"SELECT count(*) AS n, {', '.join(f'{r(f'quantile_cont(magnitude, {p})')} AS q{int(p * 100)}' for p in (0.5, 0.9, 0.95, 0.99))}, {', '.join(f'{r(f'avg(CASE WHEN magnitude >= {t} THEN 1e0 ELSE 0e0 END)')} AS over_{int(t * 100):02d}' for t in (0.05, 0.1, 0.25))}, {r('avg(CASE WHEN magnitude = 0 THEN 1e0 ELSE 0e0 END)')} AS unchanged FROM moved"),
-    "tournament": q(" UNION ALL ".join(_regimes(f"SELECT target, lag1, local_hour, {c} AS predicted FROM vectors", f"'{m}' AS model, ") for m, c in (("persistence", "lag1"), ("roll3", "roll3"), ("roll24", "roll24")))),
+    "tournament": q(" UNION ALL ".join(_regimes(f"SELECT target, lag1, local_hour, {m} AS predicted FROM contest", f"'{m}' AS model, ") for m in ("persistence", "climatology", "roll3", "neighbors"))),
+    "promotion_gate": q(f"""SELECT {_cols('base_mae mae')}, n_transitions, {_cols('base_transition_mae transition_mae direction_accuracy')}, coalesce(mae < base_mae, false) AS overall, n_transitions >= 100 AS enough_transitions, coalesce(transition_mae < base_transition_mae, false) AS transitions, coalesce(direction_accuracy > 0.5, false) AS direction,
+        coalesce(mae < base_mae AND n_transitions >= 100 AND transition_mae < base_transition_mae AND direction_accuracy > 0.5, false) AS promoted FROM (SELECT avg(abs(climatology - target)) AS base_mae, avg(abs(roll3 - target)) AS mae, count(*) FILTER (WHERE m) AS n_transitions, avg(abs(climatology - target)) FILTER (WHERE m) AS base_transition_mae,
+        avg(abs(roll3 - target)) FILTER (WHERE m) AS transition_mae, avg(CASE WHEN (target - lag1 > 0) = (roll3 - lag1 > 0) THEN 1e0 ELSE 0e0 END) FILTER (WHERE m) AS direction_accuracy FROM (SELECT *, abs(target - lag1) >= 0.15e0 - 1e-12 AS m FROM contest))"""),
     "binary_metrics": q(f"SELECT tp, fp, fn, tn, {r('brier')} AS brier, {r('p')} AS precision, {r('c')} AS recall, {r('CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0 END')} AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS c FROM (SELECT count(*) FILTER (WHERE label = 1 AND score >= 0.3005) AS tp, count(*) FILTER (WHERE label = 0 AND score >= 0.3005) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.3005) AS fn, count(*) FILTER (WHERE label = 0 AND score < 0.3005) AS tn, avg(power(score - label, 2)) AS brier FROM busy))"),
     "roc_auc": q(f"SELECT CAST(p AS BIGINT) AS positives, CAST(n - p AS BIGINT) AS negatives, {r('(ranks - p * (p + 1) / 2) / (p * (n - p))')} AS auc FROM (SELECT sum(label * (rk + (c + 1) / 2e0)) AS ranks, sum(label) AS p, count(*) AS n FROM (SELECT label, rank() OVER (ORDER BY score) - 1 AS rk, count(*) OVER (PARTITION BY score) AS c FROM busy))"),
     "average_precision": q(f"SELECT CAST(max(ap) AS BIGINT) AS positives, {r('sum(pos * tp / cn) / max(ap)')} AS average_precision FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS cn, sum(pos) OVER () AS ap FROM (SELECT score, sum(label) AS pos, count(*) AS n FROM busy GROUP BY score))"),
     "prior_correction": q(f"SELECT {r('score')} AS score, n, {r('o / (1 + o)')} AS corrected FROM (SELECT score, n, c / (1 - c) * (0.01e0 / 0.99e0) / (0.2e0 / 0.8e0) AS o FROM (SELECT score, count(*) AS n, greatest(1e-9, least(1 - 1e-9, score)) AS c FROM busy GROUP BY score))"),
-    "radius_eval": q(f"""WITH f AS (SELECT post_id, target_hour AS hour, predicted, actual FROM matured WHERE hours_ahead = 1 AND target_hour >= {A - 24}), chosen AS (SELECT post_id AS center, hour FROM f QUALIFY row_number() OVER (PARTITION BY hour ORDER BY {_KEY.format(11)}, post_id) <= 20),
-        near AS (SELECT a.post_id AS center, b.post_id, {haversine('a', 'b')} AS m FROM v_meters a, v_meters b), each AS (SELECT radius_m, c.center, c.hour, count(*) AS k, 1 - exp(sum(ln(greatest(1e-9, 1 - f.predicted)))) AS p, CASE WHEN max(f.actual) > 0.5 THEN 1e0 ELSE 0e0 END AS y FROM chosen c JOIN near n ON n.center = c.center AND n.m <= 1000 JOIN f ON f.post_id = n.post_id AND f.hour = c.hour, (SELECT CAST(unnest([50, 100, 250, 500, 1000]) AS BIGINT) AS radius_m) WHERE round(n.m, 6) <= radius_m GROUP BY ALL)
-        SELECT radius_m, count(*) AS n, {r('avg(p)')} AS mean_predicted, {r('avg(y)')} AS success_rate, {r('avg(power(p - y, 2))')} AS brier, {r('avg(k)')} AS mean_meters FROM each GROUP BY radius_m"""),
+    "radius_eval": q(_radius("", "")),
+    "radius_by_period": q(_radius("period, ", f"{_PERIOD} AS period, ")),
     "model_health": q(f"""SELECT model_version, n, matured, {_cols('mae mean_predicted mean_actual')}, {r('matured / n')} AS maturity, CASE WHEN coalesce(mae, 0) > 0.15 OR (matured > 0 AND 1 - matured / n > 0.1) THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT 'roll3-h' || CAST(hours_ahead AS VARCHAR) AS model_version, count(*) AS n, count(d.available) AS matured, avg(abs(predicted - d.available)) AS mae, avg(predicted) AS mean_predicted, avg(d.available) AS mean_actual
         FROM issued i LEFT JOIN dense d ON d.post_id = i.post_id AND d.hour = i.target_hour WHERE hours_ahead IN (1, 24) GROUP BY 1)"""),
     "hash_sample": q(f"SELECT post_id, hour, {_DATE} AS local_date FROM dense WHERE {_bucket(7)} < 50 QUALIFY row_number() OVER (PARTITION BY local_day ORDER BY {_KEY.format(7)}, post_id, hour) <= 40"),
@@ -274,7 +321,7 @@ SQL = {
     "source_health": f"""WITH s AS (SELECT DISTINCT event_type AS source FROM events UNION ALL SELECT 'garage'), g AS (SELECT event_type AS source, max_by(CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END, (ts, CAST(event_id AS VARCHAR))) AS last_status, max(epoch_us(ts) + 60000000) FILTER (WHERE event_id % 7 <> 0) AS last_success FROM events GROUP BY 1)
         SELECT source, CAST(CASE WHEN source < 'm' THEN 1 ELSE 48 END AS BIGINT) AS sla_hours, last_status, {r(f'({RUN_START} - last_success) / 3.6e9')} AS age_hours, CASE WHEN last_status IS NULL THEN 'never_run' WHEN last_status = 'failed' THEN 'failed' WHEN last_success IS NULL OR ({RUN_START} - last_success) / 3.6e9 > CASE WHEN source < 'm' THEN 1 ELSE 48 END THEN 'stale' ELSE 'fresh' END AS health FROM s LEFT JOIN g USING (source)""",
     "freshness_gate": q(f"SELECT max(hour) AS latest_hour, {A + 2} - max(hour) - 1 AS age_hours, {A + 2} - max(hour) - 1 <= 3 AS fresh FROM dense"),
-    "persistence_counts": q(f"SELECT target_hour, count(*) AS expected, count(*) FILTER (WHERE post_id % 17 <> 0 OR target_hour % 2 = 0) AS stored, count(*) = count(*) FILTER (WHERE post_id % 17 <> 0 OR target_hour % 2 = 0) AS complete FROM issued WHERE hours_ahead = 1 AND target_hour >= {A - 12} GROUP BY target_hour"),
+    "persistence_counts": q(f"SELECT target_hour, count(*) AS expected, count(*) FILTER (WHERE post_id % 17 <> 0 OR target_hour % 2 = 0) AS stored, count(*) = count(*) FILTER (WHERE post_id % 17 <> 0 OR target_hour % 2 = 0) AS complete FROM issued WHERE hours_ahead = 1 GROUP BY target_hour"),
     "stream_dedupe": q("SELECT transmission_id, post_id, start_us, end_us FROM v_sessions"),
     "stream_hourly_state": q("SELECT post_id, hour, transaction_count, used_us AS overlap_us FROM sparse"),
     "stream_zero_filled": q("SELECT post_id, count(*) AS hours, count(*) FILTER (WHERE transaction_count = 0) AS silent, CAST(sum(used_us) AS BIGINT) AS overlap_us FROM dense GROUP BY post_id"),
@@ -282,21 +329,27 @@ SQL = {
 }
 
 
-def _spatial() -> str:
-    """The spatial vector's state begins ten days before the end, so its lags do too."""
-    cut = {n: v.replace("dense", "late") for n, v in VIEWS.items() if n in ("lagged", "vectors", "near_n", "nstats")}
-    base = [n for n in _needed("SELECT dense, v_meters, edges24") if n not in cut]
-    parts = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in base] + [f"late AS MATERIALIZED (SELECT * FROM dense WHERE hour >= {A - 240})"] + [f"{n} AS MATERIALIZED ({cut[n]})" for n in ("lagged", "vectors", "near_n", "nstats")]
-    own = "neighbor_mean neighbor_median neighbor_min neighbor_max neighbor_weighted"
-    zero = "neighbor_std neighbor_tx neighbor_delta1 neighbor_delta3"
-    filled = ", ".join([f"{r(f'coalesce({n}, lag1)')} AS {n}" for n in own.split()] + [f"{r(f'coalesce({n}, 0e0)')} AS {n}" for n in zero.split()])
-    return f"""WITH {', '.join(parts)} SELECT post_id, hour, {_cols('target lag1 lag2 lag3 lag6 lag24 lag168')}, tx1, tx24, {_cols('roll3 roll24 hour_sin hour_cos weekday_sin weekday_cos is_ms')}, {r('lag1 - lag2')} AS delta1, {r('lag1 - lag3')} AS delta3, {r('(lag1 - lag2) - (lag2 - lag3)')} AS acceleration, tx1 - tx24 AS tx_delta1,
-        {r('tx1 / greatest(tx24, 1)')} AS tx_ratio_3h, coalesce(neighbor_count, 0) AS neighbor_count, {filled}, {r('coalesce(neighbor_occupied, CASE WHEN lag1 < 0.5 THEN 1e0 ELSE 0e0 END)')} AS neighbor_occupied FROM vectors LEFT JOIN nstats USING (post_id, hour)"""
+_TEMPORAL = f"{_cols('lag1 lag2 lag3 lag6 lag24 lag168')}, tx1, tx24, {_cols('roll3 roll24 hour_sin hour_cos weekday_sin weekday_cos is_ms')}"
+_OWN, _ZERO = "neighbor_mean neighbor_median neighbor_min neighbor_max neighbor_weighted", "neighbor_std neighbor_tx neighbor_delta1 neighbor_delta3"
+_SPATIAL = f"""{_TEMPORAL}, {r('lag1 - lag2')} AS delta1, {r('lag1 - lag3')} AS delta3, {r('(lag1 - lag2) - (lag2 - lag3)')} AS acceleration, tx1 - tx24 AS tx_delta1, {r('tx1 / greatest(tx24, 1)')} AS tx_ratio_3h, coalesce(neighbor_count, 0) AS neighbor_count,
+    {', '.join([f"{r(f'coalesce({n}, lag1)')} AS {n}" for n in _OWN.split()] + [f"{r(f'coalesce({n}, 0e0)')} AS {n}" for n in _ZERO.split()])}, {r('coalesce(neighbor_occupied, CASE WHEN lag1 < 0.5 THEN 1e0 ELSE 0e0 END)')} AS neighbor_occupied"""
+
+
+def _ahead(sql: str) -> str:
+    """``sql`` over a state that ends with a row without values at A for each meter seen the hour before."""
+    ahead = f"SELECT post_id, hour, local_day, local_hour, transaction_count, available FROM dense WHERE hour >= {A - 168} UNION ALL SELECT post_id, {A}, {(A - 8) // 24}, {(A - 8) % 24}, NULL, NULL FROM dense WHERE hour = {A - 1}"
+    cut = {n: VIEWS[n].replace("dense", "ahead") for n in ("lagged", "vectors", "near_n", "nstats")}
+    parts = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in _needed("dense v_meters edges24") if n not in cut] + [f"ahead AS MATERIALIZED ({ahead})"] + [f"{n} AS MATERIALIZED ({v})" for n, v in cut.items()]
+    return f"WITH {', '.join(parts)} {sql}"
 
 
-SQL["spatial_vector"] = _spatial()
+SQL["spatial_vector"] = q(f"SELECT post_id, hour, {r('target')} AS target, {_SPATIAL} FROM vectors LEFT JOIN nstats USING (post_id, hour)")
+SQL["spatial_inference"] = _ahead(f"SELECT post_id, hour, {_SPATIAL} FROM vectors LEFT JOIN nstats USING (post_id, hour) WHERE hour = {A}")
+SQL["temporal_inference"] = _ahead(f"SELECT post_id, hour, {_TEMPORAL} FROM vectors WHERE hour = {A}")
+SQL["predict_slot"] = _ahead(f"""SELECT request_id, CAST({A} AS BIGINT) AS target_hour, post_id, {_cols('predicted distance_m')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(predicted, 6) DESC, round(distance_m, 6), post_id) AS rank FROM (
+    SELECT q.request_id, m.post_id, v.roll3 AS predicted, {haversine('q', 'm')} AS distance_m, q.radius_m FROM ({VIEWS['v_requests']}) q, v_meters m JOIN vectors v ON v.post_id = m.post_id AND v.hour = {A}) WHERE distance_m <= least(1000, radius_m)) WHERE rank <= 5""")
 
 # Dates are compared as text.
-for _name, _dates in {"session_slots": ("local_date",), "hourly_state_dense": ("local_date",), "local_calendar": ("local_date",), "backtest_observations": ("local_date",), "hash_sample": ("local_date",), "daily_head_sample": ("local_date",),
+for _name, _dates in {"session_slots": ("local_date",), "hourly_state_dense": ("local_date",), "local_calendar": ("local_date",), "backtest_observations": ("local_date",), "hash_sample": ("local_date",), "range_sample": ("local_date",), "daily_head_sample": ("local_date",),
                       "event_enriched_sample": ("local_date",), "policies_clean": ("start_date", "end_date"), "space_meter_links": ("valid_from", "valid_until")}.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _dates)}) FROM ({SQL[_name]})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,12 +134,15 @@ def run_row(spark: SparkSession, **fields) -> DataFrame:
     return spark.createDataFrame([tuple(fields.get(n) for n in names)], RUNS)
 
 
-#: name -> (key columns, longest age in hours); a reader is given when a source is registered.
-SOURCES: dict[str, dict] = {}
+def load_sources(declared: str, readers: dict[str, Callable]) -> dict[str, dict]:
+    """The source registry from its declaration, JSON of name -> {reader, keys, freshness_hours, options}, checked as a whole.
 
-
-def register_source(name: str, reader, keys: list[str], sla_hours: float, **options) -> None:
-    """A source is a function (spark, options) -> (good, bad); the registry is checked when it is filled."""
-    if not callable(reader) or not keys or sla_hours <= 0:
-        raise ValueError(f"source {name!r} needs a reader, keys and a positive age")
-    SOURCES[name] = {"reader": reader, "keys": keys, "sla_hours": sla_hours, "options": options}
+    A reader is a function (spark, folder, options) -> (good rows, bad rows); more may be given than are declared.
+    """
+    out = {}
+    for name, d in json.loads(declared).items():
+        faults = [k for k, bad in (("reader", d.get("reader") not in readers), ("keys", not d.get("keys")), ("freshness_hours", not d.get("freshness_hours", 0) > 0)) if bad]
+        if faults:
+            raise ValueError(f"source {name!r}: {', '.join(faults)}")
+        out[name] = {"reader": readers[d["reader"]], "keys": d["keys"], "sla_hours": d["freshness_hours"], "options": d.get("options", {})}
+    return out

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Schemas of what is stored; nothing is inferred.
 STATE = "post_id bigint, hour bigint, local_date date, local_hour int, transaction_count bigint, paid_overlap_minutes double, occupied double, available double"
@@ -20,13 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; under one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the one that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder. In
+    local mode, where all is one machine, a folder beside the warehouse stands in; elsewhere an unset one is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hourgrid-"))
-            base = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
@@ -42,8 +42,22 @@ def write_days(df: DataFrame, path: str, day_col: str = "local_date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str) -> dict[str, int]:
+    """Writes JSON lines and returns the manifest: the rows that were counted while they were written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").json(path)
+    return dict(seen.get)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
+    """JSON lines by a given schema; blank lines are skipped, nothing is inferred."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of few rows as JSON lines whose keys are sorted: the same rows give the same text."""
+    ordered = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    ordered.coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hourgrid.operators.state import session_slots, slot_state
+from hourgrid.functions.slots import HOUR_US
+from hourgrid.operators.state import session_slots
 from hourgrid.sources.ingest import normalize_sessions
 from hourgrid.sources.tables import shared_folder
 
@@ -62,6 +64,20 @@ def zero_filled(counts: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.join(counts, ["post_id", "hour"], "left").select("post_id", "hour", F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"), F.coalesce("overlap_us", F.lit(0)).alias("overlap_us"))
 
 
-def state_of(sessions: DataFrame) -> DataFrame:
-    """The batch form of ``hourly_counts`` with probabilities."""
-    return slot_state(session_slots(sessions))
+def run_maturing(counts: DataFrame, forecasts: DataFrame, kind: str = "matured") -> DataFrame:
+    """Matures ``forecasts`` (post_id, target_hour, ..) micro-batch by micro-batch with a stream of ``hourly_counts``.
+
+    Each batch joins the forecasts of the slots that it changed; a slot's ``actual`` is the share of it that none paid for.
+    The last batch of a key counts, so a slot that grows later is put right.
+    """
+    spark = counts.sparkSession
+    path, state = shared_folder(spark, kind), shared_folder(spark, f"{kind}-checkpoint")
+
+    def mature(batch: DataFrame, n: int) -> None:
+        free = F.greatest(F.lit(0.0), 1.0 - F.col("overlap_us") / float(HOUR_US))
+        seen = batch.select("post_id", F.col("hour").alias("target_hour"), free.alias("actual"))
+        forecasts.join(seen, ["post_id", "target_hour"]).withColumn("batch", F.lit(n).cast("long")).write.mode("append").parquet(path)
+
+    counts.writeStream.trigger(availableNow=True).option("checkpointLocation", state).outputMode("update").foreachBatch(mature).start().awaitTermination()
+    matured = spark.read.schema(T.StructType([*forecasts.schema, T.StructField("actual", T.DoubleType()), T.StructField("batch", T.LongType())])).parquet(path)
+    return latest_per_key(matured, ["post_id", "target_hour"])

@@ -8,7 +8,7 @@ from hourgrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Learned models take long to fit and have no SQL form; they have tests of their own.
-SLOW = {"isotonic_calibration", "gbt_forecast", "state_change_model", "event_model", "soft_logistic"}
+SLOW = {"gbt_forecast", "state_change_model", "event_model", "soft_logistic", "learned_tournament", "feature_importances", "spatial_forecast", "recursive_boosted"}
 
 
 def rows_of(columns, rows):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import slots
 from hourgrid.functions.geo import near
 from hourgrid.operators import baselines, canonical, decide, features, forecast, health, metrics, models, sampling, state
-from hourgrid.operators.backtest import run_backtest
+from hourgrid.operators.backtest import known_until, run_backtest, scoped
 from hourgrid.sources import ingest, tables
 
 H = slots.HOUR_US
@@ -79,6 +79,30 @@ def test_neighbours(spark):
     assert pairs == sum(d(x, y) <= 250 for x in pts for y in pts)
 
 
+@pytest.mark.parametrize(("lat", "lon"), [(37.75, -122.4), (51.5, 0.0), (60.0, 179.999), (-75.0, -180.0), (89.9995, 10.0)])
+def test_nearness_at_any_latitude(spark, lat, lon):
+    rng = random.Random(int(lat))
+    wide = 1.0 if lat < 89 else 180.0
+    pts = [(i, min(90.0, lat + rng.uniform(-0.01, 0.01)), (lon + rng.uniform(-0.02, 0.02) * wide / max(0.01, abs(60 - abs(lat)) / 60 if abs(lat) > 70 else 1) + 540) % 360 - 180) for i in range(250)]
+    df = spark.createDataFrame(pts, "post_id long, lat double, lon double")
+    pairs = near(df.withColumnRenamed("post_id", "a"), df, 400.0)
+    from math import asin, cos, radians, sin, sqrt
+
+    def d(x, y):
+        a = sin(radians(y[1] - x[1]) / 2) ** 2 + cos(radians(x[1])) * cos(radians(y[1])) * sin(radians(y[2] - x[2]) / 2) ** 2
+        return 2 * 6371008.8 * asin(sqrt(min(1, a)))
+
+    want = sum(d(x, y) <= 400 for x in pts for y in pts)
+    assert pairs.count() == want > 250 and pairs.select("a", "post_id").distinct().count() == want
+
+
+def test_repeated_and_skipped_hours(spark):
+    days = spark.createDataFrame([("2025-11-02", 1), ("2025-11-02", 2), ("2026-03-08", 2), ("2026-03-08", 3)], "d string, h int").withColumn("d", F.to_date("d"))
+    got = [r.s for r in days.select(slots.slots_of_local(F.col("d"), F.col("h")).alias("s")).collect()]
+    utc = lambda *t: int(dt.datetime(*t, tzinfo=dt.UTC).timestamp()) // 3600
+    assert got == [[utc(2025, 11, 2, 8), utc(2025, 11, 2, 9)], [utc(2025, 11, 2, 10)], [], [utc(2026, 3, 8, 10)]]
+
+
 def test_v0_by_hand(spark):
     # Hour 9 of three days, 36 of 60 minutes each: a day's share of the hour is free by 0.4.
     s = sessions(spark, [(1, 24 * k + 9, 36) for k in range(3)])
@@ -161,6 +185,82 @@ def test_metrics_by_hand(spark):
     assert spark.range(1).select(metrics.prior_corrected(F.lit(0.5), 0.2, 0.01)).first()[0] == pytest.approx(0.0388, abs=1e-3)
 
 
+def test_regimes_part_the_data(spark):
+    frame = [(0.10, 0.30), (0.40, 0.55), (0.60, 0.62), (0.80, 0.82), (0.95, 0.94), (0.50, 0.90)]
+    rows = spark.createDataFrame([(t, lag, t, h) for h, (t, lag) in zip((6, 7, 18, 19, 20, 21), frame, strict=True)], "target double, lag1 double, predicted double, local_hour int")
+    got = {r.regime: r for r in metrics.regime_metrics(rows).collect()}
+    assert sum(got[b].n for b in ("0_30", "30_50", "50_70", "70_90", "90_100")) == got["overall"].n == 6 and got["0_30"].n == 1 and got["50_70"].n == 2
+    assert got["transition"].n == 3 and got["overall"].mae == got["overall"].rmse == 0.0
+    assert got["daytime"].n == 2 and got["peak_evening"].n == 3
+
+
+def test_transitions_by_hand(spark):
+    frame = [(0.90, 0.90, 0.91), (0.82, 0.90, 0.80), (0.65, 0.80, 0.60), (0.40, 0.70, 0.45), (0.10, 0.40, 0.05)]
+    rows = spark.createDataFrame(frame, "target double, lag1 double, predicted double")
+    m = metrics.transition_metrics(rows, 0.1).first()
+    assert m.n == 3 and m.direction_accuracy == 1.0 and m.mae == pytest.approx(0.05)
+    # Persistence foretells no rise: right where the value fell, wrong where it rose.
+    still = spark.createDataFrame([(0.9, 0.5, 0.5), (0.1, 0.5, 0.5)], "target double, lag1 double, predicted double")
+    assert metrics.transition_metrics(still, 0.1).first().direction_accuracy == 0.5
+    moves = rows.select(F.abs(F.col("target") - F.col("lag1")).alias("magnitude"))
+    d = metrics.target_diagnostics(moves).first()
+    assert d.n == 5 and d.over_10 == 0.6 and d.unchanged == 0.2 and d.q50 == pytest.approx(0.15)
+    gate = metrics.promotion(rows.withColumn("base", F.col("lag1")), "base", "predicted").first()
+    assert gate.overall and gate.transitions and gate.direction and not gate.enough_transitions and not gate.promoted
+
+
+def test_quantiles_are_interpolated(spark):
+    rng = random.Random(3)
+    values = [rng.choice((0.0, 0.25, rng.random())) for _ in range(501)]
+    got = metrics.exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", (0.5, 0.9, 0.95)).first()
+    order = sorted(values)
+    for q in (0.5, 0.9, 0.95):
+        k = q * 500
+        assert got[f"q{int(q * 100)}"] == pytest.approx(order[int(k)] + (k - int(k)) * (order[min(500, int(k) + 1)] - order[int(k)]))
+
+
+def test_features_are_finite_at_the_door(spark):
+    rows = spark.createDataFrame([(float("nan"), 1.0), (float("inf"), None), (2.0, -float("inf"))], "a double, b double")
+    assert [tuple(r) for r in features.finite(rows, ["a", "b"]).collect()] == [(0.0, 1.0), (0.0, 0.0), (2.0, 0.0)]
+
+
+def test_dense_state_ends_where_asked(spark):
+    s = sessions(spark, [(1, 9, 30), (1, 30, 30), (2, 20, 600)])
+    first = {(r.post_id, r.hour - BASE) for r in state.dense_state(s, BASE + 60).collect()}
+    span = {(r.post_id, r.hour - BASE) for r in state.dense_state(s, BASE + 60, bound="span").collect()}
+    assert first == {(1, h) for h in range(60)} | {(2, h) for h in range(60)} and span == {(1, h) for h in range(48)} | {(2, h) for h in range(48)}
+    assert {(r.post_id, r.hour - BASE) for r in state.dense_state(s, BASE + 25).collect()} == {(1, h) for h in range(25)} | {(2, h) for h in range(25)}
+
+
+def test_sources_are_declared(spark):
+    reader = lambda spark, d, options: (spark.range(options["n"]), spark.range(0))
+    found = ingest.load_sources('{"a": {"reader": "r", "keys": ["id"], "freshness_hours": 2, "options": {"n": 3}}}', {"r": reader})
+    good, bad = found["a"]["reader"](spark, "", found["a"]["options"])
+    assert good.count() == 3 and bad.count() == 0
+    with pytest.raises(ValueError, match="reader, keys, freshness_hours"):
+        ingest.load_sources('{"a": {"reader": "x"}}', {"r": reader})
+
+
+def test_reports_repeat_byte_for_byte(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", None), (1, "a", 0.5)], "z int, a string, m double")
+    texts = []
+    for name in ("one", "two"):
+        tables.write_report(rows.repartition(3), str(tmp_path / name))
+        texts.append([r.value for r in spark.read.text(str(tmp_path / name)).collect()])
+    assert texts[0] == texts[1] == ['{"a":"a","m":0.5,"z":1}', '{"a":"b","m":null,"z":2}']
+
+
+def test_own_baselines_run_in_the_backtest(spark, monkeypatch):
+    monkeypatch.setitem(baselines.MODELS, "half", lambda s, g, p, w: g.select("post_id", "hour", F.lit(0.5).alias("score"), F.lit(1).alias("evidence_days"), F.lit(1).alias("evidence_sessions")))
+    s = sessions(spark, [(1, 9, 30), (2, 9, 60)])
+    v = canonical.scd2(spark.createDataFrame([], "post_id long, valid_from long, blockface_id long, lat double, lon double"))
+    m = spark.createDataFrame([(1, "MS"), (2, "SS")], "post_id long, meter_type string")
+    got = {r.post_id: (r.error, r.location_source) for r in run_backtest(s, v, m, BASE + 9, BASE + 10, model="half").collect()}
+    assert got == {1: (0.0, "unresolved"), 2: (0.5, "unresolved")}
+    assert scoped(s, max_meters=1).select("post_id").distinct().collect()[0][0] == 1
+    assert known_until(s, BASE + 5, 2) == BASE + 5 and known_until(s, BASE + 50, 2) == BASE + 8
+
+
 def test_breakdowns_hide_small_groups(spark):
     rows = spark.createDataFrame([("a", 1, 0.5, 1.0, 1), ("a", 2, 0.5, 0.0, 0), (None, 2, 1.0, 1.0, 1)], "kind string, n2 int, score double, free_fraction double, free int")
     got = {(r.dimension, r.value): r for r in metrics.breakdowns(rows, ["kind", "n2"], metrics.observation_metrics(), 2).collect()}
@@ -196,7 +296,6 @@ def test_models_learn_something(spark):
     assert all(a.calibrated <= b.calibrated for a, b in zip(fit, fit[1:], strict=False))
     with pytest.raises(ValueError):
         models.isotonic(ev.limit(10))
-    assert metrics.promotion({"mae": 0.1, "n_transitions": 200, "transition_mae": 0.1, "direction": 0.6}, {"mae": 0.2, "transition_mae": 0.2})["promoted"]
 
 
 def test_samples_repeat(spark):
