@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    In local mode, where all is one machine, a folder beside the warehouse stands in; elsewhere an unset one is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-        if not path:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hourgrid-checkpoint-"))
-            path = spark.sparkContext.getCheckpointDir()
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
     return path.rstrip("/")
 
 
@@ -61,12 +62,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+#: Parts that a node's edges are dealt over before they meet: a node of very many edges is no single task's.
+HUB_PARTS = 32
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (``a`` long, ``b`` long), by alternating large-star and small-star rounds.
 
     Returns ``node, component`` for every node that has an edge to another one; component is the smallest node reachable.
-    Every round is two groupings and two joins; only a row count and a sum come back to the driver. Nulls and
-    self-loops are ignored; repeated edges are allowed; an empty list gives an empty result.
+    A star hangs every neighbour of a node under the smallest of its neighbourhood, which is found by a sum over parts of
+    the node's edges and handed back to the parts, so that a hub of any size is split. A count of rows and of changed
+    rows come back to the driver: a round that changes no edge is the last. Nulls and self-loops are ignored; repeated
+    edges are allowed; an empty list gives an empty result.
     """
     spark = edges.sparkSession
 
@@ -74,30 +81,28 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         ends = pairs.select("a", "b")
         if large:  # every neighbour that is larger than the node is hung under the smallest of the neighbourhood
             ends = ends.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
-        out = ends.join(low, ends.a == low.node).select("a", "b", "low")
+        ends = ends.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int"))
+        parts = ends.groupBy("a", "part").agg(F.min("b").alias("low"))
+        low = parts.groupBy("a").agg(F.least("a", F.min("low")).alias("low"), F.collect_set("part").alias("parts")).select(F.col("a").alias("node"), "low", F.explode("parts").alias("of"))
+        out = ends.join(low, (F.col("a") == F.col("node")) & (F.col("part") == F.col("of"))).select("a", "b", "low")
         if large:
             out = out.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         else:  # edges point from the larger end to the smaller one here
             out = out.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
         return out.where("a <> b").distinct()
 
-    def mark(frame: DataFrame) -> tuple:
-        return tuple(frame.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-
     path = new_folder(spark, "edges")
     now = landed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), path)
-    before = mark(now)
     for _ in range(max_rounds):
-        if not before[0]:
-            break
         new_path = new_folder(spark, "edges")
-        now = landed(star(star(now, True), False), new_path)
+        after = landed(star(star(now, True), False), new_path)
+        # Equal edges meet here; those of one side alone are the change.
+        changed = after.select("a", "b", F.lit(1).alias("w")).unionByName(now.select("a", "b", F.lit(-1).alias("w"))).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w <> 0")
+        settled = changed.isEmpty()
         remove(spark, path)
-        path, after = new_path, mark(now)
-        if after == before:
+        path, now = new_path, after
+        if settled:
             break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
