@@ -8,7 +8,7 @@ reversibly, so the formatted string alone gives back every turn. DataFrame funct
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm.common import read_table
@@ -56,11 +56,12 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """One row per conversation from one row per message.
 
     ``parts_col`` holds ``array<struct<type, text, ref, units>>``. Returns the conversation id, ``formatted``,
-    ``loss_spans`` (code point start and length in ``formatted``, the body of every message of ``loss_roles``),
+    ``loss_spans`` (code point start and length in ``formatted`` of the body of every message of ``loss_roles``, and the
+    message's number and the body's offset in it, by which a reader finds it without counting from the start),
     ``attachments`` (turn index, part index, type, ref, tokens; in order) and ``attachment_tokens``.
 
     Null parts and null texts are empty, a null role is the empty role, unknown part types become
-    ``<|unknown|>`` with no tokens. Messages go by turn, ties by role and then body, repeated rows stay; rows
+    ``<|unknown|>`` with no tokens. Messages go by turn, ties by role, text and then body, repeated rows stay; rows
     of a null conversation id form one conversation. Other columns are ignored; an empty table gives no rows.
     """
     parts = F.coalesce(F.col(parts_col).cast(PARTS), F.array().cast(PARTS))
@@ -68,45 +69,42 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     attached = F.filter(
         F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda p: ~p["type"].eqNullSafe("text")
     )
-    turns = messages.select(
-        F.col(conv_col).alias("conv"),
-        F.struct(
-            F.col(turn_col).alias("turn"), role.alias("role"), F.array_join(F.transform(parts, _visit), "").alias("body"),
-            attached.alias("attached"), role.isin(*loss_roles).alias("loss"),
-        ).alias("t"),
-    )
-    held = turns.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    heads = F.transform("ts", lambda t: F.concat(F.lit(TURN_START), escape_role(t["role"]), F.lit("\n")))
-    held = held.select("conv", "ts", heads.alias("heads"))
-    sizes = F.transform(F.arrays_zip("ts", "heads"), lambda z: F.length(z["heads"]) + F.length(z["ts"]["body"]) + F.lit(len(TURN_END)))
-    held = held.select("*", F.array_join(F.transform(F.arrays_zip("ts", "heads"), lambda z: F.concat(z["heads"], z["ts"]["body"], F.lit(TURN_END))), "").alias("formatted"), sizes.alias("sizes"))
-    # Running starts: one pass that keeps the position and the spans so far.
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    walk = F.aggregate(
-        F.arrays_zip("ts", "heads", "sizes"),
-        state,
-        lambda s, z: F.struct(
-            (s["at"] + z["sizes"]).alias("at"),
-            F.when(z["ts"]["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(z["heads"])).alias("start"), F.length(z["ts"]["body"]).cast("bigint").alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    head = F.concat(F.lit(TURN_START), escape_role(F.col("role")), F.lit("\n"))
+    plain = F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise("")), "")
+    turns = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), plain.alias("plain"), F.array_join(F.transform(parts, _visit), "").alias("body"), attached.alias("attached"), role.isin(*loss_roles).alias("loss"))
+    turns = turns.select("*", head.alias("head")).select("*", F.length("head").alias("offset"), (F.length("head") + F.length("body") + len(TURN_END)).cast("bigint").alias("size"))
+    # A message's place is a running sum over its conversation: linear in the messages.
+    order = Window.partitionBy("conv").orderBy("turn", "role", "plain", "body")
+    start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = turns.select("conv", (F.row_number().over(order) - 1).alias("k"), start.alias("at"), F.concat("head", "body", F.lit(TURN_END)).alias("piece"), "offset", F.length("body").cast("bigint").alias("length"), "loss", "attached")
+    span = F.when(F.col("loss"), F.struct((F.col("at") + F.col("offset")).alias("start"), "length", F.col("k").alias("message"), "offset"))
+    held = placed.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("k", "piece", span.alias("span"), "attached"))).alias("ts"))
+    held = held.select("conv", "ts", F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"))
+    walk = F.filter(F.transform("ts", lambda t: t["span"]), lambda x: x.isNotNull())
     attachments = F.flatten(F.transform("ts", lambda t, i: F.transform(t["attached"], lambda a: F.struct(i.alias("turn_index"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     out = held.select(F.col("conv").alias(conv_col), "formatted", walk.alias("loss_spans"), attachments.alias("attachments"))
     return out.select("*", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]).alias("attachment_tokens"))
 
 
+def _messages(formatted: Column) -> Column:
+    # Inside roles and texts ``<|`` is escaped, so the end mark splits messages alone.
+    return F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda t: t != "")
+
+
 def parse_chats(formatted: Column) -> Column:
     """``array<struct<role, text>>`` read back from a formatted string; placeholders stay in the text."""
-    # Inside roles and texts ``<|`` is escaped, so the end mark splits turns alone.
-    raw = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda t: t != "")
-    bare = F.transform(raw, lambda t: F.substring(t, len(TURN_START) + 1, 2**31 - 1))
+    bare = F.transform(_messages(formatted), lambda t: F.substring(t, len(TURN_START) + 1, 2**31 - 1))
     return F.transform(bare, lambda t: F.struct(unescape_role(F.substring_index(t, "\n", 1)).alias("role"), unescape(F.substring(t, F.locate("\n", t) + 1, F.length(t))).alias("text")))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped span by span, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped span by span, nothing between; each span is cut from its own message."""
+
+    def joined(messages: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(messages, s["message"]), (s["offset"] + 1).cast("int"), s["length"].cast("int")))), "")
+
+    # transform(array(x), ..) binds the split once for the lambda inside.
+    return F.get(F.transform(F.array(_messages(formatted)), joined), F.lit(0))
 
 
 #: A conversation whose texts are the template's own control strings.
@@ -131,7 +129,7 @@ WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e AS (SELECT *, '<|im_start|>' || role || chr(10) || replace(replace(text, '&', '&amp;'), '<|', '&lt;|') || '<|im_end|>' || chr(10) AS turn_text FROM m),
+e AS (SELECT *, '<|im_start|>' || replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;') || chr(10) || replace(replace(text, '&', '&amp;'), '<|', '&lt;|') || '<|im_end|>' || chr(10) AS turn_text FROM m),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,

@@ -59,37 +59,40 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES,
                   coverage: float = 0.7, band: int = 3, stretch: float = 1.5) -> DataFrame:
-    """One row per document id: ``n_words``, ``spans`` (label, first and last word, share, exact), in order.
+    """One row per row of ``docs``: its id, ``n_words``, ``spans`` (label, first and last word, share, exact), in order.
 
     A notice span counts if it holds ``coverage`` of the template's positions within ``stretch`` times its words;
-    diagonals up to ``band`` apart are one span. Null texts are empty; a null id is an id; rows that repeat an id are
-    read as one document's, their words and spans added up. Other columns are ignored; an empty table gives no rows.
+    diagonals up to ``band`` apart are one span. Null texts are empty; a null id is an id. A row is known by its id and
+    text: rows that share only the id are apart, rows that repeat both are scanned as one and each given the result.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     table = F.broadcast(_templates(spark, phrases, notices).select("*", F.xxhash64("t0", "t1").alias("gram")))
     # explode(array(..)) keeps the words from being split again for every use.
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(words(F.col(text_col)))).alias("ws"))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("th"), F.explode(F.array(words(F.col(text_col)))).alias("ws"))
     # Position -1 stands for the document itself, so that one pass gives the matches and the word counts.
-    places = rows.select("id", "ws", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("ws") - GRAM, F.lit(-1)))).alias("pos"))
-    places = places.select("id", "ws", "pos", F.when(F.col("pos") >= 0, F.xxhash64(F.get("ws", F.col("pos")), F.get("ws", F.col("pos") + 1))).alias("at"))
+    places = rows.select("id", "th", "ws", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("ws") - GRAM, F.lit(-1)))).alias("pos"))
+    places = places.select("id", "th", "ws", "pos", F.when(F.col("pos") >= 0, F.xxhash64(F.get("ws", F.col("pos")), F.get("ws", F.col("pos") + 1))).alias("at"))
     found = places.join(table, F.col("at") == F.col("gram"), "left").where("pos = -1 or (template is not null and get(ws, pos) = t0 and get(ws, pos + 1) = t1)")
-    found = found.select("id", "template", "label", "exact", "m", "tpos", "pos", F.when(F.col("pos") == -1, F.size("ws").cast("long")).alias("n_words"))
+    found = found.select("id", "th", "template", "label", "exact", "m", "tpos", "pos", F.when(F.col("pos") == -1, F.size("ws").cast("long")).alias("n_words"))
 
-    votes = found.groupBy("id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.sum("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("m").alias("m"),
+    votes = found.groupBy("id", "th", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+        F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("m").alias("m"),
         F.collect_set("tpos").alias("held"), F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"),
     )
-    order = Window.partitionBy("id", "template").orderBy("diagonal")
+    order = Window.partitionBy("id", "th", "template").orderBy("diagonal")
     step = F.when(F.col("template").isNull() | F.col("exact") | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(band + 1)) > band), 1).otherwise(0)
     spans = votes.select("*", step.alias("step")).select("*", F.sum("step").over(order).alias("cluster"))
-    merged = spans.groupBy("id", "template", "cluster").agg(
-        F.sum("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("m").alias("m"),
+    merged = spans.groupBy("id", "th", "template", "cluster").agg(
+        F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("m").alias("m"),
         F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"), F.min("first").alias("first"), F.max("last").alias("last"),
     )
     share = F.col("held") / (F.col("m") - (GRAM - 1))
     verified = F.when(F.col("exact"), share == 1).otherwise((share >= coverage) & (F.col("last") - F.col("first") + 1 <= F.col("m") * stretch))
     span = F.struct("first", "last", "label", "exact", share.alias("share"))
-    return merged.groupBy(F.col("id").alias(id_col)).agg(F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.when(verified, span))).alias("spans"))
+    each = merged.groupBy("id", "th").agg(F.max("n_words").alias("n_words"), F.max("copies").cast("int").alias("copies"), F.sort_array(F.collect_list(F.when(verified, span))).alias("spans"))
+    return each.select(F.col("id").alias(id_col), "n_words", "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages. A passage becomes a vector of character-class shares, repetition and hashed word
-shapes; an encoder layer, gated attention weights over the bag and a score of the weighted passage representation
+A document is a bag of passages. A passage becomes a vector of character-class shares, repetition, hashed word shapes,
+hashed words and hashed beginnings of words; an encoder layer, gated attention weights over the bag and a score of the weighted passage representation
 are learned together from document labels, by numpy on a bounded sample. Scoring reads every passage of every text.
 The features come from the text alone.
 """
@@ -10,68 +10,107 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm.common import bounded_batches, read_table
+from hourgrid.llm.suffix_dedup import mixed, power_tables, prefix_hashes
 
 PASSAGE_WORDS = 64
-SHAPES = 32
-#: The most labelled documents that are fitted on, and the most passages, evenly spread, of one of them.
+SHAPES, WORDS, STEMS, STEM_BYTES = 32, 64, 32, 4
+#: What is fitted on at most: so many labelled documents, whole, and of those in the order of their hashes so many bytes of text.
 MAX_TRAINING_DOCS = 4000
-MAX_TRAINING_PASSAGES = 32
+MAX_TRAINING_BYTES = 64 << 20
 THRESHOLD = 0.7
+#: A longer text is encoded in parts of so many bytes, which end with a passage.
+PART = 1 << 20
 
 #: Character classes by byte: 0 lower, 1 upper, 2 digit, 3 space, 4 line end, 5 plain punctuation, 6 emphasis, 7 symbol, 8 control, 9 beyond ASCII.
 _CLASS = np.full(256, 9, dtype=np.uint8)
 _CLASS[:128] = 8
 for _chars, _k in ((range(97, 123), 0), (range(65, 91), 1), (range(48, 58), 2), (b" \t", 3), (b"\n\r\x0b\x0c", 4), (b".,;:'\"()-", 5), (b"!?", 6), (b"#*$%&|<>@[]{}=+/\\^_`~", 7)):
     _CLASS[list(_chars)] = _k
-_SHAPE = bytes(b"aAd  p!s~u"[k] for k in _CLASS)
-WIDTH = 10 + 8 + SHAPES
-_shape_slots: dict[bytes, int] = {}
-
-
-def _slot(shape: bytes) -> int:
-    return _shape_slots.setdefault(shape, crc32(shape) % SHAPES)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+WIDTH = 10 + 8 + SHAPES + WORDS + STEMS
+
+
+def _shares(passage: np.ndarray, bucket: np.ndarray, n: int, buckets: int, size: np.ndarray) -> np.ndarray:
+    return np.bincount(passage * buckets + bucket, minlength=n * buckets).reshape(n, buckets) / size[:, None]
+
+
+def _distinct(passage: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Distinct values of each passage."""
+    order = np.lexsort((value, passage))
+    p, v = passage[order], value[order]
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (p[1:] != p[:-1]) | (v[1:] != v[:-1])
+    return np.bincount(p[new], minlength=n)
+
+
+def _encode_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The features of the passages of words data[starts[i]:ends[i]], those of the whole text left at zero."""
+    count = len(starts)
+    n = -(-count // PASSAGE_WORDS)
+    passage = np.arange(count) // PASSAGE_WORDS
+    size = np.bincount(passage, minlength=n)
+    sizes = (ends - starts).astype(np.float64)
+    total = np.bincount(passage, sizes, minlength=n)
+    out = np.zeros((n, WIDTH), dtype=np.float32)
+    kind = _CLASS[data]
+    # Words are joined by one space each.
+    inside = np.repeat(passage, (ends - starts)) * 10 + kind[~_SPACE[data]]
+    classes = np.bincount(inside, minlength=n * 10).reshape(n, 10).astype(np.float64)
+    classes[:, 3] += size - 1
+    out[:, :10] = classes / (total + size - 1)[:, None]
+    mean = total / size
+    out[:, 10] = np.log1p(mean)
+    out[:, 11] = np.log1p(np.sqrt(np.maximum(0, np.bincount(passage, sizes * sizes, minlength=n) / size - mean * mean)))
+    prefix, down = prefix_hashes(data), power_tables(len(data) + 1)[1]
+    words = mixed((prefix[ends] - prefix[starts]) * down[starts])
+    out[:, 12] = _distinct(passage, words, n) / size
+    same = passage[1:] == passage[:-1]
+    out[:, 13] = np.bincount(passage[1:], same & (words[1:] == words[:-1]), minlength=n) / size
+    pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    out[:, 14] = _distinct(passage[1:][same], pairs[same], n) / np.maximum(1, size - 1)
+    out[:, 15] = np.log1p(size) / 5
+    shape = kind[starts].astype(np.uint64) * np.uint64(100) + kind[np.maximum(starts, ends - 2)] * np.uint64(10) + kind[ends - 1]
+    folded = prefix_hashes(_FOLD[data])
+    low = mixed((folded[ends] - folded[starts]) * down[starts])
+    stops = np.minimum(ends, starts + STEM_BYTES)
+    stem = mixed((folded[stops] - folded[starts]) * down[starts])
+    at = 18
+    for value, buckets in ((mixed(shape), SHAPES), (low, WORDS), (stem, STEMS)):
+        out[:, at : at + buckets] = _shares(passage, (value % np.uint64(buckets)).astype(np.int64), n, buckets, size)
+        at += buckets
+    return out
 
 
-def passages(text: str | None, at_most: int | None = None) -> np.ndarray:
+def passages(text: str | None) -> np.ndarray:
     """One row of features per passage of ``PASSAGE_WORDS`` words; a text without words is one passage of zeros."""
     raw = (text or "").encode("utf-8", "replace")
-    words = raw.split()
-    if not words:
+    data = np.frombuffer(raw, dtype=np.uint8)
+    word = ~_SPACE[data]
+    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
         return np.zeros((1, WIDTH), dtype=np.float32)
-    lines = raw.count(b"\n")
-    starts = range(0, len(words), PASSAGE_WORDS)
-    if at_most and len(starts) > at_most:
-        starts = [starts[k * len(starts) // at_most] for k in range(at_most)]
+    parts, i = [], 0
+    while i < len(starts):
+        j = max(i + PASSAGE_WORDS, int(np.searchsorted(ends, starts[i] + PART)) // PASSAGE_WORDS * PASSAGE_WORDS)
+        first, last = starts[i], ends[min(j, len(ends)) - 1]
+        parts.append(_encode_words(data[first:last], starts[i:j] - first, ends[i:j] - first))
+        i = j
+    out = np.concatenate(parts) if len(parts) > 1 else parts[0]
     seen_lines = [s for s in raw.split(b"\n") if s.strip()]
-    line_share = 1 - len(set(seen_lines)) / len(seen_lines)
-    out = np.zeros((len(starts), WIDTH), dtype=np.float32)
-    for row, start in zip(out, starts, strict=True):
-        ws = words[start : start + PASSAGE_WORDS]
-        n = len(ws)
-        joined = b" ".join(ws)
-        row[:10] = np.bincount(_CLASS[np.frombuffer(joined, dtype=np.uint8)], minlength=10) / len(joined)
-        sizes = np.fromiter(map(len, ws), dtype=np.float32, count=n)
-        row[10] = np.log1p(sizes.mean())
-        row[11] = np.log1p(sizes.std())
-        row[12] = len(set(ws)) / n
-        row[13] = sum(map(bytes.__eq__, ws, ws[1:])) / n
-        row[14] = len(set(zip(ws, ws[1:], strict=False))) / max(1, n - 1)
-        row[15] = np.log1p(n) / 5
-        row[16] = line_share
-        row[17] = min(1.0, lines / len(words))
-        shaped = joined.translate(_SHAPE).split()
-        hit = np.bincount([_slot(w[:1] + w[-2:]) for w in shaped], minlength=SHAPES)
-        row[18:] = hit / n
+    out[:, 16] = 1 - len(set(seen_lines)) / len(seen_lines)
+    out[:, 17] = min(1.0, raw.count(b"\n") / len(starts))
     return out
 
 
@@ -104,6 +143,26 @@ class AttentionMil:
         return self.forward(np.concatenate(bags), starts)["p"].astype(np.float64)
 
 
+def gradient(model: AttentionMil, bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of the bags' scores, by weight."""
+    w = model.w
+    f = model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])
+    d = (f["p"] - labels) / len(labels)
+    grad = {"c": f["z"].T @ d, "c0": np.array([d.sum()])}
+    dz = d[:, None] * w["c"]
+    pull = (f["h"] * dz[f["bags"]]).sum(1)
+    mean_pull = np.zeros(len(bags))
+    np.add.at(mean_pull, f["bags"], f["a"] * pull)
+    ds = f["a"] * (pull - mean_pull[f["bags"]])
+    grad["a"] = (f["t"] * f["g"]).T @ ds
+    back = ds[:, None] * w["a"]
+    dt, dg = back * f["g"] * (1 - f["t"] ** 2), back * f["t"] * f["g"] * (1 - f["g"])
+    grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
+    dh = (f["a"][:, None] * dz[f["bags"]] + dt @ w["v"].T + dg @ w["u"].T) * (1 - f["h"] ** 2)
+    grad["e"], grad["e0"] = f["x"].T @ dh, dh.sum(0)
+    return grad
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 60, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> AttentionMil:
     """Adam on the log loss of the documents. One class alone, or no rows, gives a constant score."""
     if len(set(labels.tolist())) < 2:
@@ -120,20 +179,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
         for part in range(0, len(order), batch):
             chosen = order[part : part + batch]
             own = [bags[i] for i in chosen]
-            f = model.forward(np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1])
-            d = (f["p"] - labels[chosen]) / len(chosen)
-            grad = {"c": f["z"].T @ d, "c0": np.array([d.sum()])}
-            dz = d[:, None] * w["c"]
-            pull = (f["h"] * dz[f["bags"]]).sum(1)
-            mean_pull = np.zeros(len(own))
-            np.add.at(mean_pull, f["bags"], f["a"] * pull)
-            ds = f["a"] * (pull - mean_pull[f["bags"]])
-            grad["a"] = (f["t"] * f["g"]).T @ ds
-            back = ds[:, None] * w["a"]
-            dt, dg = back * f["g"] * (1 - f["t"] ** 2), back * f["t"] * f["g"] * (1 - f["g"])
-            grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
-            dh = (f["a"][:, None] * dz[f["bags"]] + dt @ w["v"].T + dg @ w["u"].T) * (1 - f["h"] ** 2)
-            grad["e"], grad["e0"] = f["x"].T @ dh, dh.sum(0)
+            grad = gradient(model, own, labels[chosen])
             step += 1
             for k in w:
                 g = grad[k] + decay * w[k]
@@ -144,27 +190,34 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
 
 
 def held_out(id_col: Column) -> Column:
-    """The quarter of ids whose labels are never learned from."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
+    """The quarter of ids whose labels are never learned from; a row without an id is none of them."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], at_most: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("x", pa.list_(pa.float32())), ("y", pa.float64())])
     for batch in batches:
         for text, y in zip(batch.column("text"), batch.column("y"), strict=True):
-            yield pa.RecordBatch.from_pylist([{"x": passages(text.as_py(), at_most).ravel(), "y": y.as_py()}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"x": passages(text.as_py()).ravel(), "y": y.as_py()}], schema=schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAINING_DOCS) -> AttentionMil:
-    """Fits on at most ``max_docs`` labelled documents that are not held out: those whose ids hash lowest.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> AttentionMil:
+    """Fits on a bounded sample of the labelled documents that are not held out: at most ``max_docs`` whose ids hash lowest,
+    and of those, in that order, as many as have ``max_bytes`` of text together. Every one is fitted on whole.
 
     Only their feature rows come to the driver. Rows without a label or an id are left out; of repeated labels the
-    smaller counts.
+    smaller counts, of repeated ids the rows of one text.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
-    found = rows.mapInArrow(partial(_encode, at_most=MAX_TRAINING_PASSAGES), "x array<float>, y double").toArrow()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    # A row per chosen document: its size, and one text where an id has several.
+    sizes = texts.select("id", F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("th")).alias("s")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("s").alias("s"))
+    upto = F.sum("s.bytes").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sized = sizes.select("id", "y", "s.th", upto.alias("upto")).where(F.col("upto") <= max_bytes).select("id", "y", "th")
+    rows = texts.join(F.broadcast(sized), "id").where(F.xxhash64("text") == F.col("th")).dropDuplicates(["id"]).select("text", "y")
+    found = rows.mapInArrow(_encode, "x array<float>, y double").toArrow()
     bags = [np.array(x.values, dtype=np.float32).reshape(-1, WIDTH) for x in found.column("x")]
     y = found.column("y").to_numpy()
     # Rows arrive in any order; an order of their own makes the fit the same each time.

@@ -9,6 +9,10 @@ lengths). A stack scan walks its interval tree; where two subtrees join at a com
 tested for left extensions: neighbours in the order of the reversed left contexts with a common part of l bytes and
 l + r >= length make a repeat, and both ends get it. All members are tested, not only neighbours of the array.
 
+A key of very many stretches is split first: for each part of the reach before the anchor in which a repeat may begin,
+its members are grouped by the bytes that such a repeat must cover, and each group has a suffix array of its own. Where
+even such a group is very large, all but one part's bytes are alike in it, and its strings are counted.
+
 The marks of a stretch hold for all its occurrences. Bytes of documents are joined only to the places they are cut at.
 """
 
@@ -31,8 +35,10 @@ LENGTH = 400
 KEY = 120
 #: Bytes that are hashed at once; small, so that the arrays stay in the processor's cache.
 SLICE = 1 << 17
-#: A key with more different stretches than this is not put into one suffix array: its strings are counted one by one.
-GROUP_LIMIT = 50_000
+#: A key with more different stretches than this is split by the bytes around the anchor: a string that begins in one of
+#: ``CUTS`` parts of the reach before the anchor has all of ``length`` but that part's bytes in common with its equals.
+GROUP_LIMIT = 500
+CUTS = 8
 #: A longer text is hashed in parts of this size, which overlap.
 PART = 1 << 22
 _POS_BITS = 24
@@ -203,17 +209,17 @@ _CONTEXT = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("left", pa.binar
 _MARK = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("marks", pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))])
 
 
-def _scan_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: one suffix array per key."""
+def _scan_groups(batches: Iterator[pa.RecordBatch], length: int, by: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``by``: one suffix array per value of it."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "sh", "left", "right")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in (by, "key", "sh", "left", "right")), strict=True)
 
     out: list[dict] = []
-    for key, group in groupby(rows(), key=lambda r: r[0]):
+    for _, group in groupby(rows(), key=lambda r: r[0]):
         members = list(group)
-        for (_, sh, _, _), marks in zip(members, repeats([m[2:] for m in members], length), strict=True):
+        for (_, key, sh, _, _), marks in zip(members, repeats([m[3:] for m in members], length), strict=True):
             if marks:
                 out.append({"key": key, "sh": sh, "marks": [{"l": l, "r": r} for l, r in sorted(marks)]})  # noqa: E741
         if len(out) > 4096:
@@ -222,6 +228,24 @@ def _scan_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     yield pa.RecordBatch.from_pylist(out, schema=_MARK)
 
 
+def _split(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """Each stretch once per part in which a repeat may begin, under a hash of the key and the bytes that such a repeat covers."""
+    for batch in batches:
+        out: list[dict] = []
+        for key, sh, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "sh", "left", "right")), strict=True):
+            for k in range(CUTS):
+                before, after = length * k // CUTS, length - (length * (k + 1) // CUTS) + 1
+                if before <= len(left) and after <= len(right):
+                    covered = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + bytes([k]) + left[len(left) - before :] + right[:after], digest_size=8).digest()
+                    row = {"sub": int.from_bytes(covered, "little", signed=True)}
+                    out.append(row | {"key": key, "sh": sh, "left": left, "right": right} if with_bytes else row)
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_pylist(out, schema=_SUB if with_bytes else pa.schema([_SUB.field("sub")]))
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=_SUB if with_bytes else pa.schema([_SUB.field("sub")]))
+
+
+_SUB = pa.schema([("sub", pa.int64()), *_CONTEXT])
 _STRING = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("l", pa.int32()), ("content", pa.binary())])
 
 
@@ -235,7 +259,7 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def count_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The marks of very large groups without a group in one task: strings are counted, with sums before the exchange."""
+    """The marks of groups in which nearly all bytes are alike: strings are counted, with sums before the exchange."""
     each = landed(contexts.mapInArrow(partial(_strings, length=length), "key long, sh long, l int, content binary"))
     again = each.groupBy("key", "l", "content").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = each.join(again, ["key", "l", "content"]).select("key", "sh", F.struct("l", (F.lit(length) - F.col("l")).cast("int").alias("r")).alias("m"))
@@ -287,14 +311,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         by_doc = places.groupBy("did", "th").agg(F.collect_list(F.struct("key", "sh", "pos", "la", "lb")).alias("places"))
         return rows.join(by_doc, ["did", "th"]).select("raw", "places").mapInArrow(partial(_contexts, length=length), "key long, sh long, left binary, right binary")
 
-    contexts = contexts_of(several.where(f"kinds between 2 and {GROUP_LIMIT}"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_contexts = contexts.dropDuplicates(["key", "sh"]).repartition(tasks, "key").sortWithinPartitions("key", "sh")
-    partly = sorted_contexts.mapInArrow(partial(_scan_groups, length=length), "key long, sh long, marks array<struct<l:int,r:int>>")
-    every = whole.unionByName(partly)
+
+    def scanned(contexts: DataFrame, by: str) -> DataFrame:
+        placed = contexts.repartition(tasks, by).sortWithinPartitions(by, "key", "sh")
+        return placed.mapInArrow(partial(_scan_groups, length=length, by=by), "key long, sh long, marks array<struct<l:int,r:int>>")
+
+    every = whole.unionByName(scanned(contexts_of(several.where(f"kinds between 2 and {GROUP_LIMIT}")).dropDuplicates(["key", "sh"]), "key"))
     large = several.where(f"kinds > {GROUP_LIMIT}")
     if not large.isEmpty():
-        every = every.unionByName(count_strings(contexts_of(large), length))
+        contexts = landed(contexts_of(large).dropDuplicates(["key", "sh"]))
+        sizes = contexts.mapInArrow(partial(_split, length=length, with_bytes=False), "sub long").groupBy("sub").agg(F.count("*").alias("n")).where("n > 1")
+        parts = landed(contexts.mapInArrow(partial(_split, length=length, with_bytes=True), "sub long, key long, sh long, left binary, right binary").join(sizes, "sub"))
+        every = every.unionByName(scanned(parts.where(f"n <= {GROUP_LIMIT}").drop("n"), "sub"))
+        every = every.unionByName(count_strings(parts.where(f"n > {GROUP_LIMIT}").select("key", "sh", "left", "right").dropDuplicates(["key", "sh"]), length))
     marks = landed(every)
 
     placed = found.join(marks, ["key", "sh"]).select("did", "th", "pos", F.explode("marks").alias("m")).select("did", "th", F.struct((F.col("pos") - F.col("m.l")).alias("a"), (F.col("pos") + F.col("m.r")).alias("b")).alias("s"))

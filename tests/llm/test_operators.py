@@ -101,6 +101,57 @@ def test_attention_gradient():
     assert ((p > 0.5) == y).mean() > 0.95
 
 
+def test_forward_pass_and_gradient_against_loops():
+    rng = np.random.default_rng(1)
+    width = quality_classifier.WIDTH
+    bags = [rng.normal(0, 1, (k, width)) for k in (1, 4, 2)]
+    y = np.array([1.0, 0.0, 1.0])
+    w = {"e": rng.normal(0, 0.2, (width, 3)), "e0": rng.normal(0, 0.2, 3), "v": rng.normal(0, 0.5, (3, 2)), "u": rng.normal(0, 0.5, (3, 2)), "a": rng.normal(0, 1, 2), "c": rng.normal(0, 1, 3), "c0": np.array([0.1])}
+    model = quality_classifier.AttentionMil(np.full(width, 0.1), np.full(width, 1.5), w)
+    for bag, p in zip(bags, model.score(bags), strict=True):
+        h = [np.tanh(((x - 0.1) / 1.5) @ w["e"] + w["e0"]) for x in bag]
+        weight = [float(np.exp(sum(w["a"][k] * np.tanh(r @ w["v"][:, k]) / (1 + np.exp(-(r @ w["u"][:, k]))) for k in range(2)))) for r in h]
+        z = sum(q * r for q, r in zip(weight, h, strict=True)) / sum(weight)
+        assert p == pytest.approx(1 / (1 + np.exp(-(z @ w["c"] + w["c0"][0]))))
+    # Finite differences of the mean log loss.
+    grad = quality_classifier.gradient(model, bags, y)
+    loss = lambda: -np.mean(y * np.log(model.score(bags)) + (1 - y) * np.log(1 - model.score(bags)))
+    for name, value in w.items():
+        for at in list(np.ndindex(value.shape))[:: max(1, value.size // 6)]:
+            kept, step = value[at], 1e-5
+            value[at] = kept + step
+            up = loss()
+            value[at] = kept - step
+            down = loss()
+            value[at] = kept
+            assert grad[name][at] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+
+
+def test_passage_features_against_loops():
+    rng = random.Random(2)
+    bits = ["a", "The", "É日", "x1", "!!", "#", "word", " ", " ", "\n", "\t"]
+    for _ in range(40):
+        text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 400)))
+        ws, got = text.encode().split(), quality_classifier.passages(text)
+        assert len(got) == max(1, -(-len(ws) // 64))
+        for k, row in enumerate(got if ws else []):
+            own = ws[64 * k : 64 * k + 64]
+            sizes, joined = [len(x) for x in own], b" ".join(own)
+            assert row[0] == pytest.approx(sum(97 <= c <= 122 for c in joined) / len(joined), abs=1e-5) and row[3] == pytest.approx((len(own) - 1) / len(joined), abs=1e-5)
+            assert row[10] == pytest.approx(np.log1p(np.mean(sizes)), abs=1e-5) and row[11] == pytest.approx(np.log1p(np.std(sizes)), abs=1e-3)
+            assert row[12] == pytest.approx(len(set(own)) / len(own), abs=1e-5) and row[13] == pytest.approx(sum(a == b for a, b in itertools.pairwise(own)) / len(own), abs=1e-5)
+            assert row[14] == pytest.approx(len(set(itertools.pairwise(own))) / max(1, len(own) - 1), abs=1e-5)
+            for at, n in ((18, 32), (50, 64), (114, 32)):
+                assert row[at : at + n].sum() == pytest.approx(1, abs=1e-4)
+    long = " ".join(f"w{k % 977}" for k in range(3000))
+    whole = quality_classifier.passages(long)
+    quality_classifier.PART, kept = 1000, quality_classifier.PART
+    try:
+        assert np.allclose(quality_classifier.passages(long), whole)
+    finally:
+        quality_classifier.PART = kept
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +292,28 @@ def test_chat_escapes_are_reversible(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_ties_and_odd_roles_equal_the_sql(spark):
+    rows = [(1, 0, "user", "b<|"), (1, 0, "user", "b<"), (1, 0, "user", "b&"), (1, 0, "assistant", None), (1, None, "<|x&\ny", "t"), (2, 3, None, "&lt;|"), (2, 3, "assistant", "z"), (2, 3, "assistant", "z")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, k int, piece string").withColumn("parts", chat.text_parts(F.col("text")))
+    out = chat.format_chats(df).select("conv_id", "formatted", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "loss_spans")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = {r[0]: r for r in c.execute(chat.OP4_SQL.replace("ORDER BY turn", "ORDER BY turn NULLS FIRST")).fetchall()}
+    for r in out.collect():
+        turns = "".join(f"{role or ''}\n{text or ''}\n" for _, _, role, text in sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")))
+        assert want[r.conv_id][2] == hashlib.sha256(turns.encode()).hexdigest()
+        assert (len(r.loss), hashlib.sha256(r.loss.encode()).hexdigest(), len(r.formatted)) == want[r.conv_id][3:]
+        assert all(r.formatted[s.start :].startswith(chat.TURN_END) or r.formatted[s.start : s.start + s.length] for s in r.loss_spans)
+
+
+def test_long_conversations_are_linear(spark):
+    turns = spark.range(40_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.text_parts(F.concat(F.lit("é & <| "), F.col("id").cast("string"))).alias("parts"))
+    r = chat.format_chats(turns).select("formatted", "loss_spans", F.size(chat.parse_chats(F.col("formatted"))).alias("n"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.n == 40_000 and r.loss == "".join(f"é & <| {k}" for k in range(1, 40_000, 2))
+    assert all(r.formatted[s.start : s.start + s.length].endswith(f" {2 * k + 1}") for k, s in enumerate(r.loss_spans))
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -429,6 +502,26 @@ def test_scatter_ignores_outliers_and_rejects_them(spark):
     assert not any(got[i] for i, _ in bad) and sum(got[i] for i, _ in good) >= 298
 
 
+def test_scatter_against_plain_estimates(spark):
+    """The determinant is as small as that of concentration steps from many random starts, up to the bins."""
+    rng = np.random.default_rng(8)
+    d, n, h = 3, 400, 300
+    clean = rng.normal(0, 1, (n - 90, d)) @ np.array([[60, 20, 0], [0, 40, 10], [0, 0, 30]])
+    data = np.round(np.concatenate([clean, rng.normal(0, 8, (90, d)) + [300, -200, 150]])).astype(int)
+    floor = (0.01, 0.01, 0.01)
+    df = spark.createDataFrame([("p", *map(int, r)) for r in data], "pool string, a long, b long, c long")
+    got = quality_rules.robust_scatter(df, F.broadcast, ("a", "b", "c"), h / n, floor=floor).first()
+    best = np.inf
+    for _ in range(60):
+        chosen = rng.choice(n, d + 1, replace=False)
+        for _ in range(15):
+            centre, scatter = data[chosen].mean(0), np.cov(data[chosen].T, bias=True) + np.diag([(0.01 * 256) ** 2] * d)
+            chosen = np.argsort(((data - centre) @ np.linalg.inv(scatter) * (data - centre)).sum(1))[:h]
+        scatter = np.cov(data[chosen].T, bias=True) * quality_rules.consistency(h / n, d) + np.diag([(0.01 * 256) ** 2] * d)
+        best = min(best, np.linalg.slogdet(scatter)[1])
+    assert got.log_det <= best + 0.15 and abs(got.m_0) < 15 and abs(got.m_1) < 15 and got.rows == n
+
+
 def test_quality_edges(spark):
     df = docs_of(spark, EDGES).withColumn("lang", F.when(F.col("doc_id") > 3, "en")).withColumn("source", F.lit(None).cast("string"))
     got = quality_rules.judge(df).collect()
@@ -459,6 +552,52 @@ def test_notice_with_a_word_more_and_less(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def brute_notices(ws, coverage=0.7, band=3, stretch=1.5):
+    """Votes by diagonal, clusters of neighbouring diagonals, shares: by the definition, without joins."""
+    out = []
+    for text, label in licenses.NOTICES.items():
+        t = text.split()
+        places: dict = {}
+        for at, pair in enumerate(itertools.pairwise(ws)):
+            for tpos, own in enumerate(itertools.pairwise(t)):
+                if pair == own:
+                    places.setdefault(at - tpos, []).append((at, tpos))
+        clusters: list = []
+        for diagonal in sorted(places):
+            if clusters and diagonal - clusters[-1][0] <= band:
+                clusters[-1] = (diagonal, clusters[-1][1] + places[diagonal])
+            else:
+                clusters.append((diagonal, places[diagonal]))
+        for _, held in clusters:
+            first, last, share = min(p for p, _ in held), max(p for p, _ in held) + 1, len({q for _, q in held}) / (len(t) - 1)
+            if share >= coverage and last - first + 1 <= len(t) * stretch:
+                out.append((first, last, label, round(share, 9)))
+    return sorted(out)
+
+
+def test_notices_against_brute_force(spark):
+    rng = random.Random(12)
+    notices = [k.split() for k in licenses.NOTICES]
+    rows = []
+    for i in range(80):
+        ws = []
+        for _ in range(rng.randrange(1, 4)):
+            t = list(rng.choice(notices))
+            for _ in range(rng.randrange(0, 6)):
+                at = rng.randrange(len(t))
+                t = t[:at] + rng.choice(([], ["zap"], [t[at], t[at]])) + t[at + 1 :]
+            ws += [rng.choice("xyz") for _ in range(rng.randrange(4))] + t
+        rows.append((i, " ".join(ws)))
+    got = {r.doc_id: sorted((s["first"], s["last"], s["label"], round(s["share"], 9)) for s in r.spans if not s["exact"]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {i: brute_notices(t.split()) for i, t in rows} and sum(map(len, got.values())) > 60
+
+
+def test_licenses_of_repeated_ids(spark):
+    rows = [(1, "gnu general x"), (1, "x general public license"), (2, "mit license"), (2, "mit license"), (None, "cc by"), (None, "by cc"), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_words, [s["label"] for s in r.spans]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect())
+    assert got == [(0, 0, []), (0, 2, []), (0, 2, ["cc-by"]), (1, 3, []), (1, 4, []), (2, 2, ["mit"]), (2, 2, ["mit"])]
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -494,6 +633,13 @@ def test_repeats_against_brute_force(spark, monkeypatch, seed, limit):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_whole_table_at_the_query_s_length(spark, documents):
+    rows = documents + [(90_000 + k, documents[k][1][:700] + "#" + documents[k + 1][1][-900:]) for k in range(40)]
+    got = [tuple(r)[:5] for r in suffix_dedup.remove_repeats(docs_of(spark, rows), with_text=False).collect()]
+    want = [r[:5] for r in brute_removed(rows, 400)]
+    assert sorted(got) == sorted(want) and sum(r[2] for r in want) > 50_000
+
+
 def test_maximal_repeats_need_no_neighbours():
     """The best partner on one side may be far away in the array."""
     rng = random.Random(5)
