@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +48,27 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are landed inside, without a path of their own, are removed at the end: what leaves must be landed by path."""
+    held: list[str] = []
+    token = _scratch.set(held)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in held:
+            remove(spark, path)
+
+
 def landed(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
+    if path is None and (held := _scratch.get()) is not None:
+        held.append(path := new_folder(spark, "table"))
     bounded_batches(spark)
     path = path or new_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)

@@ -152,18 +152,22 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, every: bool) -> Iterator[pa
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items in blocks of about ``block_words`` words, one partition's rows in the driver at a time."""
     block, held = [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null")
     for row in rows.toLocalIterator():
-        ws = words_of(row["t"])
-        if ws:
-            if block and held + len(ws) > block_words:
-                yield block
-                block, held = [], 0
-            block.append((row["i"], ws))
-            held += len(ws)
+        every = words_of(row["t"])
+        # A longer item is cut into parts that overlap by all but one word of a window: its windows are in one of them each.
+        step = max(1, block_words - window + 1)
+        for k in range(0, max(1, len(every) - window + 1), step):
+            ws = every[k : k + max(block_words, window)]
+            if ws:
+                if block and held + len(ws) > block_words:
+                    yield block
+                    block, held = [], 0
+                block.append((row["i"], ws))
+                held += len(ws)
     yield block
 
 
@@ -172,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """``id_col, n_words, spans, items`` per row of ``docs``: maximal spans [start, end) of words under an item window.
 
     Null texts have no words; items without words or with a null id match nothing; items that repeat an id are one
-    item's windows. An item longer than a block has a block of its own. Rows that repeat stay. Other columns are
+    item's windows. An item longer than a block is cut into overlapping parts. Rows that repeat stay. Other columns are
     ignored; empty tables give no rows, or rows without spans.
     """
     bounded_batches(docs.sparkSession)
@@ -183,7 +187,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def scanned(frame: DataFrame, block: list, every: bool) -> DataFrame:
         return frame.mapInArrow(partial(_scan, shared=spark.sparkContext.broadcast(SuffixAutomaton(block, window)), every=every), schema)
 
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_words, window)
     first, second = next(blocks), next(blocks, None)
     if second is None:  # one automaton: one pass, no shuffle
         return scanned(rows.select(F.lit(0).cast("long").alias("row"), "id", "text"), first, True).select(F.col("id").alias(id_col), "n_words", "spans", "items")

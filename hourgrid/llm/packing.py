@@ -1,6 +1,6 @@
 """Order-preserving packing by dynamic programming.
 
-Documents are laid end to end in the order of their ids within a shard; the stream is cut into sequences of at most
+Documents are laid end to end within a shard, in the order in which its rows are read; the stream is cut into sequences of at most
 ``limit`` tokens. A cut at a document's end costs nothing, one at a sentence's end a little, any other more; a
 sequence costs its padding besides. ``best[j] = min over i of best[i] + padding(j - i) + truncation(j)`` over the
 window ``j - limit <= i < j``: as padding is ``limit - (j - i)``, the minimum of ``best[i] + i`` over a sliding

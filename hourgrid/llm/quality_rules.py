@@ -30,8 +30,8 @@ MIN_ROWS = 50
 #: Standard deviations that a feature has at least, in its own unit: a statistic that hardly varies rejects no small change.
 FLOOR = (0.35, 0.25, 0.35, 0.12, 0.14)
 TAIL = 1e-6
-#: Up to so many pools, of 22 numbers each, their estimates are broadcast: 20 MB at most.
-BROADCAST_POOLS = 100_000
+#: Up to so many pools, of 22 numbers for each of four starts, their estimates are broadcast: 20 MB at most.
+BROADCAST_POOLS = 25_000
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -189,7 +189,8 @@ def robust_scatter(points: DataFrame, small: Callable[[DataFrame], DataFrame], f
         """The estimate of the rows that are closest to ``estimate``, of each of its starts."""
         near = points.join(small(estimate.select("pool", "start", *columns)), "pool").select("pool", "start", *features, octave(_distance(x)).alias("bin"))
         limits = _nth(near.groupBy("pool", "start", "bin").agg(F.count("*").alias("n")), ["pool", "start"], subset, []).withColumnRenamed("bin", "limit")
-        close = near.join(small(landed(limits)), ["pool", "start"]).where("bin <= limit")
+        limits = landed(limits)
+        close = near.join(small(limits), ["pool", "start"]).where("bin <= limit")
         made = _cholesky(sums(close, ["pool", "start"]), d, consistency(subset, d), floor)
         return made.join(small(limits.select("pool", "start", "rows")), ["pool", "start"]).select("pool", "start", *columns, "rows", log_det.alias("log_det"))
 

@@ -186,6 +186,10 @@ def test_contamination_in_blocks(spark):
     key = lambda r: str((r.doc_id, r.n_words, r.spans, r.items))
     one = sorted(map(key, decontaminate.find_contamination(docs, bench).collect()))
     assert one == sorted(map(key, decontaminate.find_contamination(docs, bench, block_words=150).collect()))
+    # Items longer than a block are cut into parts that keep every window.
+    long = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(400))), (2, "w5 w6 w7")], "item_id long, text string")
+    texts = docs_of(spark, [(1, " ".join(f"w{k}" for k in range(90, 115))), (2, " ".join(f"w{k}" for k in range(380, 392))), (3, "w4 w5 w6 w7 w8"), (4, " ".join(f"w{k}" for k in range(400)))])
+    assert sorted(map(key, decontaminate.find_contamination(texts, long).collect())) == sorted(map(key, decontaminate.find_contamination(texts, long, block_words=60).collect()))
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
 
