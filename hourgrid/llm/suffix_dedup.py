@@ -37,7 +37,7 @@ KEY = 120
 SLICE = 1 << 17
 #: A key with more different stretches than this is split by the bytes around the anchor: a string that begins in one of
 #: ``CUTS`` parts of the reach before the anchor has all of ``length`` but that part's bytes in common with its equals.
-GROUP_LIMIT = 500
+GROUP_LIMIT = 2000
 CUTS = 8
 #: A longer text is hashed in parts of this size, which overlap.
 PART = 1 << 22
@@ -266,6 +266,20 @@ def count_strings(contexts: DataFrame, length: int) -> DataFrame:
     return met.groupBy("key", "sh").agg(F.collect_set("m").alias("marks"))
 
 
+def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of each stretch as few as cover the same bytes."""
+    for batch in batches:
+        merged = []
+        for marks in batch.column("marks"):
+            l, r = (marks.values.field(c).to_numpy() for c in ("l", "r"))  # noqa: E741
+            order = np.argsort(-l, kind="stable")
+            start, end = -l[order], np.maximum.accumulate(r[order])
+            first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+            last = np.append(first[1:], len(order)) - 1
+            merged.append([{"l": -a, "r": b} for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sh"), pa.array(merged, _MARK.field("marks").type)], schema=_MARK)
+
+
 _CUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -325,7 +339,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = landed(contexts.mapInArrow(partial(_split, length=length, with_bytes=True), "sub long, key long, sh long, left binary, right binary").join(sizes, "sub"))
         every = every.unionByName(scanned(parts.where(f"n <= {GROUP_LIMIT}").drop("n"), "sub"))
         every = every.unionByName(count_strings(parts.where(f"n > {GROUP_LIMIT}").select("key", "sh", "left", "right").dropDuplicates(["key", "sh"]), length))
-    marks = landed(every)
+    # What the scans found of one stretch meets here, so that a place gets few spans however many repeats it is in.
+    together = every.where("size(marks) > 0").groupBy("key", "sh").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    marks = landed(together.mapInArrow(_merge_marks, "key long, sh long, marks array<struct<l:int,r:int>>"))
 
     placed = found.join(marks, ["key", "sh"]).select("did", "th", "pos", F.explode("marks").alias("m")).select("did", "th", F.struct((F.col("pos") - F.col("m.l")).alias("a"), (F.col("pos") + F.col("m.r")).alias("b")).alias("s"))
     spans = placed.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))
