@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.encode(F.lit(""), "UTF-8")).alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"))
     first = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    rows = rows.join(landed(first), "digest", "left")  # landed, so that the rows of a very common payload are split among tasks
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     records = rows.select(
         F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("record_id"), "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
