@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,13 +35,14 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
 
-    In local mode, where all is one machine, a folder beside the warehouse stands in; elsewhere an unset one is an error.
+    In local mode, where all is one machine, a temporary folder of the session's stands in; elsewhere an unset one is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hourgrid-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
