@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,12 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder under the one that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder. In
-    local mode, where all is one machine, a folder beside the warehouse stands in; elsewhere an unset one is an error."""
+    local mode, where all is one machine, a temporary folder of the session's stands in; elsewhere an unset one is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hourgrid-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
