@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.geo import near
 from hourgrid.functions.slots import cyclical, iso_weekday, local_date, local_hour
+from hourgrid.operators.state import spread
 
 LAGS = (1, 2, 3, 6, 24, 168)
 
@@ -74,41 +75,53 @@ def knn_edges(points: DataFrame, k: int = 8, radius_m: float = 250.0) -> DataFra
     pairs = near(p.select(F.col("post_id").alias("source"), "lat", "lon"), p.select(F.col("post_id").alias("target"), "lat", "lon"), radius_m).where("source <> target")
     metres = F.round("distance_m", 6)
     order = Window.partitionBy("source").orderBy("m", "target")
-    return pairs.select("source", "target", metres.alias("m")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("source", "target", F.col("m").alias("distance_m"), F.round(1.0 / (1.0 + F.col("m")), 12).alias("weight"), "rank")
+    return spread(pairs.select("source", "target", metres.alias("m")), "source").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("source", "target", F.col("m").alias("distance_m"), F.round(1.0 / (1.0 + F.col("m")), 12).alias("weight"), "rank")
+
+
+def day_arrays(state: DataFrame) -> DataFrame:
+    """``post_id, day`` and arrays of 24, one place per hour of the day: the value an hour before (``a1``, null where the meter has
+    no row at the hour or the hour before), what it has moved in one hour and in three up to then (``d1, d3``), and the count of
+    the hour before (``tx``). A state row goes into its place once and is never searched for; the three hours that reach over
+    midnight are the end of the array of the day before."""
+    k = F.pmod("hour", F.lit(24))
+    days = state.groupBy("post_id", ((F.col("hour") - k) / 24).cast("long").alias("day")).agg(F.map_from_entries(F.collect_list(F.struct(k.cast("int").alias("k"), F.struct("available", F.coalesce("transaction_count", F.lit(0)).cast("double").alias("tx")).alias("v")))).alias("m"))
+    held = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.try_element_at("m", i))
+    day = days.select("post_id", "day", held.alias("held")).select("post_id", "day", F.transform("held", lambda x: x.isNotNull()).alias("present"), F.transform("held", lambda x: x["available"]).alias("own"), F.transform("held", lambda x: x["tx"]).alias("count"))
+    order = Window.partitionBy("post_id").orderBy("day")
+    follows = F.lag("day").over(order) == F.col("day") - 1
+    unknown = F.array(*[F.lit(None).cast("double")] * 3)
+    before = lambda c: F.coalesce(F.when(follows, F.lag(F.slice(c, 22, 3)).over(order)), unknown)
+    long = day.select("post_id", "day", "present", F.concat(before("own"), "own").alias("a"), F.concat(before("count"), "count").alias("t"))
+    known = long.select("*", F.transform("present", lambda p, i: F.when(p, F.get("a", i + 2))).alias("a1"))
+    moved = lambda n: F.transform("a1", lambda x, i: x - F.get("a", i + 3 - n))
+    return known.select("post_id", "day", "a1", moved(2).alias("d1"), moved(3).alias("d3"), F.transform("a1", lambda x, i: F.when(x.isNotNull(), F.coalesce(F.get("t", i + 2), F.lit(0.0)))).alias("tx"))
 
 
 def neighbor_stats(state: DataFrame, edges: DataFrame) -> DataFrame:
     """Per meter and slot the statistics of its neighbours' state one to three hours before.
 
-    The lags are windows. A meter's day travels as one row of arrays, so that an edge is joined once a day and not once an
-    hour, and the groups are a meter's day; the at most k neighbours of an hour are folded inside their row.
+    A meter's day travels as one row of arrays with a place per hour, so an edge is joined once a day and no hour is
+    searched for. The at most k neighbours of a meter and day meet in one exchange; the medians come from their sorted values
+    place by place, all else from plain sums over the unfolded places.
     """
-    values = ("a1", "a2", "a3", "tx")
-    lagged = state.select("post_id", "hour", *[at_lag("available", n).alias(f"a{n}") for n in (1, 2, 3)], F.coalesce(at_lag("transaction_count", 1), F.lit(0)).cast("double").alias("tx")).where("a1 is not null")
-    hour_of_day = F.pmod("hour", F.lit(24))
-    days = lagged.groupBy(F.col("post_id").alias("target"), ((F.col("hour") - hour_of_day) / 24).cast("long").alias("day")).agg(F.collect_list(F.struct(hour_of_day.cast("int").alias("k"), *values)).alias("hours"))
     weight = 1.0 / F.greatest("distance_m", F.lit(5.0))
-    met = edges.select("source", "target", weight.alias("w")).join(days, "target").groupBy("source", "day").agg(F.collect_list(F.struct("w", "hours")).alias("beside"))
-    flat = F.flatten(F.transform("beside", lambda b: F.transform(b["hours"], lambda h: F.struct(h["k"].alias("k"), b["w"].alias("w"), *[h[v].alias(v) for v in values]))))
-    each = met.select("source", "day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"), flat.alias("every"))
-    rows = each.select(F.col("source").alias("post_id"), (F.col("day") * 24 + F.col("k")).alias("hour"), F.filter("every", lambda e: e["k"] == F.col("k")).alias("n")).where("size(n) > 0")
-
-    def total(value) -> Column:
-        return F.aggregate("n", F.lit(0.0), lambda s, e: s + value(e))
-
-    def mean_of(value) -> Column:
-        held = F.filter(F.transform("n", value), lambda x: x.isNotNull())
-        return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda s, x: s + x) / F.size(held))
-
-    size = F.size("n")
-    rows = rows.select("*", F.array_sort(F.transform("n", lambda e: e["a1"])).alias("v"), (total(lambda e: e["a1"]) / size).alias("mean"))
-    middle = (F.element_at("v", F.floor((size + 1) / 2).cast("int")) + F.element_at("v", F.floor((size + 2) / 2).cast("int"))) / 2
-    return rows.select(
-        "post_id", "hour", size.cast("long").alias("neighbor_count"), F.col("mean").alias("neighbor_mean"), middle.alias("neighbor_median"), F.element_at("v", 1).alias("neighbor_min"), F.element_at("v", -1).alias("neighbor_max"),
-        F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / size).alias("neighbor_std"), (total(lambda e: (e["a1"] < 0.5).cast("double")) / size).alias("neighbor_occupied"),
-        (total(lambda e: e["tx"]) / size).alias("neighbor_tx"), mean_of(lambda e: e["a1"] - e["a2"]).alias("neighbor_delta1"), mean_of(lambda e: e["a1"] - e["a3"]).alias("neighbor_delta3"),
-        (total(lambda e: e["a1"] * e["w"]) / total(lambda e: e["w"])).alias("neighbor_weighted"),
+    days = day_arrays(state).withColumnRenamed("post_id", "target")
+    met = spread(edges.select("source", "target", weight.alias("w")), "source").join(days, "target").groupBy("source", "day").agg(F.collect_list(F.struct("w", "a1", "d1", "d3", "tx")).alias("beside"))
+    place = F.sequence(F.lit(0), F.lit(23))
+    ordered = met.select("*", F.transform(place, lambda k: F.sort_array(F.array_compact(F.transform("beside", lambda b: F.get(b["a1"], k))))).alias("ordered"))
+    half = lambda v, more: F.get(v, F.floor((F.size(v) + more) / 2).cast("int") - 1)
+    middle = ordered.select("source", "day", "beside", F.transform("ordered", lambda v: (half(v, 1) + half(v, 2)) / 2).alias("middle"))
+    # The medians ride along with the first neighbour.
+    each = middle.select("source", "day", "middle", F.posexplode("beside").alias("i", "b"))
+    own = F.when(F.col("i") == 0, F.col("middle")).otherwise(F.array_repeat(F.lit(None).cast("double"), 24))
+    zipped = each.select("source", "day", "b.w", "b.a1", "b.d1", "b.d3", "b.tx", own.alias("m")).select("source", "day", "w", F.posexplode(F.arrays_zip("a1", "d1", "d3", "tx", "m")).alias("k", "at"))
+    rows = zipped.select(F.col("source").alias("post_id"), "day", "k", F.when(F.col("at.a1").isNotNull(), F.col("w")).alias("w"), "at.*")
+    out = rows.groupBy("post_id", "day", "k").agg(
+        F.count("a1").alias("neighbor_count"), F.avg("a1").alias("neighbor_mean"), F.max("m").alias("neighbor_median"), F.min("a1").alias("neighbor_min"), F.max("a1").alias("neighbor_max"),
+        F.stddev_pop("a1").alias("neighbor_std"), F.avg(F.when(F.col("a1") < 0.5, 1.0).when(F.col("a1") >= 0.5, 0.0)).alias("neighbor_occupied"), F.avg("tx").alias("neighbor_tx"),
+        F.avg("d1").alias("neighbor_delta1"), F.avg("d3").alias("neighbor_delta3"), (F.sum(F.col("a1") * F.col("w")) / F.sum("w")).alias("neighbor_weighted"),
     )
+    return out.where("neighbor_count > 0").select("post_id", (F.col("day") * 24 + F.col("k")).alias("hour"), *[c for c in out.columns if c.startswith("neighbor")])
 
 
 SPATIAL = ("neighbor_mean", "neighbor_median", "neighbor_min", "neighbor_max", "neighbor_weighted")

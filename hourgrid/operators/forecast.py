@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.geo import near
 from hourgrid.functions.slots import cyclical, iso_weekday, local_hour, period_of_day
 from hourgrid.operators.features import by_time
+from hourgrid.operators.state import spread
 from hourgrid.sources.tables import landed
 
 HORIZONS = (1, 3, 6, 12, 24)
@@ -129,20 +130,36 @@ def inventory(forecasts: DataFrame) -> DataFrame:
     return forecasts.groupBy("target_hour").agg(F.count("*").alias("n"), F.countDistinct("post_id").alias("meters"))
 
 
+#: Parts that an hour's rows are dealt over before its first ones are chosen.
+PARTS = 32
+
+
+def first_of_hour(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of each hour by ``key``, then id; an hour's rows are dealt over parts that choose first."""
+    order = [F.col("key"), F.col("post_id")]
+    part = F.pmod(F.xxhash64("post_id"), F.lit(PARTS))
+    some = rows.withColumn("part", part).withColumn("rn", F.row_number().over(Window.partitionBy("hour", "part").orderBy(*order))).where(F.col("rn") <= n)
+    return some.withColumn("rn", F.row_number().over(Window.partitionBy("hour").orderBy(*order))).where(F.col("rn") <= n).drop("rn", "part")
+
+
 def radius_success(forecasts: DataFrame, meters: DataFrame, radii: tuple[int, ...], per_slot: int, seed: int, by_period: bool = False) -> DataFrame:
     """Per radius (and period of the day): around hash-chosen meters of each slot, the independent chance of a free place
     against whether one was.
 
-    ``forecasts`` are matured, of one model. The largest radius is joined once, smaller ones filter its pairs.
+    ``forecasts`` are matured, of one model. Centres are chosen first, and only theirs are the pairs within the largest radius.
+    Each pair is added up once, in its smallest radius; the larger ones are sums of those sums.
     """
     rows = forecasts.where("actual is not null").withColumnRenamed("target_hour", "hour").select("post_id", "hour", "predicted", "actual")
     key = F.md5(F.concat_ws("|", F.col("post_id").cast("string"), F.col("hour").cast("string"), F.lit(str(seed))))
-    chosen = rows.withColumn("rn", F.row_number().over(Window.partitionBy("hour").orderBy(key, "post_id"))).where(F.col("rn") <= per_slot).select(F.col("post_id").alias("center"), "hour")
+    chosen = first_of_hour(rows.select("post_id", "hour", key.alias("key")), per_slot).select(F.col("post_id").alias("center"), "hour")
     place = meters.select("post_id", "lat", "lon")
-    pairs = near(place.withColumnRenamed("post_id", "center"), place, float(max(radii))).select("center", "post_id", "distance_m")
-    j = chosen.join(pairs, "center").join(rows, ["post_id", "hour"])
-    within = j.select("*", F.explode(F.array(*map(F.lit, radii))).alias("radius_m")).where(F.round("distance_m", 6) <= F.col("radius_m"))
-    each = within.groupBy("radius_m", "center", "hour").agg(F.count("*").alias("k"), (1.0 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1.0 - F.col("predicted")))))).alias("p"), (F.max("actual") > 0.5).cast("double").alias("y"))
+    centers = place.withColumnRenamed("post_id", "center").join(chosen.select("center").distinct(), "center", "left_semi")
+    smallest = F.coalesce(*[F.when(F.round("distance_m", 6) <= r, F.lit(r)) for r in sorted(radii)])
+    pairs = near(centers, place, float(max(radii))).select("center", "post_id", smallest.alias("ring"))
+    j = spread(chosen, "center", "hour").join(pairs, "center").join(rows, ["post_id", "hour"])
+    ring = j.groupBy("center", "hour", "ring").agg(F.count("*").alias("k"), F.sum(F.log(F.greatest(F.lit(1e-9), 1.0 - F.col("predicted")))).alias("logs"), F.max("actual").alias("best"))
+    within = ring.select("*", F.explode(F.filter(F.array(*map(F.lit, radii)), lambda r: r >= F.col("ring"))).alias("radius_m"))
+    each = within.groupBy("radius_m", "center", "hour").agg(F.sum("k").alias("k"), (1.0 - F.exp(F.sum("logs"))).alias("p"), (F.max("best") > 0.5).cast("double").alias("y"))
     keys = ["radius_m"]
     if by_period:
         each, keys = each.withColumn("period", period_of_day(local_hour(F.col("hour")))), ["period", "radius_m"]

@@ -34,6 +34,12 @@ def assert_no_future(rows: DataFrame, time_col: str, cutoff: int) -> DataFrame:
     return rows.withColumn(time_col, F.when(F.col(time_col) >= cutoff, fault.cast(rows.schema[time_col].dataType)).otherwise(F.col(time_col)))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many parts as the session shuffles into. For rows that unfold into many more: the
+    adaptive planner sizes parts by the bytes that are read, and would put all of them into a task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def session_slots(sessions: DataFrame, tz: str = TZ) -> DataFrame:
     """A row per session and hour it overlaps, so that what follows joins and groups on equal keys, not ranges."""
     hours = F.sequence(hour_of(F.col("start_us")), hour_of(F.col("end_us") - 1))
@@ -68,7 +74,7 @@ def dense_state(sessions: DataFrame, as_of_hour: int, bound: str = "first", tz:
     sessions are read once: their slots are aggregated, and every used hour of a meter makes the empty ones that follow
     it, up to the next used one; there is no grid to join.
     """
-    used = slot_state(session_slots(sessions, tz), p90=p90).withColumnRenamed("hour", "used")
+    used = spread(slot_state(session_slots(sessions, tz), p90=p90).withColumnRenamed("hour", "used"), "post_id")
     order = Window.partitionBy("post_id").orderBy("used")
     day = local_date(F.col("used"), tz)
     end = F.lit(as_of_hour - 1) if bound == "first" else first_hour_of(F.date_add(day, 1), tz) - 1
