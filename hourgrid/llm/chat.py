@@ -42,9 +42,17 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))).cast(PARTS)
 
 
-def _visit(part: Column) -> Column:
+def _empty(part: Column) -> Column:
+    return part["type"].eqNullSafe("text") & (F.coalesce(part["text"], F.lit("")) == "")
+
+
+def _visit(part: Column, behind: Column) -> Column:
+    """A part's piece of the body. ``behind`` is the next part that is not an empty text: a control string may begin in one text part and
+    end in the next, so a ``<`` that meets a ``|`` there is escaped as it would be in the joined text."""
     placeholder = F.coalesce(F.element_at(F.create_map(*[x for k in TOKENS_PER_UNIT for x in (F.lit(k), F.lit(f"<|{k}|>"))]), part["type"]), F.lit("<|unknown|>"))
-    return F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder)
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    met = (behind["type"] == "text") & F.startswith(behind["text"], F.lit("|")) & F.endswith(text, F.lit("<"))
+    return F.when(part["type"] == "text", F.when(met, F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit("&lt;"))).otherwise(text)).otherwise(placeholder)
 
 
 def _tokens(part: Column) -> Column:
@@ -71,7 +79,8 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     head = F.concat(F.lit(TURN_START), escape_role(F.col("role")), F.lit("\n"))
     plain = F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise("")), "")
-    turns = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), plain.alias("plain"), F.array_join(F.transform(parts, _visit), "").alias("body"), attached.alias("attached"), role.isin(*loss_roles).alias("loss"))
+    messages = messages.withColumn("full", F.filter(parts, lambda p: ~_empty(p)))
+    turns = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), plain.alias("plain"), F.array_join(F.transform("full", lambda p, i: _visit(p, F.get("full", i + 1))), "").alias("body"), attached.alias("attached"), role.isin(*loss_roles).alias("loss"))
     turns = turns.select("*", head.alias("head")).select("*", F.length("head").alias("offset"), (F.length("head") + F.length("body") + len(TURN_END)).cast("bigint").alias("size"))
     # A message's place is a running sum over its conversation: linear in the messages.
     order = Window.partitionBy("conv").orderBy("turn", "role", "plain", "body")
