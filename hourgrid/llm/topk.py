@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm.common import bounded_batches, landed, new_folder, read_table, remove
 
-BLOCK_ROWS, QUERY_ROWS, PART_BLOCKS = 4096, 512, 16
+BLOCK_ROWS, QUERY_ROWS, PART_BLOCKS = 2048, 512, 32
 #: Entries of each list that are read before the first test; doubled from test to test.
 STRIDE = 16
 NO_ID = np.iinfo(np.int64).max
@@ -170,7 +170,8 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
     paths = [new_folder(spark, kind) for kind in ("vectors", "blocks", "queries", "best")]
     rows = landed(vectors.select(F.col(id_col).cast("long").alias("id"), raw.alias("vector")).where(fit).withColumn("row", F.monotonically_increasing_id()), paths[0])
     candidates = landed(blocks(rows, block_rows), paths[1])
-    parts = max(1, -(-candidates.count() // part_blocks))
+    n = candidates.count()
+    parts = max(1, -(-n // part_blocks), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     asked = blocks(rows.where(queries), query_rows).withColumn("q_block", F.monotonically_increasing_id())
     asked = landed(asked.select("dims", "q_block", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "rows", "vectors")]), paths[2])
     dealt = candidates.withColumn("part", F.pmod(F.xxhash64("ids", "rows"), F.lit(parts)))
