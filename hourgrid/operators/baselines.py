@@ -7,6 +7,9 @@ local hour.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +126,36 @@ MODELS = {
     "blockface_hourly": lambda s, g, p, w: blockface_hourly(s, g, p, w),
     "hour_conditioned_v1": lambda s, g, p, w: hour_conditioned_v1(s, g, w),
 }
+
+
+#: Session rows of one meter that the grouped form takes.
+MAX_METER_ROWS = 1_000_000
+
+
+def per_meter(predict: Callable[[pd.DataFrame, int], tuple[float, int, int] | None], max_rows: int = MAX_METER_ROWS) -> Callable:
+    """A baseline for ``MODELS`` from a function of one meter's history, the slow way out for what no column expresses.
+
+    ``predict(history, hour)`` gets the sessions (``start_us, end_us``) of a meter that began before the slot and reach into the
+    window, ends cut off at the slot's start, and returns score, evidence days and sessions, or None for no row. A meter's
+    sessions and slots meet in one Arrow group; a meter of more than ``max_rows`` sessions is an error before that.
+    """
+
+    def scored(sessions: pd.DataFrame, grid: pd.DataFrame, window_hours: int) -> pd.DataFrame:
+        rows = []
+        held = sessions.sort_values(["start_us", "end_us"], kind="stable")
+        for hour in sorted(grid["hour"]):
+            now = hour * HOUR_US
+            known = held[(held["start_us"] < now) & (held["end_us"] > now - window_hours * HOUR_US)]
+            found = predict(known.assign(end_us=known["end_us"].clip(upper=now)), int(hour))
+            if found is not None:
+                rows.append((int(grid["post_id"].iloc[0]), int(hour), *found))
+        return pd.DataFrame(rows, columns=["post_id", "hour", "score", "evidence_days", "evidence_sessions"])
+
+    def model(sessions: DataFrame, grid: DataFrame, placed: DataFrame, window_hours: int) -> DataFrame:
+        size = F.count("*").over(Window.partitionBy("post_id"))
+        fault = F.raise_error(F.concat(F.lit(f"over {max_rows} sessions of meter "), F.col("post_id").cast("string"))).cast("long")
+        own = completed(sessions).select("post_id", "start_us", "end_us", size.alias("n")).select("post_id", F.when(F.col("n") > max_rows, fault).otherwise(F.col("start_us")).alias("start_us"), "end_us")
+        both = own.groupBy("post_id").cogroup(grid.select("post_id", "hour").groupBy("post_id"))
+        return both.applyInPandas(lambda s, g: scored(s, g, window_hours), "post_id long, hour long, score double, evidence_days long, evidence_sessions long")
+
+    return model

@@ -11,6 +11,7 @@ from hourgrid.functions.geo import near
 from hourgrid.functions.slots import cyclical, iso_weekday, local_hour, period_of_day
 from hourgrid.operators.features import by_time
 from hourgrid.operators.state import spread
+from hourgrid.sources.store import KeyedTable
 from hourgrid.sources.tables import landed
 
 HORIZONS = (1, 3, 6, 12, 24)
@@ -25,6 +26,11 @@ def issue(state: DataFrame, horizons: tuple[int, ...] = HORIZONS, model: str = M
     return each.select("post_id", (F.col("hour") + F.col("hours_ahead")).alias("target_hour"), F.lit(model).alias("model_version"), "hours_ahead", "predicted", F.col("latest").alias("persistence_asof"), (F.col("hour") + 1).alias("as_of_hour"))
 
 
+def forecast_table(path: str) -> KeyedTable:
+    """The stored form of forecasts: a row per meter, target slot and model version, in a part per day of target slots."""
+    return KeyedTable(path, "post_id bigint, target_hour bigint, model_version string, predicted double, generated bigint", ("post_id", "target_hour", "model_version"), "target_hour div 24")
+
+
 def mature(forecasts: DataFrame, state: DataFrame, as_of_hour: int) -> DataFrame:
     """Fills ``actual`` once, from slots that had ended at ``as_of_hour`` only."""
     seen = state.where(F.col("hour") + 1 <= as_of_hour).select("post_id", F.col("hour").alias("target_hour"), F.col("available").alias("observed"))

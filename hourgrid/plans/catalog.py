@@ -23,7 +23,7 @@ from hourgrid.operators import models as L
 from hourgrid.operators import sampling as S
 from hourgrid.operators import state as Z
 from hourgrid.plans import oracle
-from hourgrid.sources import ingest, tables
+from hourgrid.sources import ingest, store, tables
 from hourgrid.sources import views as V
 from hourgrid.streaming import streams
 
@@ -142,12 +142,53 @@ def policy_dedupe(spark, d):
 
 @query
 def ingestion_runs(spark, d):
-    """The run log's row of one load: processed, stored, skipped, newest time; counts come from the data as it is written."""
+    """A load's counts by day of its data: processed, stored, skipped, newest time."""
     n = _normal(spark, d)
     day = F.date_trunc("day", F.timestamp_micros("start_us"))
     return n.groupBy(F.coalesce(F.to_date(day).cast("string"), F.lit("unknown")).alias("run_id")).agg(F.count("*").alias("processed"), F.count_if(F.col("error").isNull()).alias("stored"), F.count_if(F.col("error").isNotNull()).alias("skipped"), F.max("start_us").alias("newest_us"))
 
 
+@query
+def ingestion_run_log(spark, d):
+    """The run log of three loads: one that goes well, one whose writer fails, and one of a single day; counts are observed on the rows
+    as they are written."""
+    n, base, clock = _normal(spark, d), tables.shared_folder(spark, "loads"), iter(range(1, 7))
+    log, tick = f"{base}/log", lambda: next(clock)
+    ingest.logged_load(n, lambda rows: rows.write.parquet(f"{base}/all"), log, "sessions", "1", tick)
+    try:
+        refused = F.raise_error(F.lit("refused")).cast("long")
+        ingest.logged_load(n, lambda rows: rows.withColumn("post_id", refused).write.parquet(f"{base}/failed"), log, "sessions", "2", tick)
+    except Exception:  # noqa: BLE001, S110  the row in the log is what is shown
+        pass
+    day = n.where(F.col("start_us") >= RUN_START - 24 * HOUR_US)
+    ingest.logged_load(day, lambda rows: rows.write.parquet(f"{base}/day"), log, "sessions", "3", tick)
+    return ingest.read_runs(spark, log).select("run_id", "source", "started", "finished", "status", "processed", "stored", "skipped", "newest_us", F.col("error").contains("refused").alias("refused"))
+
+
+def _feed_lines(spark, d):
+    """The raw feed as JSON lines on disk, every 107th line torn in half."""
+    feed = V.raw_feed(spark, d)
+    line = F.to_json(F.struct(*feed.columns), {"ignoreNullFields": "false"})
+    k = F.xxhash64("post_id", "session_end_dt")
+    base = tables.shared_folder(spark, "lines")
+    broken = F.coalesce(F.col("transmission_id").try_cast("long") % 107 == 0, F.lit(False))
+    feed.select(F.when(broken, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line).alias("value"), k.alias("k")).drop("k").write.text(base)
+    return base
+
+
+@query
+def text_feed_clean(spark, d):
+    """Good rows of a feed of JSON lines, some of which are torn."""
+    return ingest.normalize_lines(ingest.parse_lines(ingest.read_lines(spark, _feed_lines(spark, d)))).where("error is null").drop("error", "line", "file")
+
+
+@query
+def text_feed_quarantine(spark, d):
+    """The lines that went to quarantine by cause, with the characters they hold."""
+    bad = ingest.normalize_lines(ingest.parse_lines(ingest.read_lines(spark, _feed_lines(spark, d)))).where("error is not null")
+    return bad.groupBy("error").agg(F.count("*").alias("n"), F.count("line").alias("lines"), F.count("transmission_id").alias("with_id"), F.count_if(F.col("file").isNotNull()).alias("with_file"))
+
+
 @query
 def sink_roundtrip(spark, d):
     """Sessions through the JSON lines, CSV and daily Parquet sinks and back: rows and sums by sink."""
@@ -615,10 +656,27 @@ def _matured(spark, d):
 
 @query
 def forecast_upsert(spark, d):
-    """Two loads of the same keys: the later one's value stands."""
-    f = P.issue(_state(spark, d), (1,)).select("post_id", "target_hour", "model_version", "predicted", F.lit(1).alias("generated"))
-    later = f.where("post_id % 2 = 0").select("post_id", "target_hour", "model_version", (F.col("predicted") / 2).alias("predicted"), F.lit(2).alias("generated"))
-    return ingest.upsert(f, later, ["post_id", "target_hour", "model_version"], [F.col("generated")])
+    """Two loads of the same keys into the stored table: the later one's value stands, and one that comes again changes nothing."""
+    f = tables.landed(P.issue(_state(spark, d), (1,)).select("post_id", "target_hour", "model_version", "predicted", F.lit(1).cast("long").alias("generated")), "forecasts")
+    later = f.where("post_id % 2 = 0").select("post_id", "target_hour", "model_version", (F.col("predicted") / 2).alias("predicted"), F.lit(2).cast("long").alias("generated"))
+    t = P.forecast_table(tables.shared_folder(spark, "stored"))
+    for number, load in ((1, f), (2, later), (2, f)):  # the last is a batch that comes again
+        store.merge(t, load, number, [F.col("generated")])
+    store.vacuum(spark, t)
+    return store.current(spark, t)
+
+
+@query
+def stored_append(spark, d):
+    """The line feed appended by key to a stored table that has its even orders, a batch that comes again, and a small late batch that
+    touches few parts."""
+    feed = tables.read_table(spark, d, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    keys, order = ("l_orderkey", "l_linenumber"), [F.col("l_partkey"), F.col("l_suppkey")]
+    t = store.KeyedTable(tables.shared_folder(spark, "lines"), "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint", keys, "pmod(xxhash64(l_orderkey), 64)")
+    late = feed.where("l_orderkey < 100").select(*keys, (F.col("l_partkey") + 1).alias("l_partkey"), "l_suppkey")
+    for number, load in ((1, feed.where("l_orderkey % 2 = 0")), (2, feed), (2, late), (3, late)):
+        store.merge(t, load, number, order, "lines", keep_old=True)
+    return store.current(spark, t).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("l_partkey"), F.sum("l_suppkey").alias("l_suppkey"))
 
 
 @query
@@ -813,6 +871,18 @@ def range_sample(spark, d):
     return S.bucket_sample(_state(spark, d).where(f"hour >= {A} - 240"), 50, 7, per_day=40, total=300).select("post_id", "hour", "local_date")
 
 
+@query
+def window_split(spark, d):
+    """A chronological split sized by the days that a stored daily table has."""
+    path = f"{tables.shared_folder(spark, 'daily')}/state"
+    state = _state(spark, d)
+    tables.write_days(state.select("post_id", "hour", "local_date"), path)
+    days = tables.stored_days(spark, path)
+    w = S.choose_windows(days[0], days[-1], 14, 3, 30)
+    rows = S.split_by_windows(spark.read.schema("post_id long, hour long, local_date date").parquet(path), w)
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("local_date").alias("days"), F.min("local_date").alias("first_day"), F.max("local_date").alias("last_day"))
+
+
 @query
 def temporal_split_counts(spark, d):
     s = S.temporal_split(_state(spark, d), A - 240, A - 120)
@@ -928,7 +998,9 @@ def spatial_forecast(spark, d):
     """The next slot by the spatial learner, stored by key beside the roll3 forecasts."""
     state, rows = _spatial_training(spark, d)
     m = V.meters(spark, d)
-    ahead = L.predict(L.boosted(rows, L.SPATIAL, rounds=10), X.spatial_inference(state, m, X.knn_edges(m, 24, 250.0), A), L.SPATIAL)
+    path = tables.shared_folder(spark, "model")
+    L.save_model(spark, L.boosted(rows, L.SPATIAL, rounds=10), path, L.SPATIAL, "spatial")
+    ahead = L.load_model(spark, path, L.SPATIAL).predict(X.spatial_inference(state, m, X.knn_edges(m, 24, 250.0), A))
     columns = ["post_id", "target_hour", "model_version", "predicted", "generated"]
     made = ahead.select("post_id", F.col("hour").alias("target_hour"), F.lit("spatial").alias("model_version"), "predicted", F.lit(A).alias("generated"))
     known = P.issue(state, (1,)).where(f"target_hour = {A}").select("post_id", "target_hour", "model_version", "predicted", F.lit(A).alias("generated"))
@@ -947,7 +1019,10 @@ def recursive_boosted(spark, d):
 
 
 def _event_stream(spark, d):
-    raw = streams.session_stream(spark, f"{d}/events.parquet*", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    return _sessions_of(streams.session_stream(spark, f"{d}/events.parquet*", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"))
+
+
+def _sessions_of(raw):
     e = raw.where("event_type <> 'signup'").withColumn("session_start", F.col("ts").cast("timestamp"))
     start = F.unix_micros("session_start")
     return e.select(F.col("event_id").cast("string").alias("transmission_id"), F.col("user_id").alias("post_id"), "session_start", start.alias("start_us"), F.when(F.col("event_id") % 97 != 0, start + F.floor(F.col("value") * 60e6).cast("long")).alias("end_us"))
@@ -968,33 +1043,62 @@ def stream_mature(spark, d):
     return streams.run_maturing(streams.hourly_counts(_event_stream(spark, d)), forecasts)
 
 
+def _stored_hours(spark, d):
+    return streams.run_into(streams.hourly_counts(_event_stream(spark, d)), streams.hourly_table(tables.shared_folder(spark, "hourly")), "hourly")
+
+
 @query
 def stream_hourly_state(spark, d):
-    counts = streams.hourly_counts(_event_stream(spark, d))
-    return streams.latest_per_key(streams.run_to_table(counts, "hourly", "update"), ["post_id", "hour"])
+    return _stored_hours(spark, d)
+
+
+@query
+def stream_with_late(spark, d):
+    """The hourly sums of a feed whose older half comes second: slots closed by then go to the late rows, and both together are whole."""
+    base, state = tables.shared_folder(spark, "halves"), tables.shared_folder(spark, "halves-state")
+    feed = tables.read_table(spark, d, "events").where("event_type <> 'signup'")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    table = streams.hourly_table(f"{base}/table")
+    for name, half in (("newer", "event_id % 3 = 0"), ("older", "event_id % 3 <> 0")):
+        feed.where(half).select("event_id", "ts", "user_id", "event_type", "value").write.parquet(f"{base}/feed/{name}")
+        stream = _sessions_of(streams.session_stream(spark, f"{base}/feed/*", schema))
+        sums = streams.run_into(streams.hourly_counts(stream, "2 days"), table, "hourly", f"{state}/sums")
+        late = streams.run_late_rows(stream, "2 days", f"{state}/late")
+    return streams.with_late(sums, late)
 
 
 @query
 def stream_zero_filled(spark, d):
-    counts = streams.latest_per_key(streams.run_to_table(streams.hourly_counts(_event_stream(spark, d)), "hourly", "update"), ["post_id", "hour"])
-    filled = streams.zero_filled(counts, _state(spark, d).select("post_id", "hour"))
+    filled = streams.zero_filled(_stored_hours(spark, d), _state(spark, d).select("post_id", "hour"))
     return filled.groupBy("post_id").agg(F.count("*").alias("hours"), F.count_if(F.col("transaction_count") == 0).alias("silent"), F.sum("overlap_us").alias("overlap_us"))
 
 
 @query
 def stream_quarantine(spark, d):
+    return _stream_quarantine(spark, d)[0]
+
+
+def _stream_quarantine(spark, d):
     base = tables.shared_folder(spark, "feed")
-    V.raw_feed(spark, d).write.parquet(base)
-    feed = streams.session_stream(spark, base, tables.RAW_SESSION)
-    return streams.run_to_table(streams.quarantine(feed), "quarantine").select("transmission_id", "post_id", "error")
+    V.raw_feed(spark, d).write.parquet(f"{base}/rows")
+    feed = streams.session_stream(spark, f"{base}/rows", tables.RAW_SESSION)
+    bad = streams.run_quarantine(ingest.normalize_sessions(feed), "quarantine", f"{base}/log")
+    return bad.select("transmission_id", "post_id", "error"), ingest.read_runs(spark, f"{base}/log")
+
+
+@query
+def stream_run_log(spark, d):
+    """What the run log holds of the stream of raw rows: micro-batches that went well, and their counts as they were observed."""
+    log = _stream_quarantine(spark, d)[1]
+    return log.groupBy("source", "status").agg(F.sum("processed").alias("processed"), F.sum("stored").alias("stored"), F.sum("skipped").alias("skipped"), F.max("newest_us").alias("newest_us"))
 
 
 @query
 def stream_upsert(spark, d):
     """The newest session of each meter, kept by micro-batches into a keyed table."""
     newest = _event_stream(spark, d).groupBy("post_id").agg(F.max(F.struct("start_us", "transmission_id")).alias("s"))
-    out = streams.latest_per_key(streams.run_to_table(newest, "newest", "update"), ["post_id"])
-    return out.select("post_id", "s.start_us", "s.transmission_id")
+    table = store.KeyedTable(tables.shared_folder(spark, "newest"), "post_id bigint, start_us bigint, transmission_id string", ("post_id",), "pmod(xxhash64(post_id), 16)")
+    return streams.run_into(newest.select("post_id", "s.start_us", "s.transmission_id"), table, "newest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,11 +6,11 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.slots import TZ
-from hourgrid.sources.tables import RUNS
+from hourgrid.sources.tables import RAW_SESSION, RUNS
 
 ACTIVE_FLAGS = ("M", "T", "Y", "TRUE", "1")
 
@@ -57,16 +57,68 @@ def minutes_between(start: Column, end: Column) -> Column:
     return ((end - start - F.pmod(end - start, F.lit(60_000_000))) / 60_000_000).cast("long")
 
 
-def normalize_sessions(raw: DataFrame) -> DataFrame:
-    """Typed columns beside ``error``: null for good rows, the first fault otherwise."""
+#: The column of a line that could not be read.
+CORRUPT = "_corrupt"
+
+
+def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Text files as ``value`` and the ``file`` each line is from, in batch or as a stream; blank lines are left out."""
+    lines = (spark.readStream if stream else spark.read).text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
+
+
+def parse_lines(lines: DataFrame, schema: str = RAW_SESSION) -> DataFrame:
+    """JSON lines as the columns of ``schema``; a line that is no JSON object, or whose fields don't fit, stays whole in ``_corrupt``
+    and does not end the read. ``line`` and ``file`` are kept beside."""
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed.alias("p"), "value", "file").select("p.*", F.col("value").alias("line"), "file")
+
+
+def normalize_lines(parsed: DataFrame) -> DataFrame:
+    """``normalize_sessions`` of parsed lines, with the line and file of each row; a line that could not be read has that as its error."""
+    out = normalize_sessions(parsed, ("line", "file", CORRUPT))
+    bad = F.col(CORRUPT).isNotNull()
+    return out.withColumn("error", F.when(bad, "unreadable line").otherwise(F.col("error"))).drop(CORRUPT)
+
+
+def load_counts() -> list[Column]:
+    """What is observed of normalised rows while they are written: processed, stored, skipped, newest time of a stored row."""
+    fine = F.col("error").isNull()
+    return [F.count(F.lit(1)).alias("processed"), F.count_if(fine).alias("stored"), F.count_if(~fine).alias("skipped"), F.max(F.when(fine, F.col("start_us"))).alias("newest_us")]
+
+
+def logged_load(normalized: DataFrame, write: Callable[[DataFrame], None], log_path: str, source: str, run_id: str, now_us: Callable[[], int]) -> dict:
+    """Writes a load and appends its row to the run log at ``log_path``.
+
+    The counts are observed on the rows as they are written, in the same job. A load that fails is logged as failed with its error,
+    and the error goes on; its counts are null, for what it wrote before is not known.
+    """
+    seen, row = Observation(), {"run_id": run_id, "source": source, "started": now_us()}
+    try:
+        write(normalized.observe(seen, *load_counts()))
+        row |= dict(seen.get) | {"status": "succeeded"}
+    except Exception as fault:
+        row |= {"status": "failed", "error": str(fault).splitlines()[0][:500]}
+        raise
+    finally:
+        run_row(normalized.sparkSession, **row, finished=now_us()).write.mode("append").parquet(log_path)
+    return row
+
+
+def read_runs(spark: SparkSession, log_path: str) -> DataFrame:
+    return spark.read.schema(RUNS).parquet(log_path)
+
+
+def normalize_sessions(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed columns beside ``error``: null for good rows, the first fault otherwise. Columns to ``keep`` go along."""
     start, end = source_time(F.col("session_start_dt")), source_time(F.col("session_end_dt"))
     out = raw.select(
         text(F.col("transmission_id")).alias("transmission_id"), whole_number(F.col("post_id")).alias("post_id"), F.unix_micros(start).alias("start_us"), F.unix_micros(end).alias("end_us"),
-        text(F.col("payment_type")).alias("payment_type"), number(F.col("gross_paid_amt")).alias("gross"), F.col("session_start_dt").alias("raw_start"), F.col("session_end_dt").alias("raw_end"),
+        text(F.col("payment_type")).alias("payment_type"), number(F.col("gross_paid_amt")).alias("gross"), F.col("session_start_dt").alias("raw_start"), F.col("session_end_dt").alias("raw_end"), *keep,
     )
     fault = F.when(F.col("transmission_id").isNull(), "missing transmission_id").when(F.col("post_id").isNull(), "missing post_id").when(text(F.col("raw_start")).isNull(), "missing session_start")
     fault = fault.when(F.col("start_us").isNull(), "bad session_start").when(text(F.col("raw_end")).isNotNull() & F.col("end_us").isNull(), "bad session_end")
-    return out.select("transmission_id", "post_id", "start_us", "end_us", minutes_between(F.col("start_us"), F.col("end_us")).alias("duration_minutes"), "payment_type", "gross", fault.alias("error"))
+    return out.select("transmission_id", "post_id", "start_us", "end_us", minutes_between(F.col("start_us"), F.col("end_us")).alias("duration_minutes"), "payment_type", "gross", fault.alias("error"), *keep)
 
 
 def good(normalized: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -44,6 +45,13 @@ def write_days(df: DataFrame, path: str, day_col: str = "local_date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
 
 
+def stored_days(spark: SparkSession, path: str, day_col: str = "local_date") -> list[dt.date]:
+    """The days of a daily table, in order, from the names of its partitions: no file is opened."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(dt.date.fromisoformat(n.partition("=")[2]) for n in names if n.startswith(f"{day_col}=") and "__HIVE" not in n)
+
+
 def write_jsonl(df: DataFrame, path: str) -> dict[str, int]:
     """Writes JSON lines and returns the manifest: the rows that were counted while they were written."""
     seen = Observation()

@@ -10,7 +10,8 @@ from hourgrid.functions import slots
 from hourgrid.functions.geo import near
 from hourgrid.operators import baselines, canonical, decide, features, forecast, health, metrics, models, sampling, state
 from hourgrid.operators.backtest import known_until, run_backtest, scoped
-from hourgrid.sources import ingest, tables
+from hourgrid.sources import ingest, store, tables
+from hourgrid.streaming import streams
 
 H = slots.HOUR_US
 #: 2026-08-03 00:00 in Los Angeles (07:00 UTC).
@@ -322,3 +323,163 @@ def test_empty_tables(spark):
     assert state.dense_state(none, BASE).count() == 0
     assert baselines.deterministic_v0(none, grid(spark, [(1, 5)])).count() == 0
     assert canonical.coverage(none, none.select("post_id")).first().ratio == 1.0
+
+
+# --- stored tables, text feeds, run logs, bounded streams, stored models ---------------------------------------------------------
+
+
+def keyed(tmp_path):
+    return store.KeyedTable(str(tmp_path / "table"), "k bigint, day bigint, v string", ("k", "day"), "day")
+
+
+def files_of(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_merge_rewrites_touched_parts_once(spark, tmp_path):
+    t = keyed(tmp_path)
+    rows = lambda *r: spark.createDataFrame(r, t.schema)
+    table = lambda: sorted(map(tuple, store.current(spark, t).collect()), key=str)
+    assert table() == []
+    assert store.merge(t, rows((1, 10, "a"), (2, 10, "b"), (1, 11, "c"), (1, None, "n")), 0) == {"parts": 3, "rows": 4, "merged": 1}
+    before = files_of(tmp_path / "table" / "data")
+    assert store.merge(t, rows((1, 11, "d"), (3, 11, "e")), 1)["parts"] == 1
+    want = sorted([(1, 10, "a"), (2, 10, "b"), (1, 11, "d"), (3, 11, "e"), (1, None, "n")], key=str)
+    assert table() == want
+    after = files_of(tmp_path / "table" / "data")
+    assert before.items() <= after.items()  # no file is written again
+    assert {f for f in after if "day" in f or "_part=10" in f} == {f for f in before if "_part=10" in f}
+    # A batch that comes again, or an older one, changes nothing; another source has numbers of its own.
+    assert store.merge(t, rows((1, 11, "x")), 1)["merged"] == 0 and store.merge(t, rows((1, 11, "x")), 0)["merged"] == 0
+    assert files_of(tmp_path / "table" / "data") == after and table() == want
+    assert store.merge(t, rows(), 0, source="other") == {"parts": 0, "rows": 0, "merged": 1} and table() == want
+    store.merge(t, rows((1, 10, "kept?"), (9, 10, "new")), 7, source="other", keep_old=True)
+    assert (1, 10, "a") in table() and (9, 10, "new") in table()
+    # Reading is a scan: no choice of versions, and only the parts asked for.
+    plan = store.current(spark, t)._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Aggregate", "Window", "Exchange", "Join"))
+    assert {r.day for r in store.current(spark, t, [11]).collect()} == {11}
+    kept = table()
+    assert store.vacuum(spark, t, keep=1) == 2 and table() == kept and store.vacuum(spark, t, keep=1) == 0
+    with pytest.raises(Exception, match="torn"):
+        store.merge(t, rows((5, 10, "z")).withColumn("v", F.raise_error(F.lit("torn")).cast("string")), 8)
+    assert table() == kept
+
+
+def test_torn_lines_go_to_quarantine(spark, tmp_path):
+    good = '{"transmission_id":"%s","post_id":"1","session_start_dt":"2026-08-03T09:00:00","session_end_dt":"2026-08-03T10:00:00Z","payment_type":"CASH","gross_paid_amt":"1.5"}'
+    lines = [good % "a", (good % "b")[:40], "", "   ", "[1, 2", '"text"', (good % "c").replace('"post_id":"1"', '"post_id":{"x":1}'), good % "", '{"other": 1}', "x" * 200_000]
+    (tmp_path / "feed.jsonl").write_text("\n".join(lines) + "\n")
+    n = ingest.normalize_lines(ingest.parse_lines(ingest.read_lines(spark, str(tmp_path))))
+    rows = n.collect()
+    assert len(rows) == 8 and [r.transmission_id for r in rows if r.error is None] == ["a"]
+    bad = {r.line: r.error for r in rows if r.error is not None}
+    assert [bad[lines[k]] for k in (1, 4, 9)] == ["unreadable line"] * 3 and bad[lines[7]] == bad['{"other": 1}'] == "missing transmission_id"
+    assert all(r.line in lines and r.file.endswith("feed.jsonl") for r in rows)
+    stream = ingest.normalize_lines(ingest.parse_lines(ingest.read_lines(spark, str(tmp_path), stream=True)))
+    log = str(tmp_path / "log")
+    out = streams.run_quarantine(stream, "torn", log)
+    assert sorted((r.line, r.error) for r in out.collect()) == sorted(bad.items())
+    assert [(r.status, r.processed, r.stored, r.skipped) for r in ingest.read_runs(spark, log).collect()] == [("succeeded", 8, 1, 7)]
+
+
+def test_loads_are_logged_as_they_end(spark, tmp_path):
+    raw = spark.createDataFrame([("a", "1", "2026-08-03T09:00:00", None, "", ""), ("b", "1", "later", None, "", "")], tables.RAW_SESSION)
+    log, n = str(tmp_path / "log"), ingest.normalize_sessions(raw)
+    ingest.logged_load(n, lambda rows: rows.write.parquet(str(tmp_path / "out")), log, "s", "1", lambda: 5)
+    with pytest.raises(RuntimeError):
+
+        def fail(rows):
+            raise RuntimeError("disk\nfull")
+
+        ingest.logged_load(n, fail, log, "s", "2", lambda: 6)
+    got = {r.run_id: r for r in ingest.read_runs(spark, log).collect()}
+    assert (got["1"].status, got["1"].processed, got["1"].stored, got["1"].skipped, got["1"].error) == ("succeeded", 2, 1, 1, None)
+    assert (got["2"].status, got["2"].processed, got["2"].error, got["2"].finished) == ("failed", None, "disk", 6)
+
+
+def test_a_failed_stream_is_logged(spark, tmp_path):
+    spark.createDataFrame([("a", "1", "2026-08-03T09:00:00", None, "", "")], tables.RAW_SESSION).write.parquet(str(tmp_path / "feed"))
+    bad = ingest.normalize_sessions(streams.session_stream(spark, str(tmp_path / "feed"), tables.RAW_SESSION)).withColumn("post_id", F.raise_error(F.lit("refused")).cast("long"))
+    with pytest.raises(Exception, match="refused"):
+        streams.run_quarantine(bad.withColumn("error", F.lit("x")), "bad", str(tmp_path / "log"))
+    assert [(r.status, "refused" in r.error) for r in ingest.read_runs(spark, str(tmp_path / "log")).collect()] == [("failed", True)]
+
+
+def test_closed_slots_leave_the_state_and_late_rows_are_kept(spark, tmp_path):
+    schema = "transmission_id string, post_id long, start_us long, end_us long"
+    feed = str(tmp_path / "feed")
+
+    def run(rows, progress):
+        data = [(str(i), p, int((BASE + h) * H), int((BASE + h) * H) + m * 60_000_000) for i, (p, h, m) in enumerate(rows)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(feed)
+        stream = streams.session_stream(spark, feed, schema)
+        sums = streams.run_into(streams.hourly_counts(stream, "5 hours"), streams.hourly_table(str(tmp_path / "table")), "hours", str(tmp_path / "state"), progress)
+        return sums, streams.run_late_rows(stream, "5 hours", str(tmp_path / "late"))
+
+    first, second = [], []
+    run([(p, h, 30) for p in range(6) for h in range(4)] + [(1, 30, 30)], first)
+    held = [p.stateOperators[0].numRowsTotal for p in first]
+    assert max(held) == 25 and held[-1] == 1  # slots that ended five hours before the newest are gone
+    sums, late = run([(1, 2, 20), (1, 29, 20), (2, 60, 10)], second)
+    assert sum(p.stateOperators[0].numRowsDroppedByWatermark for p in second) == 1
+    assert [(r.post_id, r.hour - BASE, r.overlap_us) for r in late.collect()] == [(1, 2, 20 * 60_000_000)]
+    assert [p.stateOperators[0].numRowsTotal for p in second][-1] == 1
+    got = {(r.post_id, r.hour - BASE): (r.transaction_count, r.overlap_us // 60_000_000) for r in streams.with_late(sums, late).collect()}
+    assert len(got) == 27 and got[1, 2] == (2, 50) and got[1, 29] == (1, 20) and got[1, 30] == (1, 30) and got[2, 60] == (1, 10)
+
+
+def test_verification_reads_what_is_stored(spark):
+    s = sessions(spark, [(p, h, 30) for p in (1, 2) for h in range(60)])
+    good, log = [], []
+    done = health.hourly_job(health.closed_loop(s, s.limit(0), BASE + 50, 100), good.append)
+    assert done["verify"] > 0 and done["forecast"] > 0
+
+    def lose(path):
+        kept = spark.read.parquet(path).where("post_id = 1").collect()
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(path)
+
+    with pytest.raises(ValueError, match="2 issued, 1 stored"):
+        health.hourly_job(health.closed_loop(s, s.limit(0), BASE + 50, 100, after_write=lose), log.append)
+    assert log[-1]["status"] == "failed" and "differ" in log[-1]["error"] and "mature" not in log[-1]["steps"]
+
+
+def test_stored_models_know_their_features(spark, tmp_path):
+    df = spark.createDataFrame([(i / 50, i % 7, 0.5 * i / 50, ("train", "validation")[i % 2]) for i in range(100)], "lag1 double, lag2 int, target double, part string")
+    names, path = ("lag1", "lag2"), str(tmp_path / "model")
+    fitted = models.boosted(df, names, rounds=3)
+    models.save_model(spark, fitted, path, names, "v1")
+    held = models.load_model(spark, path, names)
+    assert (held.version, held.names) == ("v1", names)
+    rows = lambda out: [r.predicted for r in out.orderBy("lag1").collect()]
+    assert rows(held.predict(df)) == rows(models.predict(fitted, df, names))
+    for wrong, said in ((("lag2", "lag1"), "another order"), (("lag1", "tx1"), "tx1, lag2")):
+        with pytest.raises(ValueError, match=said):
+            models.load_model(spark, path, wrong)
+    with pytest.raises(ValueError, match="needs the features lag2"):
+        held.predict(df.drop("lag2"))
+
+
+def test_windows_fit_the_days_there_are():
+    day = lambda n: dt.date(2026, 1, n)
+    assert sampling.choose_windows(day(1), day(31), 14, 3, 30) == sampling.Windows(day(8), day(22), day(25), day(31))
+    assert sampling.choose_windows(day(1), day(4), 100, 9, 9) == sampling.Windows(day(1), day(3), day(4), day(4))
+    with pytest.raises(ValueError, match="a split needs 4"):
+        sampling.choose_windows(day(1), day(3), 1, 1, 1)
+    with pytest.raises(ValueError, match="none to train on"):
+        sampling.choose_windows(day(1), day(8), 0, 2, 2)
+
+
+def test_a_meter_at_a_time_in_the_backtest(spark, monkeypatch):
+    """The grouped form sees what the window sums see: its count of sessions is the deterministic model's."""
+    seen = lambda history, hour: (0.25, 1, len(history)) if len(history) else None
+    monkeypatch.setitem(baselines.MODELS, "grouped", baselines.per_meter(seen))
+    s = sessions(spark, [(1, h, 50) for h in (1, 5, 6, 9)] + [(2, 3, 400), (3, 20, 5)])
+    v = canonical.scd2(spark.createDataFrame([], "post_id long, valid_from long, blockface_id long, lat double, lon double"))
+    m = spark.createDataFrame([(1, "MS"), (2, "SS"), (3, "SS")], "post_id long, meter_type string")
+    both = [{(r.post_id, r.hour): r.evidence_sessions for r in run_backtest(s, v, m, BASE, BASE + 24, model=name).collect()} for name in ("grouped", "deterministic_v0")]
+    assert both[0] == both[1] and len(both[0]) > 20
+    monkeypatch.setitem(baselines.MODELS, "bounded", baselines.per_meter(seen, max_rows=3))
+    with pytest.raises(Exception, match="over 3 sessions of meter 1"):
+        run_backtest(s, v, m, BASE, BASE + 24, model="bounded").collect()
