@@ -195,10 +195,10 @@ SQL = {
     "stream_run_log": q("SELECT 'quarantine' AS source, 'succeeded' AS status, count(*) AS processed, count(*) FILTER (WHERE error IS NULL) AS stored, count(error) AS skipped, max(start_us) FILTER (WHERE error IS NULL) AS newest_us FROM raw_ok"),
     "stream_with_late": q("SELECT post_id, hour, transaction_count, used_us AS overlap_us FROM sparse"),
     "stored_append": "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 1 AS n, CAST(min((l_partkey, l_suppkey))[1] AS BIGINT) AS l_partkey, CAST(min((l_partkey, l_suppkey))[2] AS BIGINT) AS l_suppkey FROM lineitem GROUP BY 1, 2",
-    "window_split": q(f"""WITH b AS (SELECT min(local_day) AS f, max(local_day) AS l, date_diff('day', min(local_day), max(local_day)) + 1 AS n FROM dense),
+    "window_split": q(f"""WITH b AS (SELECT min(local_day) AS f, max(local_day) AS l, max(local_day) - min(local_day) + 1 AS n FROM dense),
       w AS (SELECT l, l - CAST(least(30, greatest(1, n // 4)) - 1 AS INTEGER) AS t, l - CAST(least(30, greatest(1, n // 4)) - 1 + least(3, greatest(1, n // 4)) AS INTEGER) AS v, f, n FROM b),
       x AS (SELECT *, greatest(f, v - CAST(least(14, n - least(30, greatest(1, n // 4)) - least(3, greatest(1, n // 4))) AS INTEGER)) AS a FROM w)
-      SELECT CASE WHEN local_day < v THEN 'train' WHEN local_day < t THEN 'validation' ELSE 'test' END AS part, count(*) AS n, count(DISTINCT local_day) AS days, CAST(min(local_day) AS VARCHAR) AS first_day, CAST(max(local_day) AS VARCHAR) AS last_day FROM dense, x WHERE local_day BETWEEN a AND l GROUP BY 1"""),
+      SELECT CASE WHEN local_day < v THEN 'train' WHEN local_day < t THEN 'validation' ELSE 'test' END AS part, count(*) AS n, count(DISTINCT local_day) AS days, CAST(DATE '1970-01-01' + CAST(min(local_day) AS INTEGER) AS VARCHAR) AS first_day, CAST(DATE '1970-01-01' + CAST(max(local_day) AS INTEGER) AS VARCHAR) AS last_day FROM dense, x WHERE local_day BETWEEN a AND l GROUP BY 1"""),
     "sessions_quarantine": q("SELECT CASE WHEN k % 101 <> 0 THEN transmission_id END AS transmission_id, post_id, error FROM raw_ok WHERE error IS NOT NULL"),
     "stream_quarantine": q("SELECT CASE WHEN k % 101 <> 0 THEN transmission_id END AS transmission_id, post_id, error FROM raw_ok WHERE error IS NOT NULL"),
     "meters_clean": q(f"""SELECT post_id, {r('lat')} AS lat, {r('lon')} AS lon, active, CASE WHEN post_id % 2 = 0 AND post_id % 3 = 0 THEN CAST(blockface_id AS VARCHAR) WHEN post_id % 2 = 0 THEN CAST(blockface_id AS VARCHAR) || ' Street ' || CAST(street_id AS VARCHAR)
