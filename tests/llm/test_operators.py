@@ -499,6 +499,26 @@ def test_repeats_that_are_one_only_as_a_whole():
         assert [r[:2] for r in passage_dedup.repeats(a, b, anchors)] == want
 
 
+@pytest.mark.parametrize("rare", [2, 8, 1000])
+def test_an_inexact_passage_of_frequent_lines(spark, monkeypatch, rare):
+    """Two documents share a passage of eight lines, each of which twelve others hold too, in other orders and one at a time. The
+    passage has a change every eleven words, so no exact run is long; it is found once, however frequent its lines are."""
+    monkeypatch.setattr(passage_dedup, "RARE", rare)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    lines = [[word() for _ in range(12)] for _ in range(8)]
+    own = lambda n: [word() for _ in range(n)]
+    passage = [w for line in lines for w in line]
+    changed = [word() if k % 11 == 10 else w for k, w in enumerate(passage)]
+    docs = [(100, own(30) + passage + own(30)), (101, own(30) + changed + own(30))]
+    for k in range(12):
+        mixed = rng.sample(lines, 8)
+        docs.append((k, [w for line in mixed for w in own(9) + line + own(9)]))
+    found = passage_dedup.find_passages(spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string"))
+    rows = [r for r in found.collect() if (r.pdid, r.did) == (100, 101)]
+    assert len(rows) == len(set(rows)) == 1 and rows[0].start <= 34 and rows[0].end >= 120 and rows[0].similarity >= 0.88
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 
