@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.llm.common import bounded_batches, read_table
@@ -203,7 +203,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> AttentionMil:
     """Fits on a bounded sample of the labelled documents that are not held out: at most ``max_docs`` whose ids hash lowest,
-    and of those, in that order, as many as have ``max_bytes`` of text together. Every one is fitted on whole.
+    and of those, in that order, each that still fits into ``max_bytes`` of text together. Every one is fitted on whole; if none
+    fits, that is an error.
 
     Only their feature rows come to the driver. Rows without a label or an id are left out; of repeated labels the
     smaller counts, of repeated ids the rows of one text.
@@ -214,8 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     # A row per chosen document: its size, and one text where an id has several.
     sizes = texts.select("id", F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("th")).alias("s")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("s").alias("s"))
-    upto = F.sum("s.bytes").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sized = sizes.select("id", "y", "s.th", upto.alias("upto")).where(F.col("upto") <= max_bytes).select("id", "y", "th")
+    # At most max_docs rows of numbers: those are taken in order that still fit, a longer one is skipped.
+    held = sizes.select("id", "y", "s.th", "s.bytes", F.xxhash64("id").alias("place")).collect()
+    kept, left = [], max_bytes
+    for r in sorted(held, key=lambda r: (r.place, r.id)):
+        if r.bytes <= left:
+            kept.append((r.id, r.y, r.th))
+            left -= r.bytes
+    if held and not kept:
+        raise ValueError(f"none of {len(held)} labelled documents has {max_bytes} bytes or fewer")
+    sized = docs.sparkSession.createDataFrame(kept, sizes.select("id", "y", "s.th").schema)
     rows = texts.join(F.broadcast(sized), "id").where(F.xxhash64("text") == F.col("th")).dropDuplicates(["id"]).select("text", "y")
     found = rows.mapInArrow(_encode, "x array<float>, y double").toArrow()
     bags = [np.array(x.values, dtype=np.float32).reshape(-1, WIDTH) for x in found.column("x")]
