@@ -510,6 +510,38 @@ def test_repeats_that_are_one_only_as_a_whole():
         assert [r[:2] for r in passage_dedup.repeats(a, b, anchors)] == want
 
 
+def test_a_text_looks_up_each_of_its_windows_once(spark, monkeypatch):
+    """Near copies that repeat words over and over: rows that are joined are bounded by the texts, not by the places in them, and
+    every exact window of 50 words that an earlier document has goes."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    runs = [[word()] * 150 for _ in range(3)]
+    docs = []
+    for i in range(60):
+        ws = [w for run in runs for w in run]
+        ws[rng.randrange(len(ws))] = word()
+        docs.append((i, [word() for _ in range(8)] + ws + ([runs[0][0]] * 70 if i % 9 == 0 else [])))
+    rows, landed = [], passage_dedup.landed
+
+    def counted(df, path=None):
+        out = landed(df, path)
+        if "places" in df.columns:
+            rows.append((out.count(), out.selectExpr("sum(size(places))").first()[0]))
+        return out
+
+    monkeypatch.setattr(passage_dedup, "landed", counted)
+    removed = {i: set() for i, _ in docs}
+    for r in passage_dedup.find_passages(docs_of(spark, [(i, " ".join(ws)) for i, ws in docs])).collect():
+        removed[r.did] |= set(range(r.start, r.end))
+    seen, different = set(), 0
+    for i, ws in docs:
+        grams = [tuple(ws[k : k + 50]) for k in range(len(ws) - 49)]
+        assert {p for k, g in enumerate(grams) if g in seen for p in range(k, k + 50)} <= removed[i]
+        seen.update(grams)
+        different += len(set(grams))
+    assert len(rows) == 1 and rows[0][0] <= different and rows[0][1] > 2 * rows[0][0]
+
+
 @pytest.mark.parametrize("rare", [2, 8, 1000])
 def test_an_inexact_passage_of_frequent_lines(spark, monkeypatch, rare):
     """Two documents share a passage of eight lines, each of which twelve others hold too, in other orders and one at a time. The
