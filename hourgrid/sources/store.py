@@ -84,10 +84,23 @@ def touched_parts(table: KeyedTable, batch: DataFrame) -> list[int]:
     return sorted(r[0] for r in batch.select(part_of(table).alias("p")).distinct().collect())
 
 
+def candidates(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored keys that a batch may meet: those between its least and greatest value of each key, and null ones if it has any.
+
+    The bounds, two values per key, are filters of the scan, which leaves out row groups beyond them and all other columns.
+    """
+    ends = batch.agg(*[f(F.col(k)).alias(f"{name}{i}") for i, k in enumerate(keys) for name, f in (("low", F.min), ("high", F.max), ("none", lambda c: F.count_if(c.isNull())))]).first()
+    for i, k in enumerate(keys):
+        within = F.col(k).between(ends[f"low{i}"], ends[f"high{i}"])
+        stored = stored.where(within | F.col(k).isNull() if ends[f"none{i}"] else within)
+    return stored.select(*keys)
+
+
 def merge(table: KeyedTable, batch: DataFrame, number: int, order: list[Column] | None = None, source: str = "load", keep_old: bool = False) -> dict[str, int]:
     """Upserts a batch: of rows that share a key the last in ``order`` stays, at equal places the batch's. With ``keep_old`` it is a
-    keyed append: keys that the table has stay as they are, and of a new key's rows the first in ``order`` comes. Returns the
-    parts that were touched and the rows they have now.
+    keyed append: keys that the table has stay as they are, and of a new key's rows the first in ``order`` comes; known keys are
+    looked for among ``candidates`` only, and a part that gets no new key keeps its folder. Returns the parts that were
+    rewritten and the rows they have now.
 
     A batch is known by its source and number; one whose number is not above the source's last changes nothing. The
     batch is written once before it is used, so a stream's batch is computed once. An empty batch is only noted.
@@ -101,19 +114,25 @@ def merge(table: KeyedTable, batch: DataFrame, number: int, order: list[Column]
     batch.select(*columns).write.parquet(staged_path)
     staged = spark.read.schema(table.schema).parquet(staged_path)
     parts = touched_parts(table, staged)
-    folders = dict(now.folders)
+    folders, keys, order, used = dict(now.folders), list(table.keys), order or [], [staged_path]
+    stored = lambda: _read(spark, table, [folders[p][0] for p in parts if p in folders])
+    if parts and keep_old:
+        used.append(shared_folder(spark, "fresh"))
+        keyed_append(candidates(stored(), staged, keys), staged, keys, order or [F.lit(0)]).write.parquet(used[-1])
+        staged = spark.read.schema(table.schema).parquet(used[-1])
+        parts = touched_parts(table, staged)
     if parts:
-        old = _read(spark, table, [folders[p][0] for p in parts if p in folders])
-        keys, order = list(table.keys), order or []
-        both = old.unionByName(keyed_append(old, staged, keys, order or [F.lit(0)])) if keep_old else upsert(old, staged, keys, order)
+        both = stored().unionByName(staged) if keep_old else upsert(stored(), staged, keys, order)
         folder = f"{table.path}/data/{now.version + 1:012d}-{uuid.uuid4().hex}"
-        # Rebalanced by part: a part of many rows is written by several tasks, a small one by one.
-        both.withColumn("_part", part_of(table)).hint("rebalance", "_part").write.partitionBy("_part").parquet(folder)
+        # Rebalanced by part: a part of many rows is written by several tasks, a small one by one; in order of the keys, so that
+        # the bounds of a row group are narrow.
+        both.withColumn("_part", part_of(table)).hint("rebalance", "_part").sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(folder)
         counted = spark.read.schema(f"{table.schema}, _part bigint").parquet(folder).groupBy("_part").count().collect()
         folders |= {r[0]: (f"{folder}/_part={r[0]}", r[1]) for r in counted}
     rows = [(p, f, n, None, None) for p, (f, n) in folders.items()] + [(None, None, None, s, b) for s, b in (now.batches | {source: number}).items()]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{table.path}/log/{now.version + 1:012d}")
-    remove(spark, staged_path)
+    for path in used:
+        remove(spark, path)
     return {"parts": len(parts), "rows": sum(folders[p][1] for p in parts), "merged": 1}
 
 

@@ -366,6 +366,31 @@ def test_a_merge_rewrites_touched_parts_once(spark, tmp_path):
     assert table() == kept
 
 
+def test_a_keyed_append_looks_at_candidates_only(spark, tmp_path):
+    t = keyed(tmp_path)
+    rows = lambda *r: spark.createDataFrame(r, t.schema)
+    table = lambda: sorted(map(tuple, store.current(spark, t).collect()), key=str)
+    append = lambda number, *r: store.merge(t, rows(*r), number, [F.col("v")], keep_old=True)
+    old = [(k, day, "old") for day in (10, 11) for k in range(50)] + [(None, 10, "none"), (7, None, "dayless")]
+    append(0, *old)
+    before = files_of(tmp_path / "table" / "data")
+    # Known keys, null ones too, rewrite nothing; a part with a new key is rewritten alone.
+    assert append(1, (3, 10, "x"), (None, 10, "x"), (7, None, "x")) == {"parts": 0, "rows": 0, "merged": 1}
+    assert files_of(tmp_path / "table" / "data") == before and table() == sorted(old, key=str)
+    assert append(2, (3, 10, "x"), (60, 11, "z"), (60, 11, "y"), (4, 11, "x")) == {"parts": 1, "rows": 51, "merged": 1}
+    assert table() == sorted([*old, (60, 11, "y")], key=str)
+    assert append(3, (None, None, "b"), (None, None, "a"))["rows"] == 2 and (None, None, "a") in table()
+    assert append(4)["parts"] == 0
+    # The bounds reach the scan; columns that are no keys are not read.
+    found = store.candidates(store.current(spark, t), rows((5, 10, "x"), (9, 10, "x")), ["k", "day"])
+    assert sorted(map(tuple, found.collect())) == [(k, 10) for k in range(5, 10)]
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    assert "GreaterThanOrEqual(k,5)" in scan and "LessThanOrEqual(k,9)" in scan and "v:string" not in scan
+    with_null = store.candidates(store.current(spark, t), rows((None, 10, "x"), (9, 10, "x")), ["k", "day"])
+    assert {tuple(r) for r in with_null.collect()} == {(None, 10), (9, 10)}
+    assert store.candidates(store.current(spark, t), rows(), ["k", "day"]).count() == 0
+
+
 def test_torn_lines_go_to_quarantine(spark, tmp_path):
     good = '{"transmission_id":"%s","post_id":"1","session_start_dt":"2026-08-03T09:00:00","session_end_dt":"2026-08-03T10:00:00Z","payment_type":"CASH","gross_paid_amt":"1.5"}'
     lines = [good % "a", (good % "b")[:40], "", "   ", "[1, 2", '"text"', (good % "c").replace('"post_id":"1"', '"post_id":{"x":1}'), good % "", '{"other": 1}', "x" * 200_000]
