@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from hourgrid.functions import slots
@@ -299,6 +300,19 @@ def test_models_learn_something(spark):
         models.isotonic(ev.limit(10))
 
 
+def test_soft_logistic_scores_after_an_observed_write(spark, tmp_path):
+    df = spark.createDataFrame([(i % 10 / 10.0, 0.8 * (i % 10) / 10.0, ("train", "test")[i % 3 == 0]) for i in range(90)], "lag1 double, target double, part string")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "observed"))
+    assert seen.get["n"] == 90
+    out = models.soft_logistic(df, ("lag1",))
+    assert out.columns == ["lag1", "target", "part", "predicted"]
+    rows = out.collect()
+    assert len(rows) == 30 and sum(abs(r.predicted - r.target) for r in rows) / 30 < 0.1
+    certain = models.soft_logistic(df.withColumn("target", F.lit(1.0)), ("lag1",))
+    assert {r.predicted for r in certain.collect()} == {1.0}
+
+
 def test_samples_repeat(spark):
     st = spark.range(2000).select((F.col("id") % 20).alias("post_id"), (F.lit(BASE) + F.col("id") / 20).cast("long").alias("hour")).withColumn("local_date", slots.local_date(F.col("hour")))
     a = sorted(map(tuple, sampling.bucket_sample(st, 100, 3, per_day=5).collect()))
