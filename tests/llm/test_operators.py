@@ -542,6 +542,23 @@ def test_a_text_looks_up_each_of_its_windows_once(spark, monkeypatch):
     assert len(rows) == 1 and rows[0][0] <= different and rows[0][1] > 2 * rows[0][0]
 
 
+def test_frequent_seeds_are_counted_where_they_lie(spark, monkeypatch):
+    """The counts and first places of seeds come from windows: no table of them is made from the texts and joined."""
+    plans, landed = [], passage_dedup.landed
+
+    def noted(df, path=None):
+        plans.append((df.columns, df._jdf.queryExecution().analyzed().toString()))
+        return landed(df, path)
+
+    monkeypatch.setattr(passage_dedup, "landed", noted)
+    line = " ".join(f"l{k}" for k in range(45))
+    texts = passage_dedup.distinct_texts(docs_of(spark, [(i, f"a{i} b{i} {line} c{i} d{i}") for i in range(12)]), "doc_id", "text")
+    plans.clear()
+    assert passage_dedup.find_links(texts).count() > 0
+    tables = [plan for columns, plan in plans if "pos" in columns]
+    assert len(tables) == 3 and not [plan for plan in tables if "Join" in plan]
+
+
 @pytest.mark.parametrize("rare", [2, 8, 1000])
 def test_an_inexact_passage_of_frequent_lines(spark, monkeypatch, rare):
     """Two documents share a passage of eight lines, each of which twelve others hold too, in other orders and one at a time. The
