@@ -737,6 +737,27 @@ def test_repeats_against_brute_force(spark, monkeypatch, seed, limit):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_texts_meet_their_places_once(spark, monkeypatch):
+    """With a key of very many stretches too, texts are exchanged for their contexts once, and parts that no other stretch has get no bytes."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", 3)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, other = own(30), own(30)
+    rows = [(i, own(60) + common + own(60)) for i in range(40)] + [(100 + i, own(50) + other + own(50)) for i in range(2)]
+    made, landed = [], suffix_dedup.landed
+
+    def noted(df, path=None):
+        out = landed(df, path)
+        made.append((df.columns, df._jdf.queryExecution().analyzed().toString().count("encode("), out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "landed", noted)
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs_of(spark, rows), length=40, key=12).collect()]
+    assert sorted([(*g[:5], bytes(g[5])) for g in got]) == sorted(brute_removed(rows, 40))
+    joined = [columns for columns, texts, _ in made if texts and ("left" in columns or "marks" in columns)]
+    assert len(joined) == 1 and [n for columns, _, n in made if "sub" in columns and "left" in columns] == [0]
+
+
 def test_whole_table_at_the_query_s_length(spark, documents):
     rows = documents + [(90_000 + k, documents[k][1][:700] + "#" + documents[k + 1][1][-900:]) for k in range(40)]
     got = [tuple(r)[:5] for r in suffix_dedup.remove_repeats(docs_of(spark, rows), with_text=False).collect()]
