@@ -542,6 +542,35 @@ def test_a_text_looks_up_each_of_its_windows_once(spark, monkeypatch):
     assert len(rows) == 1 and rows[0][0] <= different and rows[0][1] > 2 * rows[0][0]
 
 
+def test_a_repeated_word_links_few_of_its_places(spark):
+    """Texts that repeat words over and over: of a window's places those are linked that cover the words of all, so the links of 50
+    words follow the words and not the places; what an earlier document has goes."""
+    rng = random.Random(37)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one, line = word(), [word() for _ in range(30)]
+    docs = [(i, [word() for _ in range(9)] + [one] * rng.randrange(600, 700) + [word()] + line * rng.randrange(8, 12) + [word() for _ in range(9)]) for i in range(40)]
+    df = docs_of(spark, [(i, " ".join(ws)) for i, ws in docs])
+    links = passage_dedup.find_links(passage_dedup.distinct_texts(df, "doc_id", "text")).where("n >= 50").select("did", "pdid", "pos").collect()
+    assert {r.did for r in links} == set(range(1, 40)) and len(links) < sum(len(ws) for _, ws in docs) / 4
+    removed = {i: set() for i, _ in docs}
+    for r in passage_dedup.find_passages(df).collect():
+        removed[r.did] |= set(range(r.start, r.end))
+    seen = set()
+    for i, ws in docs:
+        grams = [tuple(ws[k : k + 50]) for k in range(len(ws) - 49)]
+        assert {p for k, g in enumerate(grams) if g in seen for p in range(k, k + 50)} <= removed[i]
+        seen.update(grams)
+
+
+def test_covering_places_cover_the_same_words(spark):
+    rng = random.Random(41)
+    rows = [(sorted(rng.sample(range(n), rng.randrange(1, min(n, 256) + 1))),) for n in (1, 2, 49, 50, 51, 300, 300, 2000, 9000) for _ in range(8)]
+    df = spark.createDataFrame(rows, "p array<int>").selectExpr("p", "transform(p, x -> named_struct('pos', x, 'at', x)) as places")
+    for p, kept in df.select("p", passage_dedup._covering("places", 50)["pos"]).collect():
+        words = lambda places: {w for x in places for w in range(x, x + 50)}
+        assert words(kept) == words(p) and set(kept) <= set(p) and kept == sorted(kept) and len(kept) <= 2 * (p[-1] // 50 + 1)
+
+
 def test_frequent_seeds_are_counted_where_they_lie(spark, monkeypatch):
     """The counts and first places of seeds come from windows: no table of them is made from the texts and joined."""
     plans, landed = [], passage_dedup.landed
