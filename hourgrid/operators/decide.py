@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.geo import near
+from hourgrid.operators.state import spread
 
 SCHEDULE_ORDER = ("FREE", "OP", "PRE")
 
@@ -33,11 +34,29 @@ def active_policy(probes: DataFrame, policies: DataFrame) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("probe_id", "policy_id", "schedule", "rate", "limit_minutes")
 
 
+def at_places(requests: DataFrame, meters: DataFrame, offers: DataFrame, max_radius_m: float, *also: str) -> DataFrame:
+    """``offers`` (rows with ``lat, lon``) at the places of ``meters`` within an ask's radius: ``asked, distance_m`` and their columns.
+
+    An ask is what requests have in common (place, radius and the columns ``also``, which offers must equal), and is met once. Meters
+    of one place are equally far, so callers give of each place only the offers that may count, and no pair of a request and a meter is made.
+    """
+    asks = requests.select("lat", "lon", "radius_m", *also).distinct()
+    pairs = near(asks, meters.select("lat", "lon").distinct(), max_radius_m, "radius_m").select(F.struct(*asks.columns).alias("asked"), "r_lat", "r_lon", *also, "distance_m")
+    return spread(pairs, "r_lat", "r_lon", *also).join(offers.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).hint("merge"), ["r_lat", "r_lon", *also])
+
+
+def for_requests(answers: DataFrame, requests: DataFrame, *also: str) -> DataFrame:
+    """The rows by ``asked`` for each request that asked so."""
+    return answers.join(requests.select("request_id", F.struct("lat", "lon", "radius_m", *also).alias("asked")), "asked")
+
+
 def nearest(requests: DataFrame, meters: DataFrame, limit: int, max_radius_m: float) -> DataFrame:
     """Per request the nearest meters within its own radius."""
-    pairs = near(requests.select("request_id", "lat", "lon", "radius_m"), meters.select("post_id", "lat", "lon"), max_radius_m, "radius_m")
-    order = Window.partitionBy("request_id").orderBy(F.round("distance_m", 6), "post_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("request_id", "post_id", "distance_m", "rank")
+    first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("post_id"))
+    offers = meters.select("post_id", "lat", "lon").withColumn("nth", first).where(F.col("nth") <= limit).drop("nth")
+    order = Window.partitionBy("asked").orderBy(F.round("distance_m", 6), "post_id")
+    best = at_places(requests, meters, offers, max_radius_m).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return for_requests(best, requests).select("request_id", "post_id", "distance_m", "rank")
 
 
 def confidence(p: Column) -> Column:
@@ -63,6 +82,30 @@ def any_free(candidates: DataFrame, by: str = "request_id", correlation: float =
     return r.groupBy(by).agg(F.count("*").alias("candidates"), (1.0 - F.exp(weighted)).alias("correlated"), (1.0 - F.exp(F.sum(miss))).alias("independent"))
 
 
+def slot_offers(requests: DataFrame, forecasts: DataFrame, meters: DataFrame) -> DataFrame:
+    """``post_id, target_hour, predicted, lat, lon``: forecasts of the asked slots, at their meters' places."""
+    asked = forecasts.select("post_id", "target_hour", "predicted").join(F.broadcast(requests.select("target_hour").distinct()), "target_hour", "left_semi")
+    return asked.join(meters.select("post_id", "lat", "lon"), "post_id")
+
+
+def candidates(requests: DataFrame, forecasts: DataFrame, meters: DataFrame, max_radius_m: float) -> DataFrame:
+    """Every meter within the radius of an ask (with ``target_hour``) and its forecast of that slot."""
+    return at_places(requests, meters, slot_offers(requests, forecasts, meters), max_radius_m, "target_hour")
+
+
+def any_free_near(requests: DataFrame, forecasts: DataFrame, meters: DataFrame, max_radius_m: float, correlation: float = 0.35, top: int = 25) -> DataFrame:
+    """``any_free`` of the meters within a request's radius: of a place its best ``top`` meters, their number and the sum of all are enough."""
+    miss = F.log(F.greatest(F.lit(1e-9), 1.0 - F.col("predicted")))
+    here, best = Window.partitionBy("lat", "lon", "target_hour"), [F.round("predicted", 9).desc(), F.col("post_id")]
+    rows = slot_offers(requests, forecasts, meters).select("*", F.row_number().over(here.orderBy(*best)).alias("nth"), F.count("*").over(here).alias("n"), F.sum(miss).over(here).alias("logs"))
+    once = lambda c: F.when(F.col("nth") == 1, F.col(c)).alias(c)
+    offers = rows.where(F.col("nth") <= top).select("lat", "lon", "target_hour", "post_id", "predicted", once("n"), once("logs"))
+    r = at_places(requests, meters, offers, max_radius_m, "target_hour").withColumn("rn", F.row_number().over(Window.partitionBy("asked").orderBy(*best)))
+    weighted = F.sum(F.when(F.col("rn") <= top, F.pow(F.lit(1.0 - correlation), F.col("rn") - 1) * miss))
+    out = r.groupBy("asked").agg(F.sum("n").alias("candidates"), (1.0 - F.exp(weighted)).alias("correlated"), (1.0 - F.exp(F.sum("logs"))).alias("independent"))
+    return for_requests(out, requests, "target_hour").select("request_id", "candidates", "correlated", "independent")
+
+
 def request_errors(with_top: bool = False) -> Column:
     """Faults of a request, in order; empty for a good one. ``with_top`` also asks for a positive ``top``."""
     rules = [
@@ -80,8 +123,11 @@ def find_places(requests: DataFrame, forecasts: DataFrame, meters: DataFrame, to
     ``forecasts`` are of one model version (post_id, target_hour, predicted), so a meter appears once.
     """
     good = requests.where(F.size(request_errors()) == 0)
-    pairs = near(good.select("request_id", "lat", "lon", "radius_m", "target_hour"), meters.select("post_id", "lat", "lon"), max_radius_m, "radius_m")
-    scored = pairs.join(forecasts.select("post_id", "target_hour", "predicted"), ["post_id", "target_hour"])
-    ranked = rank_candidates(scored, penalty=penalty)
-    counted = ranked.withColumn("in_radius", F.count("*").over(Window.partitionBy("request_id")))
-    return counted.where(F.col("rank") <= top).select("request_id", "target_hour", "post_id", "predicted", "distance_m", "score", "rank", "confidence", "in_radius")
+    # Of a place and slot those may count that fewer than ``top`` beat for sure: scores that round to the same go by id.
+    here = Window.partitionBy("lat", "lon", "target_hour")
+    rows = slot_offers(good, forecasts, meters).select("*", F.row_number().over(here.orderBy(F.desc("predicted"), "post_id")).alias("nth"), F.count("*").over(here).alias("n"), F.row_number().over(Window.partitionBy("lat", "lon", "target_hour", "predicted").orderBy("post_id")).alias("alike"))
+    rows = rows.withColumn("least", F.max(F.when(F.col("nth") == top, F.col("predicted"))).over(here)).where((F.col("alike") <= top) & (F.col("least").isNull() | (F.col("predicted") >= F.col("least") - 1e-7)))
+    offers = rows.select("lat", "lon", "target_hour", "post_id", "predicted", F.when(F.col("nth") == 1, F.col("n")).otherwise(0).alias("n"))
+    ranked = rank_candidates(at_places(good, meters, offers, max_radius_m, "target_hour"), "asked", penalty)
+    counted = ranked.withColumn("in_radius", F.sum("n").over(Window.partitionBy("asked"))).where(F.col("rank") <= top)
+    return for_requests(counted, good, "target_hour").select("request_id", "target_hour", "post_id", "predicted", "distance_m", "score", "rank", "confidence", "in_radius")
