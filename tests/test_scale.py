@@ -99,3 +99,23 @@ def test_radius_success_of_shared_places_equals_all_pairs(spark):
         g = each.where(F.col("m") <= r).groupBy("center", "hour").agg(F.count("*").alias("k"), (1.0 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1.0 - F.col("predicted")))))).alias("p"), (F.max("actual") > 0.5).cast("double").alias("y"))
         w = g.agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("y"), F.avg("k").alias("k")).first()
         assert (out[r].n, round(out[r].mean_predicted, 9), round(out[r].success_rate, 9), round(out[r].mean_meters, 9)) == (w.n, round(w.p, 9), round(w.y, 9), round(w.k, 9))
+
+
+def test_meters_with_the_same_neighbours_share_their_statistics(spark):
+    """Statistics are made once per set of neighbours, and are those of a plain join of every edge and hour."""
+    meters = spark.range(60).selectExpr("id as post_id", "37.75D + (id % 2) * 1e-4D as lat", "-122.45D as lon", "'MS' as meter_type")
+    state = meters.selectExpr("post_id", "explode(sequence(100L, 330L)) as hour").where("hour % 41 <> post_id % 5").selectExpr("post_id", "hour", "cast('2024-01-01' as date) as local_date", "cast(hour % 24 as int) as local_hour", "hour % 3 as transaction_count", "pmod(post_id * 7 + hour * 13, 11) / 10D as available")
+    edges = X.knn_edges(meters, 6, 50.0)
+    group, few = X.alike(edges)
+    leaders = few.select("leader").distinct().count()
+    assert leaders <= 14 and group.count() == 60 and few.count() == 6 * leaders
+    last = state.select(F.col("post_id").alias("target"), (F.col("hour") + 1).alias("hour"), F.col("available").alias("last"), F.col("transaction_count").alias("tx"))
+    here = state.select(F.col("post_id").alias("target"), "hour")
+    plain = edges.join(last.join(here, ["target", "hour"]), "target").groupBy(F.col("source").alias("post_id"), "hour").agg(F.count("*").alias("neighbor_count"), F.avg("last").alias("neighbor_mean"), F.max("last").alias("neighbor_max"), F.avg("tx").alias("neighbor_tx"))
+    columns = ["post_id", "hour", "neighbor_count", "neighbor_mean", "neighbor_max", "neighbor_tx"]
+    assert rows_of(X.neighbor_stats(state, edges), *columns) == rows_of(plain, *columns)
+    own = rows_of(X.spatial_vector(state, meters, edges).where("hour >= 300"), "post_id", "hour", *X.TEMPORAL, *X.SPATIAL, "neighbor_delta3")
+    assert own and rows_of(X.spatial_vector(state, meters, edges, 300), "post_id", "hour", *X.TEMPORAL, *X.SPATIAL, "neighbor_delta3") == own
+    kept = X.snapshot_features(state, edges)
+    beside = edges.join(state.select(F.col("post_id").alias("target"), "hour").join(last.drop("tx"), ["target", "hour"]), "target").groupBy(F.col("source").alias("post_id"), "hour").agg(F.avg("last").alias("neighbor_mean")).join(state.select("post_id", "hour"), ["post_id", "hour"])
+    assert rows_of(kept.where("neighbor_mean is not null"), "post_id", "hour", "neighbor_mean") == rows_of(beside, "post_id", "hour", "neighbor_mean")
