@@ -7,6 +7,7 @@ from hourgrid.functions.geo import haversine_m
 from hourgrid.operators import decide as D
 from hourgrid.operators import features as X
 from hourgrid.operators import forecast as P
+from hourgrid.operators import models as L
 from hourgrid.sources import tables
 
 
@@ -119,3 +120,12 @@ def test_meters_with_the_same_neighbours_share_their_statistics(spark):
     kept = X.snapshot_features(state, edges)
     beside = edges.join(state.select(F.col("post_id").alias("target"), "hour").join(last.drop("tx"), ["target", "hour"]), "target").groupBy(F.col("source").alias("post_id"), "hour").agg(F.avg("last").alias("neighbor_mean")).join(state.select("post_id", "hour"), ["post_id", "hour"])
     assert rows_of(kept.where("neighbor_mean is not null"), "post_id", "hour", "neighbor_mean") == rows_of(beside, "post_id", "hour", "neighbor_mean")
+
+
+def test_alike_rows_are_fitted_once_and_weigh_as_often_as_they_came(spark):
+    rows = spark.range(4000).selectExpr("id % 8 / 8D as a", "cast(id % 2 as double) as b", "if(id < 3000, 'train', 'validation') as part", "id % 8 / 10D + if(id % 3 = 0, 0.1D, 0D) as target")
+    few = L.counted(rows, ("a", "b"), "target", "part")
+    assert few.count() <= 32 and few.agg(F.sum("weight")).first()[0] == 4000.0
+    model = L.boosted(rows, ("a", "b"), rounds=5)
+    means = {r.a: r.m for r in rows.groupBy("a").agg(F.avg("target").alias("m")).collect()}
+    assert all(abs(r.predicted - means[r.a]) < 0.02 for r in L.predict(model, rows, ("a", "b")).select("a", "predicted").distinct().collect())
